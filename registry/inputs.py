@@ -75,6 +75,9 @@ INPUTS: dict[str, str] = {
                CASE WHEN month(l_shipdate) <= 3 THEN 'JAN' WHEN month(l_shipdate) <= 6 THEN 'APR'
                     WHEN month(l_shipdate) <= 9 THEN 'JUL' ELSE 'OCT' END AS quarter_name,
                year(l_shipdate) + 15 AS txn_year,
+               CONCAT(CASE WHEN month(l_shipdate) <= 3 THEN 'JAN' WHEN month(l_shipdate) <= 6 THEN 'APR'
+                           WHEN month(l_shipdate) <= 9 THEN 'JUL' ELSE 'OCT' END,
+                      LPAD(CAST(year(l_shipdate) + 15 - 2000 AS VARCHAR(9)), 2, '0')) AS code,
                make_date(CAST(year(l_shipdate) AS INT) + 15,
                          CASE WHEN month(l_shipdate) <= 3 THEN 1 WHEN month(l_shipdate) <= 6 THEN 4
                               WHEN month(l_shipdate) <= 9 THEN 7 ELSE 10 END, 1) AS d,
