@@ -324,6 +324,8 @@ INPUTS: dict[str, str] = {
 }
 
 _REF = re.compile(r"\[(\w+)\]")
+# A name in angle brackets is quoted the way the engine wants.
+_NAME = re.compile(r"<([\w= ]+)>")
 
 
 def _needed(names: list[str]) -> list[str]:
@@ -344,7 +346,8 @@ def _needed(names: list[str]) -> list[str]:
 def ctes(*names: str) -> str:
     """`name AS (...)` list for DuckDB."""
     tables = {t: t for t in TABLES}
-    return ",\n".join(f"{n} AS ({_REF.sub(r'\1', INPUTS[n]).format(**tables)})" for n in _needed(list(names)))
+    text = ",\n".join(f"{n} AS ({_REF.sub(r'\1', INPUTS[n]).format(**tables)})" for n in _needed(list(names)))
+    return _NAME.sub(r'"\1"', text)
 
 
 def oracle(text: str, *names: str) -> str:
@@ -358,4 +361,50 @@ def frame(spark: SparkSession, sf: str, name: str) -> DataFrame:
     inner = {}
     for n in _needed([name]):
         inner[n] = f"({_REF.sub(lambda m: inner[m.group(1)] + ' AS ' + m.group(1), INPUTS[n]).format(**tables)})"
-    return spark.sql(inner[name][1:-1])
+    return spark.sql(_NAME.sub(r"`\1`", inner[name][1:-1]))
+
+
+def _person_wide() -> str:
+    """Wide person table with the columns the tidy step reads, some values missing, zero or out of range."""
+    from spanwise.plans.tidy import TidyNames
+
+    n = TidyNames()
+    columns = {
+        "snz_uid": "c_custkey",
+        "label_summary_period": "'2018'",
+        "birth_year": "1935 + c_custkey % 85",
+        "residential_population_indicator": "CASE WHEN c_custkey % 10 <> 9 THEN 1 END",
+        "highest_qualification": "CASE WHEN c_custkey % 6 <> 0 THEN c_custkey % 13 END",
+        "number_dependent_children": "CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 6 END",
+        "family_violence_experience": "CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 3 END",
+        "child_at_address": "CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 2 END",
+        "bankrupt": "CASE WHEN c_custkey % 17 = 0 THEN 1 + c_custkey % 2 END",
+        "deprivation": "CASE WHEN c_custkey % 8 <> 0 THEN c_nationkey % 10 + 1 END",
+        "sex_code=1": "CASE WHEN c_custkey % 2 = 0 THEN 1 END",
+        "sex_code=2": "CASE WHEN c_custkey % 2 = 1 THEN 1 END",
+    }
+    for i, c in enumerate([*n.ethnicities, "eth_other", "eth_MELAA"]):
+        columns[c] = f"CASE WHEN c_custkey % {i + 3} < 2 THEN c_custkey % 2 ELSE 0 END"
+    for i, c in enumerate(n.survey):
+        columns[c] = f"CASE WHEN c_custkey % {i + 4} <> 0 THEN c_custkey * {i + 3} % 90 END"
+    kinds = [k for _, ks in n.support for k in ks]
+    for i, k in enumerate(kinds):
+        columns[f"ben_type={k}"] = f"CASE WHEN c_custkey % {i + 5} < 2 THEN c_custkey % 3 END"
+    for i, d in enumerate(n.days):
+        columns[f"days_{d}"] = f"CASE WHEN c_custkey % {i + 4} <> 0 THEN c_custkey * {2 * i + 5} % 366 END"
+    for i, c in enumerate(n.incomes):
+        columns[c] = f"CASE WHEN c_custkey % {i + 4} <> 0 THEN c_acctbal * {i + 2} END"
+    for i, q in enumerate(n.quarters):
+        for j, a in enumerate((n.ledger, n.assessed)):
+            columns[f"{a}_{q}"] = f"CASE WHEN (c_custkey + {i}) % {j + 4} < 2 THEN c_acctbal + {i * 37} END"
+        for j, t in enumerate(n.tax_types):
+            columns[f"{n.assessed}_Y{q}_{t}"] = f"CASE WHEN (c_custkey + {i}) % {j + 5} < 2 THEN c_acctbal - {i * 11} END"
+    for j, a in enumerate((n.ledger, n.assessed)):
+        columns[f"{a}_{n.year}_new_debt"] = f"CASE WHEN c_custkey % {j + 5} <> 0 THEN c_acctbal END"
+        columns[f"{a}_{n.year}_repaid"] = f"CASE WHEN c_custkey % {j + 6} <> 0 THEN -c_acctbal END"
+        columns[f"{a}_long_term_debtor"] = f"CASE WHEN c_custkey % {j + 7} = 0 THEN 1 END"
+    # Both engines take names with blanks and `=` in their own quotes; see `frame` and `ctes`.
+    return "SELECT " + ", ".join(f"{expr} AS <{name}>" for name, expr in columns.items()) + " FROM {customer}"
+
+
+INPUTS["person_wide"] = _person_wide()
