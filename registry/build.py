@@ -5,11 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from registry.inputs import oracle
-from spanwise.functions.columns import named
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,13 +28,13 @@ def comparable(df: DataFrame) -> DataFrame:
     """Whole numbers as BIGINT, others to two places as `r2` does."""
     columns = []
     for field in df.schema:
-        col = named(field.name)
+        name = expr = f"`{field.name}`"
         if isinstance(field.dataType, T.IntegralType):
-            col = col.cast("long")
+            expr = f"CAST({name} AS BIGINT)"
         elif isinstance(field.dataType, T.FractionalType):
-            col = F.floor(col.cast("double") * 100 + F.lit(0.500001)).cast("double") / 100
-        columns.append(col.alias(field.name))
-    return df.select(*columns)
+            expr = f"CAST(FLOOR(CAST({name} AS DOUBLE) * 100D + 0.500001D) AS DOUBLE) / 100D"
+        columns.append(f"{expr} AS {name}")
+    return df.selectExpr(*columns)
 
 
 def query(name: str, sql: str | None = None, inputs: Sequence[str] = ()) -> Callable[[Query], Query]:

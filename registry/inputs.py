@@ -108,23 +108,22 @@ INPUTS: dict[str, str] = {
     "sequence": """
         SELECT o_custkey AS id, o_orderkey % 4 AS seq, o_orderkey AS record_no FROM {orders}""",
     "code_table": """
-        SELECT o_orderpriority AS code, second_code, valid_from, valid_to,
-               CONCAT(o_orderpriority, '/', COALESCE(second_code, '-'), '/', CAST(year(valid_from) AS VARCHAR(4))) AS level1
-        FROM (SELECT DISTINCT o_orderpriority FROM {orders}) p
-        CROSS JOIN (SELECT DISTINCT CASE WHEN n_regionkey = 0 THEN NULL ELSE CAST(n_regionkey AS VARCHAR(9)) END AS second_code
-                    FROM {nation} WHERE n_regionkey < 3) s
-        CROSS JOIN (SELECT DISTINCT CASE WHEN r_regionkey % 2 = 0 THEN DATE '1990-01-01' ELSE DATE '1998-07-01' END AS valid_from,
-                           CASE WHEN r_regionkey % 2 = 0 THEN DATE '1998-06-30' ELSE DATE '2000-12-31' END AS valid_to
-                    FROM {region}) r""",
+        SELECT code, second_code, valid_from, valid_to,
+               CONCAT(code, '/', COALESCE(second_code, '-'), '/', CAST(year(valid_from) AS VARCHAR(4))) AS level1
+        FROM (SELECT DISTINCT o_orderpriority AS code,
+                     CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderkey % 3 AS VARCHAR(9)) END AS second_code,
+                     CASE WHEN o_orderstatus = 'F' THEN DATE '1990-01-01' ELSE DATE '1998-07-01' END AS valid_from,
+                     CASE WHEN o_orderstatus = 'F' THEN DATE '1998-06-30' ELSE DATE '2000-12-31' END AS valid_to
+              FROM {orders}) combination""",
     "coded_spell": """
         SELECT id, code, CASE WHEN id % 4 = 0 THEN NULL WHEN id % 4 = 3 THEN 'null' ELSE CAST(id % 4 AS VARCHAR(9)) END AS extra,
                start_date, end_date
         FROM [spell]""",
     "population": """
-        SELECT c_custkey AS id, c_mktsegment AS segment, CAST(period AS VARCHAR(4)) AS period,
-               make_date(period, 1, 1) AS period_start, make_date(period, 12, 31) AS period_end
-        FROM {customer} CROSS JOIN (SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS period FROM {orders}
-                                    WHERE o_orderdate >= '1998-01-01' AND o_orderdate < '2000-01-01') y""",
+        SELECT c_custkey AS id, c_mktsegment AS segment, '1998' AS period,
+               DATE '1998-01-01' AS period_start, DATE '1998-12-31' AS period_end FROM {customer}
+        UNION ALL
+        SELECT c_custkey, c_mktsegment, '1999', DATE '1999-01-01', DATE '1999-12-31' FROM {customer}""",
     "wide": """
         SELECT c_custkey AS id, 1935 + c_custkey % 85 AS birth_year, c_mktsegment AS segment,
                CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS balance,

@@ -233,8 +233,8 @@ _AS_TEXT = {"age_cat"}
 def _(spark, sf):
     tidy = tidy_wide_table(frame(spark, sf, "person_wide"))
     # One numeric type for all, whatever the source column was.
-    return tidy.select(
-        "snz_uid", *[F.col(c) if c in _AS_TEXT else F.col(f"`{c}`").cast("double").alias(c) for c in _TIDY_COLUMNS]
+    return tidy.selectExpr(
+        "snz_uid", *[c if c in _AS_TEXT else f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in _TIDY_COLUMNS]
     )
 
 

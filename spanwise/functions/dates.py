@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 OPEN_END = "9999-01-01"
 OPEN_END_LATE = "9999-12-31"
 ORIGIN = "1900-01-01"
+FIRST_DAY, LAST_DAY = "0001-01-01", "9999-12-31"
 OPEN_YEAR = 9999
 
 

@@ -21,13 +21,13 @@ def indicator(condition: Column) -> Column:
 
 def null_at_or_above(df: DataFrame, cols: Sequence[str], limit: float = 75) -> DataFrame:
     """V2. Drop codes from `limit` up (non-response) from each column."""
-    return df.withColumns({c: F.when(named(c) < limit, named(c)) for c in cols})
+    return df.withColumns({c: F.expr(f"CASE WHEN `{c}` < {limit} THEN `{c}` END") for c in cols})
 
 
 def null_below(df: DataFrame, cols: Sequence[str], limit: float = 1, repayments: Sequence[str] = ()) -> DataFrame:
     """V3. Drop amounts below `limit`; repayments are negative and come out positive."""
-    changed = {c: F.when(named(c) >= limit, named(c)) for c in cols}
-    changed |= {c: F.when(named(c) <= -limit, F.abs(named(c))) for c in repayments}
+    changed = {c: F.expr(f"CASE WHEN `{c}` >= {limit} THEN `{c}` END") for c in cols}
+    changed |= {c: F.expr(f"CASE WHEN `{c}` <= -{limit} THEN ABS(`{c}`) END") for c in repayments}
     return df.withColumns(changed)
 
 

@@ -24,7 +24,7 @@ _COMPARE = {
 
 def _compare(left: int, direction: str, right: int) -> bool:
     if direction not in _COMPARE:
-        raise ValueError(f"unrecognised comparison {direction!r}")
+        raise ValueError(f"no such comparison: {direction!r}")
     return _COMPARE[direction](left, right)
 
 
@@ -60,7 +60,7 @@ def check_size(df: DataFrame, direction: str, size: int) -> bool:
 
 def assert_size(df: DataFrame, direction: str, size: int) -> None:
     rows = num_rows(df)
-    _require(_compare(rows, direction, size), f"number of rows = {rows} is not {direction} {size}")
+    _require(_compare(rows, direction, size), f"table has {rows} rows, wanted {direction} {size}")
 
 
 def check_size_comparison(df1: DataFrame, direction: str, df2: DataFrame) -> bool:
@@ -70,7 +70,7 @@ def check_size_comparison(df1: DataFrame, direction: str, df2: DataFrame) -> boo
 
 def assert_size_comparison(df1: DataFrame, direction: str, df2: DataFrame) -> None:
     a, b = num_rows(df1), num_rows(df2)
-    _require(_compare(a, direction, b), f"size of df1 = {a} is not {direction} size of df2 = {b}")
+    _require(_compare(a, direction, b), f"tables have {a} and {b} rows, wanted the first {direction} the second")
 
 
 def check_size_uniques(df: DataFrame, cols: str | Sequence[str], direction: str, size: int) -> bool:
@@ -81,7 +81,7 @@ def check_size_uniques(df: DataFrame, cols: str | Sequence[str], direction: str,
 def assert_size_uniques(df: DataFrame, cols: str | Sequence[str], direction: str, size: int) -> None:
     found = num_unique(df, cols)
     names = ", ".join(as_list(cols))
-    _require(_compare(found, direction, size), f"number of unique {names} = {found} is not {direction} {size}")
+    _require(_compare(found, direction, size), f"{found} unique values of {names}, wanted {direction} {size}")
 
 
 def check_all_unique(df: DataFrame, cols: str | Sequence[str]) -> bool:
@@ -93,7 +93,7 @@ def check_all_unique(df: DataFrame, cols: str | Sequence[str]) -> bool:
 
 
 def assert_all_unique(df: DataFrame, cols: str | Sequence[str]) -> None:
-    _require(check_all_unique(df, cols), f"{', '.join(as_list(cols))} not all unique")
+    _require(check_all_unique(df, cols), f"values of {', '.join(as_list(cols))} are not unique")
 
 
 def _join_columns(join_cols: str | Sequence[str] | Mapping[str, str]) -> list[tuple[str, str]]:
@@ -121,7 +121,7 @@ def assert_join_covered(df1: DataFrame, df2: DataFrame, join_cols: str | Sequenc
     left, right = ", ".join(a for a, _ in pairs), ", ".join(b for _, b in pairs)
     _require(
         check_join_covered(df1, df2, join_cols),
-        f"not covered, some values in {left} of df1 do not appear in {right} of df2",
+        f"join not covered: keys {left} hold values that are absent from {right}",
     )
 
 
@@ -133,7 +133,7 @@ def check_size_missing(df: DataFrame, cols: str | Sequence[str], direction: str,
 def assert_size_missing(df: DataFrame, cols: str | Sequence[str], direction: str, size: int) -> None:
     found = num_missing(df, cols)
     names = ", ".join(as_list(cols))
-    _require(_compare(found, direction, size), f"number of missings in {names} = {found} is not {direction} {size}")
+    _require(_compare(found, direction, size), f"{found} values missing from {names}, wanted {direction} {size}")
 
 
 def date_overlaps(df: DataFrame, start: str, end: str, group_cols: str | Sequence[str] | None = None) -> DataFrame:
@@ -175,5 +175,5 @@ def assert_no_date_overlap(
 ) -> None:
     _require(
         check_no_date_overlap(df, start, end, group_cols),
-        f"overlap between dates {start} and {end} when grouped by {', '.join(as_list(group_cols)) or 'nothing'}",
+        f"spells from {start} to {end} overlap within {', '.join(as_list(group_cols)) or 'the table'}",
     )

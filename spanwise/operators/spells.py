@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from spanwise.functions.columns import as_list, named
 from spanwise.functions.dates import (
+    FIRST_DAY,
+    LAST_DAY,
     OPEN_END,
     OPEN_YEAR,
     ORIGIN,
@@ -282,27 +284,40 @@ def classify_roles(
     partnership; `partner`: the same days of the recipient's spell, credited to the
     partner named in the partnership record.
     """
-    detail = [c for c in spells.columns if c not in (id_col, start, end)]
-    shape = [id_col, role, start, end, *detail]
-    paired = condense_spells(partners, [id_col, partner_col], start, end, gap_days)
+    valid = partners.filter(named(start) <= named(end)).select(
+        named(id_col), named(partner_col), named(start), named(end)
+    )
+    paired = condense_spells(valid, [id_col, partner_col], start, end, gap_days)
     # Partnerships with different people may overlap, so the free days need the
     # union over all partners of the person.
     free = invert_spells(paired, id_col, start, end)
-    hot = hot_keys(spells.select(named(id_col)).unionByName(partners.select(named(id_col))), [id_col], min_rows)
-    ever_paired = partners.filter(named(start) <= named(end)).select(named(id_col)).distinct()
+    always = (
+        spells.select(named(id_col))
+        .distinct()
+        .join(valid.select(named(id_col)).distinct(), id_col, "left_anti")
+        .withColumns({start: as_date(FIRST_DAY), end: as_date(LAST_DAY)})
+    )
 
-    def credited(df: DataFrame, name: str) -> DataFrame:
-        return df.withColumn(role, F.lit(name)).select(*[named(c) for c in shape])
+    def credited(df: DataFrame, name: str, person: str) -> DataFrame:
+        return df.select(
+            named(id_col), F.lit(name).alias(role), named(person).alias("_credited"), named(start), named(end)
+        )
 
-    single = intersect_spells(spells, free, id_col, start, end, hot)
-    never = spells.filter(named(start) <= named(end)).join(ever_paired, id_col, "left_anti")
-    primary = intersect_spells(spells, paired.drop(partner_col), id_col, start, end, hot)
-    through = intersect_spells(
-        spells, partners.select(named(id_col), named(partner_col), named(start), named(end)), id_col, start, end, hot
+    # One table of the times at which a spell counts for someone in some role, so
+    # that the spells are read, shuffled and joined once for all roles.
+    times = reduce(
+        lambda a, b: a.unionByName(b),
+        [
+            credited(free, "single", id_col),
+            credited(always, "single", id_col),
+            credited(paired, "primary", id_col),
+            credited(valid, "partner", partner_col),
+        ],
     )
-    partner = through.drop(id_col).withColumnRenamed(partner_col, id_col)
-    parts = [credited(single, "single"), credited(never, "single"), credited(primary, "primary"), credited(partner, "partner")]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    hot = hot_keys(spells.select(named(id_col)).unionByName(partners.select(named(id_col))), [id_col], min_rows)
+    met = intersect_spells(spells, times, id_col, start, end, hot)
+    detail = [named(c) for c in spells.columns if c not in (id_col, start, end)]
+    return met.select(named("_credited").alias(id_col), named(role), named(start), named(end), *detail)
 
 
 def lookup_valid_at(

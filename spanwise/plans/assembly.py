@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanwise.functions.columns import named
-from spanwise.functions.dates import days_inclusive
+from spanwise.functions.dates import as_date, days_inclusive
 from spanwise.operators.overlap import overlaps
 from spanwise.operators.reshape import pivot_long
 from spanwise.operators.skew import hot_keys, salted
@@ -83,7 +83,7 @@ def _is_proportional(measure: Measure) -> bool:
     if isinstance(value, bool):
         return value
     if str(value).lower() not in _TRUTH:
-        raise ValueError(f"unaccepted input {value!r} for proportional: use true, t, false or f")
+        raise ValueError(f"proportional is {value!r}; use true, t, false or f")
     return _TRUTH[str(value).lower()]
 
 
@@ -95,7 +95,7 @@ def _resolve(spark: SparkSession | None, tables: Mapping[str, DataFrame] | None,
     if tables is not None and name in tables:
         return tables[name]
     if spark is None:
-        raise ValueError(f"table or view {name} does not exist")
+        raise ValueError(f"no table named {name}")
     return read_table(spark, name)
 
 
@@ -112,18 +112,18 @@ def validate(
         schema = {f.name: f.dataType for f in _resolve(spark, tables, spec.table).schema}
         for given in vars(spec).values():
             if isinstance(given, Col) and given.name not in schema:
-                raise ValueError(f"column {given.name} missing from table {spec.table}")
+                raise ValueError(f"table {spec.table} lacks column {given.name}")
         if isinstance(spec, Measure):
             summary = spec.summary.upper()
             if summary not in SUMMARIES:
-                raise ValueError(f"unaccepted summary {spec.summary!r}: acceptable values are {', '.join(SUMMARIES)}")
+                raise ValueError(f"summary is {spec.summary!r}; use one of {', '.join(SUMMARIES)}")
             if _is_proportional(spec) and summary in _IGNORE_PROPORTION:
-                warnings.warn(f"proportional ignored when summarising by {summary}", stacklevel=2)
+                warnings.warn(f"{summary} does not depend on the share of a spell; proportional has no effect", stacklevel=2)
             if summary in _NUMERIC_ONLY and isinstance(spec.value, Col):
                 kind = schema[spec.value.name]
                 if not isinstance(kind, (T.NumericType, T.BooleanType)):
                     raise ValueError(
-                        f"cannot {summary} column {spec.value.name} of table {spec.table} because it is not numeric"
+                        f"{summary} needs numbers, but {spec.table}.{spec.value.name} is {kind.simpleString()}"
                     )
 
 
@@ -146,6 +146,14 @@ def _population_frame(
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def _fixed_window(populations: Sequence[Population]) -> tuple[str, str] | None:
+    """First and last day of all periods, when every period is given as fixed dates."""
+    dates = [(p.start, p.end) for p in populations]
+    if any(isinstance(given, Col) for pair in dates for given in pair):
+        return None
+    return min(str(s.value) for s, _ in dates), max(str(e.value) for _, e in dates)
+
+
 def _summary(kind: str, proportional: bool, value: Column) -> Column:
     whole_days = days_inclusive(F.col("_ms"), F.col("_me"))
     share = F.col("_overlap").cast("double") / whole_days if proportional else F.lit(1.0)
@@ -170,20 +178,30 @@ def _summary(kind: str, proportional: bool, value: Column) -> Column:
     elif kind == "DISTINCT":
         result = F.count_distinct(value)
     else:
-        raise ValueError(f"unrecognised summary {kind!r}")
+        raise ValueError(f"no such summary: {kind!r}")
     return result.cast("double")
 
 
 def _matched(
-    population: DataFrame, table: DataFrame, like: Measure, columns: Mapping[str, Column], min_rows: int | None
+    population: DataFrame,
+    table: DataFrame,
+    like: Measure,
+    columns: Mapping[str, Column],
+    window: tuple[str, str] | None,
+    min_rows: int | None,
 ) -> DataFrame:
-    """Population rows with the measure rows of the person that overlap the period."""
+    """Population rows with the measure rows of the person that overlap the period.
+
+    `window` is known to hold every period; measure rows outside it are left out at the scan.
+    """
     rows = table.select(
         _column(like.identity).cast("long").alias("_mid"),
         _column(like.start).cast("date").alias("_ms"),
         _column(like.end).cast("date").alias("_me"),
         *[expr.alias(name) for name, expr in columns.items()],
     )
+    if window is not None:
+        rows = rows.filter((F.col("_me") >= as_date(window[0])) & (F.col("_ms") <= as_date(window[1])))
     keyed = rows.withColumnRenamed("_mid", "identity_column")
     hot = hot_keys(keyed, ["identity_column"], min_rows)
     many, few, salt = salted(keyed, population, ["identity_column"], hot)
@@ -215,6 +233,7 @@ def assemble(
     over many before the join (`min_rows` sets from how many rows).
     """
     population = _population_frame(populations, tables, spark)
+    window = _fixed_window(populations)
     together: dict[tuple, list[Measure]] = defaultdict(list)
     for measure in measures:
         together[(measure.table, measure.identity, measure.start, measure.end)].append(measure)
@@ -231,6 +250,7 @@ def assemble(
             _resolve(spark, tables, group[0].table),
             group[0],
             {name: _column(given) for given, name in inputs.items()},
+            window,
             min_rows,
         )
 

@@ -22,7 +22,7 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
     if _is_path(name):
         return spark.read.parquet(name)
     if not spark.catalog.tableExists(name):
-        raise ValueError(f"table or view {name} does not exist")
+        raise ValueError(f"no table or view named {name}")
     return spark.table(name)
 
 
