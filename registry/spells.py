@@ -92,7 +92,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return S.snapshots_to_spells(
-        frame(spark, sf, "snapshot"), "id", "seen", ["household", "old_household"], distinct=True
+        frame(spark, sf, "snapshot"), "id", "seen", ["household", "old_household"]
     )
 
 

@@ -192,63 +192,50 @@ def debt_cases(
     It closes on the first day from then on when all debt up to the opening plus
     all payments up to that day come to `tolerance` or less. Payments may be
     reversed, so paid-to-date is not monotone and the first qualifying day has to
-    be searched for. The search goes by calendar year: the lowest paid-to-date in
-    the rest of the opening year, then of each later year, gives the year of the
-    closing day, and only days of that year are compared. A key is therefore never
-    joined with all of its own days.
+    be searched for. A key's days are kept per calendar year with the lowest
+    paid-to-date of the year: the search passes over years and then over the days
+    of one year, never over all days. A key holds at most one entry per calendar
+    day, and the movements are read and shuffled once.
     """
-    k, d = named(key), named(date)
-    days = df.groupBy(k.alias("_key"), d.alias("_day")).agg(
+    days = df.groupBy(named(key).alias("_key"), named(date).alias("_day")).agg(
         F.sum(_zero_if_null(incurred)).alias("_in"),
         F.sum(_zero_if_null(repaid) + _zero_if_null(written_off)).alias("_out"),
         F.count(named(incurred)).alias("_new"),
     )
     by_day = W.partitionBy("_key").orderBy("_day").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # Rounded well below a cent, so that the order of addition does not decide a case.
+    owed, paid = (F.round(F.sum(c).over(by_day), 6) for c in ("_in", "_out"))
     state = days.select(
         "_key",
         "_day",
         F.year("_day").alias("_year"),
-        (F.col("_new") > 0).alias("_opens"),
-        # Rounded well below a cent, so that the order of addition does not decide a case.
-        F.round(F.sum("_in").over(by_day), 6).alias("_owed"),
-        F.round(F.sum("_out").over(by_day), 6).alias("_paid"),
+        paid.alias("_paid"),
+        F.when(F.col("_new") > 0, F.round(F.lit(tolerance) - owed, 6)).alias("_target"),
     )
-    rest_of_year = W.partitionBy("_key", "_year").orderBy("_day").rowsBetween(W.currentRow, W.unboundedFollowing)
-    state = state.withColumn("_low_rest", F.min("_paid").over(rest_of_year))
-
-    opened = state.filter("_opens").select(
-        "_key", "_day", "_year", F.round(F.lit(tolerance) - F.col("_owed"), 6).alias("_target"), "_low_rest"
-    )
-    yearly = state.groupBy(F.col("_key").alias("_ykey"), F.col("_year").alias("_later")).agg(
-        F.min("_paid").alias("_low_year")
-    )
-    closes_this_year = F.col("_low_rest") <= F.col("_target")
-    located = (
-        opened.join(
-            yearly,
-            (F.col("_key") == F.col("_ykey"))
-            & ~closes_this_year
-            & (F.col("_later") > F.col("_year"))
-            & (F.col("_low_year") <= F.col("_target")),
-            "left",
-        )
-        .groupBy("_key", "_day", "_target")
-        .agg(F.min(F.when(closes_this_year, F.col("_year")).otherwise(F.col("_later"))).alias("_close_year"))
+    by_year = state.groupBy("_key", "_year").agg(
+        F.min("_paid").alias("_low"),
+        F.array_sort(F.collect_list(F.struct(F.col("_day").alias("day"), F.col("_paid").alias("paid")))).alias("_days"),
+        F.collect_list(
+            F.when(F.col("_target").isNotNull(), F.struct(F.col("_day").alias("day"), F.col("_target").alias("target")))
+        ).alias("_opened"),
     )
-    paid = state.select(
-        F.col("_key").alias("_pkey"), F.col("_year").alias("_pyear"), F.col("_day").alias("_pday"), F.col("_paid")
+    year = F.struct(F.col("_year").alias("year"), F.col("_low").alias("low"), F.col("_days").alias("days"))
+    histories = by_year.groupBy("_key").agg(
+        F.array_sort(F.collect_list(year)).alias("_years"), F.flatten(F.collect_list("_opened")).alias("_opened")
     )
-    return (
-        located.join(
-            paid,
-            (F.col("_key") == F.col("_pkey"))
-            & (F.col("_close_year") == F.col("_pyear"))
-            & (F.col("_day") <= F.col("_pday"))
-            & (F.col("_paid") <= F.col("_target")),
-            "left",
+
+    def closing(opened: Column) -> Column:
+        this_year = F.get(F.filter("_years", lambda y: y["year"] == F.year(opened["day"])), 0)["days"]
+        in_this = F.filter(this_year, lambda p: (p["day"] >= opened["day"]) & (p["paid"] <= opened["target"]))
+        later = F.filter(
+            "_years", lambda y: (y["year"] > F.year(opened["day"])) & (y["low"] <= opened["target"])
         )
-        .groupBy(F.col("_key").alias(key), F.col("_day").alias(start))
-        .agg(F.coalesce(F.min("_pday"), as_date(OPEN_END)).alias(end))
+        in_later = F.filter(F.get(later, 0)["days"], lambda p: p["paid"] <= opened["target"])
+        return F.coalesce(F.get(in_this, 0)["day"], F.get(in_later, 0)["day"], as_date(OPEN_END))
+
+    cases = F.transform("_opened", lambda o: F.struct(o["day"].alias("start"), closing(o).alias("end")))
+    return histories.select(F.col("_key").alias(key), F.explode(cases).alias("_c")).select(
+        named(key), F.col("_c.start").alias(start), F.col("_c.end").alias(end)
     )
 
 

@@ -167,43 +167,28 @@ def snapshots_to_spells(
     household_keys: Sequence[str],
     min_days: int = 20,
     max_days: int = 40,
-    distinct: bool = False,
 ) -> DataFrame:
     """S7. Two snapshots of a person in one household, 20 to 40 days apart, make a spell.
 
-    The household may match on any of `household_keys`. Snapshots are matched on
-    household and on blocks of `max_days` days, so a person seen in very many
-    snapshots is compared only with nearby ones. `distinct=True` returns each
-    (person, start, end) once and first reduces copies of a snapshot to one.
+    The household may match on any of `household_keys`; each (person, start, end) is
+    returned once. Copies of a snapshot are reduced to one first, so the window
+    holds at most one row per day and looks `max_days` ahead: the table is not
+    joined with itself.
     """
-    ids = list(household_keys)
-    seen = df.select(named(id_col), named(date).cast("date").alias("_d"), *[named(h) for h in ids])
-    if distinct:
-        seen = seen.distinct()
-    day = F.unix_date("_d")
-    kinds = F.array(*[F.struct(F.lit(i).alias("kind"), named(h).alias("hh")) for i, h in enumerate(ids)])
-    tall = seen.withColumn("_h", F.explode(kinds)).filter(F.col("_h.hh").isNotNull())
-    first_block = F.floor((day + min_days) / max_days).cast("int")
-    last_block = F.floor((day + max_days) / max_days).cast("int")
-    opening = tall.withColumn("_block", F.explode(F.sequence(first_block, last_block))).alias("a")
-    closing = tall.withColumn("_block", F.floor(day / max_days).cast("int")).alias("b")
-    apart = F.datediff(F.col("b._d"), F.col("a._d"))
-    # A pair that also matches on an earlier household id was emitted there.
-    earlier = F.lit(False)
-    for i, h in enumerate(ids):
-        same = F.coalesce(F.col(f"a.`{h}`") == F.col(f"b.`{h}`"), F.lit(False))
-        earlier = earlier | ((F.lit(i) < F.col("a._h.kind")) & same)
-    pairs = opening.join(
-        closing,
-        (F.col(f"a.`{id_col}`") == F.col(f"b.`{id_col}`"))
-        & (F.col("a._h.kind") == F.col("b._h.kind"))
-        & (F.col("a._h.hh") == F.col("b._h.hh"))
-        & (F.col("a._block") == F.col("b._block"))
-        & apart.between(min_days, max_days)
-        & ~earlier,
-        "inner",
-    ).select(F.col(f"a.`{id_col}`").alias(id_col), F.col("a._d").alias("start_date"), F.col("b._d").alias("end_date"))
-    return pairs.distinct() if distinct else pairs
+    kinds = F.array(
+        *[F.struct(F.lit(i).alias("kind"), named(h).alias("hh")) for i, h in enumerate(household_keys)]
+    )
+    seen = (
+        df.select(named(id_col), F.unix_date(named(date).cast("date")).alias("_d"), F.explode(kinds).alias("_h"))
+        .filter(F.col("_h.hh").isNotNull() & F.col("_d").isNotNull())
+        .distinct()
+    )
+    ahead = W.partitionBy(named(id_col), "_h").orderBy("_d").rangeBetween(min_days, max_days)
+    followed = seen.withColumn("_ends", F.collect_list("_d").over(ahead))
+    pairs = followed.select(named(id_col), "_d", F.explode("_ends").alias("_e"))
+    return pairs.distinct().select(
+        named(id_col), F.date_from_unix_date("_d").alias("start_date"), F.date_from_unix_date("_e").alias("end_date")
+    )
 
 
 def reporting_period_spells(
