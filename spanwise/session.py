@@ -6,11 +6,18 @@ caller's own configuration applies.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, name: str = "spanwise") -> SparkSession:
-    return (
+def local_session(
+    cpus: int | str = "*",
+    shuffle_partitions: int = 8,
+    name: str = "spanwise",
+    conf: Mapping[str, str] | None = None,
+) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -20,5 +27,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, name: str
         # Recording the Python line of every column expression slows down wide plans.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
-        .getOrCreate()
     )
+    for key, value in (conf or {}).items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
