@@ -368,31 +368,35 @@ def relative_events(
         "parent", named(died).alias("event_date"), F.col("child").alias("deceased_id")
     )
     child = rows(lost_children, "parent", "child")
-    parent = rows(links.join(dead, F.col("parent") == F.col("deceased_id")), "child", "parent")
     sibling = rows(
         lost_children.join(links, "parent").filter(F.col("child") != F.col("deceased_id")), "child", "sibling"
     )
     if distinct:
         sibling = sibling.distinct()
 
+    # Everyone tied to someone by descent, union or shared child; the deceased are
+    # then looked up once for all kinds of tie.
+    by_descent = links.select(F.lit("parent").alias("relationship"), F.col("child").alias("a"), F.col("parent").alias("b"))
     couples = unions.filter(named(partner1) != named(partner2))
     both_ways = F.array(
         F.struct(named(partner1).alias("a"), named(partner2).alias("b")),
         F.struct(named(partner2).alias("a"), named(partner1).alias("b")),
     )
-    pairs = couples.select(F.explode(both_ways).alias("p")).select("p.a", "p.b")
-    spouse = rows(pairs.join(dead, F.col("b") == F.col("deceased_id")), "a", "spouse")
-
-    parents_of = persons.filter(named(parent1) != named(parent2))
-    # The reference relation is made unique per direction, so a pair recorded in
-    # both orders counts twice; `way` keeps the two directions apart.
+    by_union = couples.select(F.lit("spouse").alias("relationship"), F.explode(both_ways).alias("p"))
+    # Pairs are made unique in each direction, so a couple recorded in both orders
+    # counts twice; `way` keeps the two directions apart.
     both_parents = F.array(
         F.struct(F.lit(1).alias("way"), named(parent2).alias("a"), named(parent1).alias("b")),
         F.struct(F.lit(2).alias("way"), named(parent1).alias("a"), named(parent2).alias("b")),
     )
-    co_pairs = parents_of.select(F.explode(both_parents).alias("p")).select("p.way", "p.a", "p.b").distinct()
-    coparent = rows(co_pairs.join(dead, F.col("b") == F.col("deceased_id")), "a", "coparent")
-    return reduce(lambda x, y: x.unionByName(y), [child, parent, sibling, spouse, coparent])
+    by_child = persons.filter(named(parent1) != named(parent2)).select(F.explode(both_parents).alias("p"))
+    ties = (
+        by_descent.unionByName(by_union.select("relationship", "p.a", "p.b"))
+        .unionByName(by_child.distinct().select(F.lit("coparent").alias("relationship"), "p.a", "p.b"))
+        .join(dead, F.col("b") == F.col("deceased_id"))
+    )
+    tied = ties.select(F.col("a").alias(id_col), "event_date", "relationship", "deceased_id")
+    return reduce(lambda x, y: x.unionByName(y), [child, sibling, tied])
 
 
 def as_at(df: DataFrame, date: str, valid_from: str, valid_to: str) -> DataFrame:

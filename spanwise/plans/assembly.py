@@ -227,10 +227,10 @@ def assemble(
 ) -> DataFrame:
     """A1-A11. Long table of every population by every measure.
 
-    All measures that read one table over the same dates share one join, and those
-    with a fixed label one aggregation. A person without a matching row of a table
-    gets no row for its measures. Identities too common for one task are spread
-    over many before the join (`min_rows` sets from how many rows).
+    All measures that read one table over the same dates share one join and one
+    aggregation. A person without a matching row of a table gets no row for its
+    measures. Identities too common for one task are spread over many before the
+    join (`min_rows` sets from how many rows).
     """
     population = _population_frame(populations, tables, spark)
     window = _fixed_window(populations)
@@ -257,31 +257,45 @@ def assemble(
         def as_joined(given: Input, inputs: dict[Input, str] = inputs) -> Column:
             return F.col(inputs[given]) if isinstance(given, Col) else F.lit(given.value)
 
-        # One aggregation per set of extra grouping columns.
-        by_extra: dict[tuple[str, ...], list[Measure]] = defaultdict(list)
+        # Measures with the same extra grouping columns make a set. Matched rows are
+        # repeated once per set inside the task, so that the join is made once and
+        # all sets end in one aggregation.
+        sets: dict[tuple[str, ...], list[Measure]] = defaultdict(list)
         for measure in group:
             extra = [inputs[measure.label]] if isinstance(measure.label, Col) else []
             if measure.summary.upper() == "HISTOGRAM" and isinstance(measure.value, Col):
                 extra.append(inputs[measure.value])
-            by_extra[tuple(dict.fromkeys(extra))].append(measure)
-
-        for extra, same in by_extra.items():
-            totals, cells = [], []
-            for number, measure in enumerate(same):
+            sets[tuple(dict.fromkeys(extra))].append(measure)
+        extras = list(dict.fromkeys(c for extra in sets for c in extra))
+        numbers = F.array(*[F.lit(i) for i in range(len(sets))])
+        repeated = joined.withColumn("_set", F.explode(numbers) if len(sets) > 1 else F.lit(0))
+        for c in extras:
+            used = [i for i, extra in enumerate(sets) if c in extra]
+            repeated = repeated.withColumn(f"_by{c}", F.when(F.col("_set").isin(*used), F.col(c)))
+
+        totals, cells = [], []
+        for number, same in enumerate(sets.values()):
+            of_set = []
+            for measure in same:
                 kind, label, value = measure.summary.upper(), as_joined(measure.label), as_joined(measure.value)
+                total = F.count(value).cast("double") if kind == "HISTOGRAM" else _summary(
+                    kind, _is_proportional(measure), value
+                )
+                totals.append(total.alias(f"_t{len(totals)}"))
+                shown = F.col(f"_by{inputs[measure.label]}") if isinstance(measure.label, Col) else label
                 if kind == "HISTOGRAM":
-                    label = F.concat(label.cast("string"), F.lit("="), F.coalesce(value.cast("string"), F.lit("")))
-                    total = F.count(value).cast("double")
-                else:
-                    total = _summary(kind, _is_proportional(measure), value)
-                totals.append(total.alias(f"_t{number}"))
-                cells.append(F.struct(label.cast("string").alias("label"), F.col(f"_t{number}").alias("value")))
-            summed = joined.groupBy("_spec", *_PERIOD, *extra).agg(*totals)
-            results.append(
-                summed.select("_spec", *_PERIOD, F.explode(F.array(*cells)).alias("_m")).select(
-                    "_spec", *_PERIOD, F.col("_m.label").alias("label_measure"), F.col("_m.value").alias("value_measure")
+                    bar = F.col(f"_by{inputs[measure.value]}") if isinstance(measure.value, Col) else value
+                    shown = F.concat(shown.cast("string"), F.lit("="), F.coalesce(bar.cast("string"), F.lit("")))
+                of_set.append(
+                    F.struct(shown.cast("string").alias("label"), F.col(f"_t{len(totals) - 1}").alias("value"))
                 )
+            cells.append(F.when(F.col("_set") == number, F.array(*of_set)))
+        summed = repeated.groupBy("_spec", *_PERIOD, "_set", *[f"_by{c}" for c in extras]).agg(*totals)
+        results.append(
+            summed.select("_spec", *_PERIOD, F.explode(F.coalesce(*cells)).alias("_m")).select(
+                "_spec", *_PERIOD, F.col("_m.label").alias("label_measure"), F.col("_m.value").alias("value_measure")
             )
+        )
     long = reduce(lambda a, b: a.unionByName(b), results)
     if development:
         per_pair = W.partitionBy("_spec", "label_measure").orderBy("identity_column", *_PERIOD[1:])
