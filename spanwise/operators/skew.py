@@ -38,9 +38,11 @@ def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int | None = None) ->
 
 def _hot_from_counts(counts: DataFrame, keys: Sequence[str], min_rows: int | None) -> DataFrame:
     limit = HOT_ROWS if min_rows is None else min_rows
+    # Both sides of a join evaluate this list, so it must not depend on the order
+    # of rows: counts are exact and ties are settled by the key.
     return (
         counts.filter(F.col("_n") >= limit)
-        .orderBy(F.col("_n").desc())
+        .orderBy(F.col("_n").desc(), *[named(k) for k in keys])
         .limit(MAX_HOT_KEYS)
         .select(*[named(k).alias(f"_hot_{i}") for i, k in enumerate(keys)], F.lit(True).alias("_hot"))
     )

@@ -33,6 +33,7 @@ def condense_spells(
     end: str = "end_date",
     gap_days: int = 1,
     open_ended: str = "keep",
+    few_per_key: bool = False,
 ) -> DataFrame:
     """S1/S2. Merge the overlapping spells of each key; other columns are left behind.
 
@@ -43,17 +44,19 @@ def condense_spells(
 
     Spells are first reduced to the longest one per key and start day, with
     map-side combine. The ordering window therefore holds one row per key and
-    day, so its size is limited by the calendar and not by the data.
+    day, so its size is limited by the calendar and not by the data. Where no key
+    is common, `few_per_key=True` orders the spells as they are and saves the
+    exchange of the reduction.
     """
     if open_ended not in ("keep", "drop"):
         raise ValueError("open_ended must be 'keep' or 'drop'")
     names = as_list(keys)
     key_cols = [named(k) for k in names]
-    per_day = (
-        df.filter(named(start) <= named(end))
-        .groupBy(*key_cols, named(start).alias("_s"))
-        .agg(F.max(named(end)).alias("_e"))
-    )
+    valid = df.filter(named(start) <= named(end))
+    if few_per_key:
+        per_day = valid.select(*key_cols, named(start).alias("_s"), named(end).alias("_e"))
+    else:
+        per_day = valid.groupBy(*key_cols, named(start).alias("_s")).agg(F.max(named(end)).alias("_e"))
     by_start = W.partitionBy(*key_cols).orderBy("_s")
     reached = F.max("_e").over(by_start.rowsBetween(W.unboundedPreceding, -1))
     # The new-island test is in day differences so that an end on the last

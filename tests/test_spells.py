@@ -84,6 +84,7 @@ def test_condense_against_days(spark):
     spells = random_spells(60, 12, seed=1)
     df = spark.createDataFrame(spells, SPELL)
     expected = [(p, *i) for p, days in busy_days(spells).items() for i in islands(days)]
+    assert rows(S.condense_spells(df, "id", few_per_key=True), *OUT) == sorted(expected, key=repr)
     once = S.condense_spells(df, "id")
     assert rows(once, *OUT) == sorted(expected, key=repr)
     assert rows(S.condense_spells(once, "id"), *OUT) == sorted(expected, key=repr)
