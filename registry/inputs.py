@@ -18,9 +18,10 @@ TABLES = (
 ).split()
 
 _DAY = "CAST(o_orderdate AS DATE)"
-# 1995..2001 moved on by whole years, to fall in the study windows of the measures.
-_LATER = "make_date(CAST(year(o_orderdate) AS INT) + 19, CAST(month(o_orderdate) AS INT), LEAST(CAST(day(o_orderdate) AS INT), 28))"
-_SHIPPED_LATER = "make_date(CAST(year(l_shipdate) AS INT) + 17, CAST(month(l_shipdate) AS INT), LEAST(CAST(day(l_shipdate) AS INT), 28))"
+# 1995..2001 moved on by 19, 17 and 15 years, to fall in the study windows of the measures.
+_LATER = f"({_DAY} + 6940)"
+_SHIPPED_LATER = "(CAST(l_shipdate AS DATE) + 6209)"
+_TXN_DAY = "(CAST(l_shipdate AS DATE) + 5479)"
 
 INPUTS: dict[str, str] = {
     # ---- generic shapes -------------------------------------------------------------
@@ -70,21 +71,16 @@ INPUTS: dict[str, str] = {
                CASE WHEN l_returnflag = 'A' THEN -l_extendedprice * 0.4
                     WHEN l_orderkey % 29 = 0 AND l_returnflag = 'N' THEN l_extendedprice * 0.2 END AS written_off
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
-    "case_txn": """
+    "case_txn": f"""
         SELECT o_custkey AS id, o_orderkey % 3 AS case_id, l_linestatus AS tax_type,
-               CASE WHEN month(l_shipdate) <= 3 THEN 'JAN' WHEN month(l_shipdate) <= 6 THEN 'APR'
-                    WHEN month(l_shipdate) <= 9 THEN 'JUL' ELSE 'OCT' END AS quarter_name,
-               year(l_shipdate) + 15 AS txn_year,
-               CONCAT(CASE WHEN month(l_shipdate) <= 3 THEN 'JAN' WHEN month(l_shipdate) <= 6 THEN 'APR'
-                           WHEN month(l_shipdate) <= 9 THEN 'JUL' ELSE 'OCT' END,
-                      LPAD(CAST(year(l_shipdate) + 15 - 2000 AS VARCHAR(9)), 2, '0')) AS code,
-               make_date(CAST(year(l_shipdate) AS INT) + 15,
-                         CASE WHEN month(l_shipdate) <= 3 THEN 1 WHEN month(l_shipdate) <= 6 THEN 4
-                              WHEN month(l_shipdate) <= 9 THEN 7 ELSE 10 END, 1) AS d,
+               CASE quarter({_TXN_DAY}) WHEN 1 THEN 'JAN' WHEN 2 THEN 'APR' WHEN 3 THEN 'JUL' ELSE 'OCT' END AS quarter_name,
+               year({_TXN_DAY}) AS txn_year, CAST(date_trunc('quarter', {_TXN_DAY}) AS DATE) AS d,
                CASE WHEN l_returnflag = 'N' THEN l_extendedprice ELSE -l_extendedprice * 0.6 END AS delta,
                CASE WHEN l_returnflag = 'N' THEN l_extendedprice END AS assessment,
                CASE WHEN l_returnflag = 'R' THEN -l_extendedprice * 0.6 END AS payment
-        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
+        FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey""",
+    "coded_txn": """
+        SELECT *, CONCAT(quarter_name, LPAD(CAST(txn_year - 2000 AS VARCHAR(9)), 2, '0')) AS code FROM [case_txn]""",
     "case_quarter": """
         SELECT id, case_id, tax_type, d, SUM(delta) AS delta, SUM(COALESCE(assessment, 0)) AS assessment,
                SUM(COALESCE(payment, 0)) AS payment
@@ -101,7 +97,7 @@ INPUTS: dict[str, str] = {
                     WHEN o_orderkey % 6 = 3 THEN last_day({_DAY}) + 40 END AS given_end
         FROM {{orders}}""",
     "snapshot": f"""
-        SELECT l_suppkey AS id, make_date(CAST(year(l_shipdate) AS INT), CAST(month(l_shipdate) AS INT), 1) AS seen,
+        SELECT l_suppkey AS id, CAST(date_trunc('month', l_shipdate) AS DATE) AS seen,
                CASE WHEN l_orderkey % 19 = 0 THEN NULL ELSE l_orderkey % 3 END AS household,
                CASE WHEN l_orderkey % 2 = 0 THEN l_orderkey % 5 END AS old_household
         FROM {{lineitem}}""",
@@ -241,13 +237,12 @@ INPUTS: dict[str, str] = {
         WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND o_orderstatus = 'F'""",
     "benefit_codes": """
         SELECT code AS serv, second_code AS additional_service_data,
-               make_date(CAST(year(valid_from) AS INT) + 19, CAST(month(valid_from) AS INT), 1) AS ValidFromtxt,
-               make_date(CAST(year(valid_to) AS INT) + 19, CAST(month(valid_to) AS INT), 30) AS ValidTotxt,
+               valid_from + 6940 AS ValidFromtxt, valid_to + 6940 AS ValidTotxt,
                level1, CONCAT('two ', code) AS level2, COALESCE(second_code, 'none') AS level3,
                CASE WHEN second_code = '1' THEN 'Sickness' WHEN second_code = '2' THEN 'Invalids' ELSE 'Job Seeker' END AS level4
         FROM [code_table]""",
     "tenancy": """
-        SELECT id AS snz_uid, make_date(CAST(year(seen) AS INT) + 17, CAST(month(seen) AS INT), 1) AS hnz_ths_snapshot_date,
+        SELECT id AS snz_uid, CAST(date_trunc('month', seen + 6220) AS DATE) AS hnz_ths_snapshot_date,
                household AS snz_household_uid, old_household AS snz_legacy_household_uid
         FROM [snapshot]""",
     "management": f"""

@@ -13,9 +13,9 @@ _KEYS = ["id", "case_id", "tax_type"]
 _K = "id, case_id, tax_type"
 
 
-@query("l1_parse_quarter_code", f"SELECT DISTINCT code, d FROM case_txn", ["case_txn"])
+@query("l1_parse_quarter_code", "SELECT DISTINCT code, d FROM coded_txn", ["coded_txn"])
 def _(spark, sf):
-    return frame(spark, sf, "case_txn").select("code", parse_quarter_code(F.col("code")).alias("d")).distinct()
+    return frame(spark, sf, "coded_txn").select("code", parse_quarter_code(F.col("code")).alias("d")).distinct()
 
 
 _MOVED = "COALESCE(incurred, 0) + COALESCE(repaid, 0) + COALESCE(written_off, 0)"
