@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from registry.build import i8, query, r2
 from registry.inputs import frame
 from spanwise.functions import recode as V
+from spanwise.plans import reports as P
 from spanwise.plans import tabulate as G
 from spanwise.plans.tidy import TidyNames, tidy_wide_table
 
@@ -221,6 +222,9 @@ def _tidy_sql() -> tuple[str, list[str]]:
 
 _TIDY, _TIDY_COLUMNS = _tidy_sql()
 _AS_TEXT = {"age_cat"}
+# Columns the tidy step leaves as they are.
+_PLAIN_COLUMNS = ["birth_year", "residential_population_indicator", "bankrupt", "deprivation", "sex_code=1", "sex_code=2"]
+_PLAIN_COLUMNS += [f"{a}_long_term_debtor" for a in (_N.ledger, _N.assessed)]
 
 
 @query(
@@ -393,3 +397,100 @@ _PAIRED = ["segment", "children", "f_one", "f_two", "deprivation", "band"]
 )
 def _(spark, sf):
     return G.pair_counts(frame(spark, sf, "wide"), _PAIRED)
+
+
+# ---- the published tables -----------------------------------------------------------
+
+# Tidy table with every number as DOUBLE, so that both engines print values alike.
+_ALL_COLUMNS = list(dict.fromkeys([*_PLAIN_COLUMNS, *_TIDY_COLUMNS]))
+_TIDY_PLAIN = _TIDY + ", flat AS (SELECT snz_uid, " + ", ".join(
+    f'"{c}"' if c in _AS_TEXT else f'CAST("{c}" AS DOUBLE) AS "{c}"' for c in _ALL_COLUMNS
+) + " FROM tidy)"
+
+
+def _tidy_plain(spark, sf):
+    tidy = tidy_wide_table(frame(spark, sf, "person_wide"))
+    return tidy.selectExpr(
+        "snz_uid", *[c if c in _AS_TEXT else f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in _ALL_COLUMNS]
+    )
+
+
+_REPORT_GROUPS = P.group_columns(_N)
+_REPORT_COUNTED = P.counted_columns(_ALL_COLUMNS, _N)
+_REPORT_SUMMED = P.summed_columns(_ALL_COLUMNS, _N)
+
+
+def _quoted(columns: list[str]) -> str:
+    return ", ".join(f'"{c}"' for c in columns)
+
+
+# Every person once per group, and once without a group when in none.
+_IN_GROUPS = """, grouped AS (
+  SELECT f.*, g.group_name FROM flat f LEFT JOIN (
+    SELECT snz_uid, group_name FROM (UNPIVOT (SELECT snz_uid, {groups} FROM flat) ON {groups} INTO NAME group_name VALUE member)
+    WHERE member = 1) g USING (snz_uid))""".format(groups=_quoted(_REPORT_GROUPS))
+
+
+@query(
+    "g2_g4_group_counts",
+    _TIDY_PLAIN + _IN_GROUPS + f""", cell AS (
+      SELECT group_name, measure, value, COUNT(*) AS n FROM (
+        SELECT group_name, measure, value FROM
+          (SELECT group_name, {', '.join(f'CAST("{c}" AS VARCHAR) AS "{c}"' for c in _REPORT_COUNTED)} FROM grouped)
+          UNPIVOT INCLUDE NULLS (value FOR measure IN ({_quoted(_REPORT_COUNTED)}))) GROUP BY ALL)
+      SELECT measure, value, """ + ", ".join(
+        f"CAST(MAX(n) FILTER (WHERE group_name IS NOT DISTINCT FROM {w}) AS BIGINT) AS \"{g}\""
+        for g, w in [*[(g, f"'{g}'") for g in _REPORT_GROUPS], (G.NO_GROUP, "NULL")]
+    ) + " FROM cell GROUP BY measure, value",
+    ["person_wide"],
+)
+def _(spark, sf):
+    return P.group_counts(_tidy_plain(spark, sf))
+
+
+@query(
+    "g3_group_totals",
+    _TIDY_PLAIN + _IN_GROUPS + f""" SELECT group_name, measure, {r2('SUM(value)')} AS total, COUNT(value) AS count FROM (
+        SELECT group_name, measure, value FROM (SELECT group_name, {_quoted(_REPORT_SUMMED)} FROM grouped)
+        UNPIVOT INCLUDE NULLS (value FOR measure IN ({_quoted(_REPORT_SUMMED)}))) GROUP BY group_name, measure""",
+    ["person_wide"],
+)
+def _(spark, sf):
+    return P.group_totals(_tidy_plain(spark, sf))
+
+
+_XTAB = "xtab AS (SELECT " + ", ".join(
+    [*[f'CAST({e} AS DOUBLE) AS "{c}"' for c, e in _XTAB_NUMBERS.items()], *[f"{e} AS {c}" for c, e in _XTAB_TEXT.items()]]
+) + " FROM flat WHERE birth_year <= 2002)"
+_PAIR_COLUMNS = P.pair_columns(_N)
+_ADJUSTER_SETS = [[], *[[a] for a in P.ADJUSTERS], *P.JOINT_ADJUSTERS]
+
+
+def _report_means_sql() -> str:
+    """One pass per value and adjuster set, all groups of it together."""
+    defs, selects = [], []
+    groups = ", ".join(f'CAST("{g}" AS VARCHAR) AS "{g}"' for g in P.MEAN_GROUPS)
+    for i, (value, adjusters) in enumerate((v, a) for v in P.mean_values(_N) for a in _ADJUSTER_SETS):
+        defs.append(adjusted_sql("xtab", value, adjusters, f"s{i}_"))
+        selects.append(f"""SELECT col, subgroup, '{G.sweep_label(value, adjusters)}' AS label, {r2('AVG(adj)')} AS mean,
+            {r2('STDDEV_SAMP(adj)')} AS sdev, {r2('SUM(adj)')} AS total, COUNT(*) AS num
+            FROM (UNPIVOT (SELECT adj, {groups} FROM s{i}_) ON {_quoted(P.MEAN_GROUPS)} INTO NAME col VALUE subgroup) GROUP BY col, subgroup""")
+    return ", ".join(defs) + " " + " UNION ALL ".join(selects)
+
+
+@query("g9_crosstab_counts", _TIDY_PLAIN + ", " + _XTAB + " SELECT * FROM (" + " UNION ALL ".join(
+    f"""SELECT '{a}' AS col1, CAST({a} AS VARCHAR) AS group1, '{b}' AS col2, CAST({b} AS VARCHAR) AS group2, COUNT(*) AS num
+        FROM xtab WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {a}, {b}""" for a, b in combinations(_PAIR_COLUMNS, 2)
+) + ")", ["person_wide"])
+def _(spark, sf):
+    return _plain_text(P.crosstab_counts(_tidy_plain(spark, sf)), ["group1", "group2"])
+
+
+@query("g8_crosstab_means", _TIDY_PLAIN + ", " + _XTAB + ", " + _report_means_sql(), ["person_wide"])
+def _(spark, sf):
+    return _plain_text(P.crosstab_means(_tidy_plain(spark, sf)), ["subgroup"])
+
+
+def _plain_text(df, cols):
+    """Whole numbers that Spark printed from INT columns in the form of a DOUBLE."""
+    return df.withColumns({c: F.when(F.col(c).rlike("^-?[0-9]+$"), F.concat(c, F.lit(".0"))).otherwise(F.col(c)) for c in cols})

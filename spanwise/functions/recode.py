@@ -114,6 +114,6 @@ def amount_where(flag: Column, amount: Column) -> Column:
     return F.when(flag == 1, amount)
 
 
-def group_flags(rules: Mapping[str, Column]) -> dict[str, Column]:
-    """V15. One 1/NULL flag per named rule."""
-    return {name: indicator(rule) for name, rule in rules.items()}
+def group_flags(rules: Mapping[str, Column | str]) -> dict[str, Column]:
+    """V15. One 1/NULL flag per named rule, given as a column or as SQL text."""
+    return {name: indicator(F.expr(rule) if isinstance(rule, str) else rule) for name, rule in rules.items()}

@@ -234,21 +234,21 @@ def assemble(
     """
     population = _population_frame(populations, tables, spark)
     window = _fixed_window(populations)
-    together: dict[tuple, list[Measure]] = defaultdict(list)
-    for measure in measures:
-        together[(measure.table, measure.identity, measure.start, measure.end)].append(measure)
+    together: dict[tuple, list[tuple[int, Measure]]] = defaultdict(list)
+    for number, measure in enumerate(measures):
+        together[(measure.table, measure.identity, measure.start, measure.end)].append((number, measure))
 
     results = []
     for group in together.values():
         inputs: dict[Input, str] = {}
-        for measure in group:
+        for _, measure in group:
             for given in (measure.value, measure.label):
                 if isinstance(given, Col):
                     inputs.setdefault(given, f"_c{len(inputs)}")
         joined = _matched(
             population,
-            _resolve(spark, tables, group[0].table),
-            group[0],
+            _resolve(spark, tables, group[0][1].table),
+            group[0][1],
             {name: _column(given) for given, name in inputs.items()},
             window,
             min_rows,
@@ -260,12 +260,12 @@ def assemble(
         # Measures with the same extra grouping columns make a set. Matched rows are
         # repeated once per set inside the task, so that the join is made once and
         # all sets end in one aggregation.
-        sets: dict[tuple[str, ...], list[Measure]] = defaultdict(list)
-        for measure in group:
+        sets: dict[tuple[str, ...], list[tuple[int, Measure]]] = defaultdict(list)
+        for number, measure in group:
             extra = [inputs[measure.label]] if isinstance(measure.label, Col) else []
             if measure.summary.upper() == "HISTOGRAM" and isinstance(measure.value, Col):
                 extra.append(inputs[measure.value])
-            sets[tuple(dict.fromkeys(extra))].append(measure)
+            sets[tuple(dict.fromkeys(extra))].append((number, measure))
         extras = list(dict.fromkeys(c for extra in sets for c in extra))
         numbers = F.array(*[F.lit(i) for i in range(len(sets))])
         repeated = joined.withColumn("_set", F.explode(numbers) if len(sets) > 1 else F.lit(0))
@@ -274,9 +274,9 @@ def assemble(
             repeated = repeated.withColumn(f"_by{c}", F.when(F.col("_set").isin(*used), F.col(c)))
 
         totals, cells = [], []
-        for number, same in enumerate(sets.values()):
+        for set_number, same in enumerate(sets.values()):
             of_set = []
-            for measure in same:
+            for number, measure in same:
                 kind, label, value = measure.summary.upper(), as_joined(measure.label), as_joined(measure.value)
                 total = F.count(value).cast("double") if kind == "HISTOGRAM" else _summary(
                     kind, _is_proportional(measure), value
@@ -287,18 +287,27 @@ def assemble(
                     bar = F.col(f"_by{inputs[measure.value]}") if isinstance(measure.value, Col) else value
                     shown = F.concat(shown.cast("string"), F.lit("="), F.coalesce(bar.cast("string"), F.lit("")))
                 of_set.append(
-                    F.struct(shown.cast("string").alias("label"), F.col(f"_t{len(totals) - 1}").alias("value"))
+                    F.struct(
+                        F.lit(number).alias("measure"),
+                        shown.cast("string").alias("label"),
+                        F.col(f"_t{len(totals) - 1}").alias("value"),
+                    )
                 )
-            cells.append(F.when(F.col("_set") == number, F.array(*of_set)))
+            cells.append(F.when(F.col("_set") == set_number, F.array(*of_set)))
         summed = repeated.groupBy("_spec", *_PERIOD, "_set", *[f"_by{c}" for c in extras]).agg(*totals)
         results.append(
             summed.select("_spec", *_PERIOD, F.explode(F.coalesce(*cells)).alias("_m")).select(
-                "_spec", *_PERIOD, F.col("_m.label").alias("label_measure"), F.col("_m.value").alias("value_measure")
+                "_spec",
+                *_PERIOD,
+                F.col("_m.measure").alias("_measure"),
+                F.col("_m.label").alias("label_measure"),
+                F.col("_m.value").alias("value_measure"),
             )
         )
     long = reduce(lambda a, b: a.unionByName(b), results)
     if development:
-        per_pair = W.partitionBy("_spec", "label_measure").orderBy("identity_column", *_PERIOD[1:])
+        # The rank limit is applied in every task before rows of a pair meet.
+        per_pair = W.partitionBy("_spec", "_measure").orderBy("identity_column", *_PERIOD[1:], "label_measure")
         long = long.withColumn("_rank", F.row_number().over(per_pair)).filter(F.col("_rank") <= DEV_ROWS)
     return long.select(*RESULT_COLUMNS)
 
