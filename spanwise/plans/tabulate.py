@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,39 +26,66 @@ def group_members(df: DataFrame, id_col: str, flags: Sequence[str]) -> DataFrame
     return df.select(F.explode(_flagged_groups(flags)).alias("group_name"), named(id_col))
 
 
-def _with_groups(df: DataFrame, groups: DataFrame | Sequence[str], id_col: str, cols: Sequence[str]) -> DataFrame:
-    """Rows once per group of the person; persons in no group once under a NULL group.
+# Flags that fit the bits of one number.
+_MAX_FLAGS = 63
 
-    Given flag columns of the same table, membership is read off the row and no
-    join is needed; a separate membership table is joined on the identity.
+
+def _membership(df: DataFrame, groups: DataFrame | Sequence[str], id_col: str, cols: Sequence[str]) -> DataFrame:
+    """`cols` with a column `_in` telling the groups a row counts for.
+
+    Given flag columns of the same table, membership is read off the row, without a
+    join: `_in` packs the flags into one number. A separate membership table is
+    joined on the identity and `_in` is the group's name, one row per membership.
     """
     picked = [named(c) for c in cols]
     if isinstance(groups, DataFrame):
-        return df.select(named(id_col), *picked).join(groups.select("group_name", named(id_col)), id_col, "left")
-    return df.select(F.explode_outer(_flagged_groups(groups)).alias("group_name"), *picked)
+        members = groups.select(named(id_col), F.col("group_name").alias("_in"))
+        return df.select(named(id_col), *picked).join(members, id_col, "left").drop(id_col)
+    if len(groups) > _MAX_FLAGS:
+        return df.select(F.explode_outer(_flagged_groups(groups)).alias("_in"), *picked)
+    bits = [F.when(named(g) == 1, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, g in enumerate(groups)]
+    return df.select(reduce(lambda a, b: a.bitwiseOR(b), bits).alias("_in"), *picked)
+
+
+def _by_group(cells: DataFrame, groups: DataFrame | Sequence[str]) -> DataFrame:
+    """Replace `_in` by `group_name`, repeating a reduced row for each of its groups."""
+    rest = [named(c) for c in cells.columns if c != "_in"]
+    if isinstance(groups, DataFrame) or len(groups) > _MAX_FLAGS:
+        return cells.select(F.col("_in").alias("group_name"), *rest)
+    held = F.array_compact(
+        F.array(*[F.when(F.col("_in").bitwiseAND(F.lit(1 << i)) != 0, F.lit(g)) for i, g in enumerate(groups)])
+    )
+    return cells.select(F.explode_outer(held).alias("group_name"), *rest)
 
 
 def distribution_by_group(
     df: DataFrame, groups: DataFrame | Sequence[str], id_col: str, cols: Sequence[str]
 ) -> DataFrame:
-    """G2. Rows per group and value of each column: one aggregation for all columns."""
+    """G2. Rows per group and value of each column: one aggregation for all columns.
+
+    Persons in no group count under a NULL group. With flag columns as `groups`, rows
+    are reduced per combination of flags first and only then counted for each group.
+    """
     tall = F.array(*[F.struct(F.lit(c).alias("measure"), named(c).cast("string").alias("value")) for c in cols])
-    return (
-        _with_groups(df, groups, id_col, cols)
-        .select("group_name", F.explode(tall).alias("_m"))
-        .groupBy("group_name", F.col("_m.measure").alias("measure"), F.col("_m.value").alias("value"))
-        .agg(F.count(F.lit(1)).alias("count"))
+    cells = (
+        _membership(df, groups, id_col, cols)
+        .select("_in", F.explode(tall).alias("_m"))
+        .groupBy("_in", F.col("_m.measure").alias("measure"), F.col("_m.value").alias("value"))
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
+    return _by_group(cells, groups).groupBy("group_name", "measure", "value").agg(F.sum("_n").alias("count"))
 
 
 def totals_by_group(
     df: DataFrame, groups: DataFrame | Sequence[str], id_col: str, cols: Sequence[str]
 ) -> DataFrame:
-    """G3. Sum and number of values per group for each column."""
-    aggs = []
+    """G3. Sum and number of values per group for each column, as in `distribution_by_group`."""
+    reductions, sums = [], []
     for i, c in enumerate(cols):
-        aggs += [F.sum(named(c)).cast("double").alias(f"_s{i}"), F.count(named(c)).alias(f"_n{i}")]
-    wide = _with_groups(df, groups, id_col, cols).groupBy("group_name").agg(*aggs)
+        reductions += [F.sum(named(c)).cast("double").alias(f"_s{i}"), F.count(named(c)).alias(f"_n{i}")]
+        sums += [F.sum(f"_s{i}").alias(f"_s{i}"), F.sum(f"_n{i}").alias(f"_n{i}")]
+    cells = _membership(df, groups, id_col, cols).groupBy("_in").agg(*reductions)
+    wide = _by_group(cells, groups).groupBy("group_name").agg(*sums)
     tall = F.array(
         *[
             F.struct(F.lit(c).alias("measure"), F.col(f"_s{i}").alias("total"), F.col(f"_n{i}").alias("count"))

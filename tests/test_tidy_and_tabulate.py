@@ -42,7 +42,7 @@ def wide(table):
     return table(WIDE, (1, 1, 1, "x", 10.0), (2, 1, 0, "y", None), (3, None, 0, "x", 5.0), (4, 0, 1, None, 7.5))
 
 
-def test_groups_and_distributions(wide):
+def test_groups_and_distributions(wide, monkeypatch):
     members = G.group_members(wide, "id", ["g1", "g2"])
     assert rows(members, "group_name", "id") == [("g1", 1), ("g1", 2), ("g2", 1), ("g2", 4)]
     by_join = G.distribution_by_group(wide, members, "id", ["m"])
@@ -51,6 +51,9 @@ def test_groups_and_distributions(wide):
     assert rows(by_join, *cols) == rows(by_flag, *cols) == sorted(
         [("g1", "m", "x", 1), ("g1", "m", "y", 1), ("g2", "m", "x", 1), ("g2", "m", None, 1), (None, "m", "x", 1)], key=repr
     )
+    monkeypatch.setattr(G, "_MAX_FLAGS", 1)
+    assert rows(G.distribution_by_group(wide, ["g1", "g2"], "id", ["m"]), *cols) == rows(by_join, *cols)
+    monkeypatch.undo()
     totals = G.totals_by_group(wide, ["g1", "g2"], "id", ["v"])
     assert rows(totals, "group_name", "total", "count") == sorted([("g1", 10.0, 1), ("g2", 17.5, 2), (None, 5.0, 1)], key=repr)
     spread = G.spread_groups(by_join, groups=["g1", "g2", G.NO_GROUP])
