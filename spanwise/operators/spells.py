@@ -178,15 +178,17 @@ def snapshots_to_spells(
     holds at most one row per day and looks `max_days` ahead: the table is not
     joined with itself.
     """
-    kinds = F.array(
-        *[F.struct(F.lit(i).alias("kind"), named(h).alias("hh")) for i, h in enumerate(household_keys)]
-    )
+    households = F.array(*[named(h) for h in household_keys])
     seen = (
-        df.select(named(id_col), F.unix_date(named(date).cast("date")).alias("_d"), F.explode(kinds).alias("_h"))
-        .filter(F.col("_h.hh").isNotNull() & F.col("_d").isNotNull())
+        df.select(
+            named(id_col),
+            F.unix_date(named(date).cast("date")).alias("_d"),
+            F.posexplode(households).alias("_kind", "_hh"),
+        )
+        .filter(F.col("_hh").isNotNull() & F.col("_d").isNotNull())
         .distinct()
     )
-    ahead = W.partitionBy(named(id_col), "_h").orderBy("_d").rangeBetween(min_days, max_days)
+    ahead = W.partitionBy(named(id_col), "_kind", "_hh").orderBy("_d").rangeBetween(min_days, max_days)
     followed = seen.withColumn("_ends", F.collect_list("_d").over(ahead))
     pairs = followed.select(named(id_col), "_d", F.explode("_ends").alias("_e"))
     return pairs.distinct().select(
