@@ -291,3 +291,15 @@ def near_duplicates(
     return member.select(
         named(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+    """The documents that stand for their component, with all their columns.
+
+    Rows are told apart by their id: rows with the id of a kept document stay with it. Null ids stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options)
+    gone = found.filter(~F.col("kept")).select(named(id_col).alias("__gone"))
+    kept = found.filter("kept").select(named(id_col).alias("__kept"))
+    gone = gone.join(kept, F.col("__gone") == F.col("__kept"), "left_anti").distinct()
+    return docs.join(gone, named(id_col) == F.col("__gone"), "left_anti")

@@ -1,12 +1,13 @@
 """Operator 9. Toxicity by maximum-scoring segments of token log-odds.
 
-Words get log-odds of toxic against clean documents under an informative
-Dirichlet prior (the pooled shares), lowered by a multiple of their standard
-error; words without evidence lower a running score a little. All maximal scoring
-segments of a text are found in one pass (Ruzzo and Tompa). The best score of
-clean text grows with the logarithm of its length and follows an extreme-value
-distribution; against that fitted law segments are standardised, summed and
-turned into a probability.
+Words and beginnings of words get log-odds of toxic against clean documents under an
+informative Dirichlet prior (the pooled shares); only those that stand out by several
+standard errors count, a word before its beginnings and long beginnings before short
+ones. Words without evidence lower a running score a little. All maximal scoring
+segments of a text are found in one pass (Ruzzo and Tompa). The best score of clean
+text grows with the logarithm of its length and follows an extreme-value
+distribution; against that fitted law segments are standardised, summed and turned
+into a probability.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,14 +30,23 @@ from spanwise.llm.common import bounded_rows, map_texts, text_slices
 #: Labelled rows a model is fitted on, those with the smallest hash of their id.
 FIT_ROWS = 20_000
 #: Weight of the prior against the documents counted.
-PRIOR = 0.05
-#: Standard errors that a word's log-odds are lowered by.
-CAUTION = 3.0
+PRIOR = 0.1
+#: Standard errors that log-odds must reach: so many, and so many more for each power of e of toxic documents.
+#: More documents make more words that could stand out by chance, and true ones stand out further.
+CAUTION = (1.2, 0.5)
+#: Log-odds below this are no evidence: longer documents hold more of every word.
+LEAST = 2.0
+#: Share of the toxic documents that must hold a word: what fewer have may be the mark of a group of copies.
+LEAST_SHARE = 0.02
+#: Lengths of beginnings, which are marked apart from whole words.
+STEMS = (8, 7, 6, 5, 4)
+_STEM = "\0"
 #: What a word without evidence takes off a running score.
 DRIFT = 0.05
 
 _WORD = re.compile(r"\w+")
 _BIN = 0.5
+CACHE_ENTRIES = 300_000
 _LOW, _HIGH = -20.0, 60.0
 
 
@@ -43,19 +54,25 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def features(word: str) -> list[str]:
+    """The word and its beginnings, what counts first coming first."""
+    return [word, *[_STEM + word[:n] for n in STEMS if n < len(word)]]
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Word scores; centre and scale of the best segment of clean text; line of the log-odds of a document."""
+    """Scores of words and beginnings; the law of clean text's best segment; line of the log-odds of a document."""
 
     weights: dict[str, float]
     centre: float
+    growth: float
     scale: float
     slope: float
     intercept: float
 
     def statistic(self, segments: list[tuple[int, int, float]], n_words: int) -> float:
         """The best segment against the law of clean text, and what further ones exceed it by."""
-        usual = self.centre + self.scale * math.log(max(n_words, 1))
+        usual = self.centre + self.growth * math.log(max(n_words, 1))
         best, *rest = sorted((s for _, _, s in segments), reverse=True) or [0.0]
         excess = sum(max(0.0, (s - usual) / self.scale) for s in rest)
         return min(_HIGH, max(_LOW, (best - usual) / self.scale + excess))
@@ -64,21 +81,35 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-min(50.0, max(-50.0, self.slope * statistic + self.intercept))))
 
 
-def maximal_segments(weights: dict[str, float], tokens: list[str]) -> list[tuple[int, int, float]]:
+class Weigher:
+    """Score of each word, 0 without evidence; the words met are remembered up to a bound."""
+
+    def __init__(self, weights: dict[str, float]) -> None:
+        self.weights, self.known = weights, {}
+
+    def __call__(self, tokens: list[str]) -> list[float]:
+        known = self.known
+        for word in set(tokens).difference(known):
+            known[word] = next((w for f in features(word) if (w := self.weights.get(f))), 0.0)
+        found = [known[word] for word in tokens]
+        if len(known) > CACHE_ENTRIES:
+            known.clear()
+        return found
+
+
+def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments as (first word, word after the last, score), in linear time.
 
-    Only words with evidence are visited; what lies between two of them is one step down.
+    `scores` are positive for words with evidence and 0 for others, which are a step down.
     """
-    get = weights.get
     total, at = 0.0, 0
     kept: list[tuple[int, int, float, float]] = []  # start, end, total before, total after
-    for i, word in enumerate(tokens):
-        weight = get(word)
-        if weight is None:
+    for i, score in enumerate(scores):
+        if not score:
             continue
         total -= DRIFT * (i - at)
         at = i + 1
-        start, end, low, high = i, i + 1, total, total + weight
+        start, end, low, high = i, i + 1, total, total + score
         total = high
         while True:
             j = len(kept) - 1
@@ -108,7 +139,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for part in text_slices(batches):
         found = (Counter(), Counter())
         for y, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-            found[y].update({"", *words(text)})
+            found[y].update({"", *(f for word in set(words(text)) for f in features(word))})
         vocabulary = list(found[0] | found[1])
         yield pa.RecordBatch.from_arrays(
             [pa.array(vocabulary, pa.string()), *[pa.array([c[w] for w in vocabulary], pa.int64()) for c in found]],
@@ -130,8 +161,10 @@ def _weights(examples: DataFrame) -> dict[str, float]:
         return F.log(held / (n + scale - held + 0.5))
 
     error = F.sqrt(1 / (F.col("toxic") + PRIOR * prior) + 1 / (F.col("clean") + PRIOR * prior))
-    weight = log_odds("toxic", total.toxic) - log_odds("clean", total.clean) - CAUTION * error
-    found = counts.filter(F.col("word") != "").select("word", weight.alias("weight")).filter("weight > 0")
+    weight = log_odds("toxic", total.toxic) - log_odds("clean", total.clean)
+    least = CAUTION[0] + CAUTION[1] * math.log(total.toxic)
+    held = F.col("toxic") >= LEAST_SHARE * total.toxic
+    found = counts.filter((F.col("word") != "") & (weight > least * error) & (weight >= LEAST) & held).select("word", weight.alias("weight"))
     return {r.word: r.weight for r in bounded_rows(found, 500_000, "words with evidence of toxicity")}
 
 
@@ -182,11 +215,12 @@ def fit_toxicity(
         shared = docs.sparkSession.sparkContext.broadcast(weights)
 
         def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weigh = Weigher(shared.value)
             for part in text_slices(batches):
                 best, others, n = [], [], []
                 for text in part.column(1).to_pylist():
                     tokens = words(text)
-                    top, *rest = sorted((s for *_, s in maximal_segments(shared.value, tokens)), reverse=True) or [0.0]
+                    top, *rest = sorted((s for *_, s in maximal_segments(weigh(tokens))), reverse=True) or [0.0]
                     best.append(top)
                     others.append(rest)
                     n.append(math.log(max(len(tokens), 1)))
@@ -196,10 +230,15 @@ def fit_toxicity(
                 )
 
         seen = examples.mapInArrow(measured, "y int, best double, others array<double>, n double")
-        clean = seen.filter("y = 0").agg(F.stddev_pop("best"), F.avg("best"), F.avg("n")).first()
-        scale = max((clean[0] or 0.0) * math.sqrt(6) / math.pi, 0.05)
-        centre = (clean[1] or 0.0) - 0.5772156649 * scale - scale * (clean[2] or 0.0)
-        usual = F.lit(centre) + F.lit(scale) * F.col("n")
+        clean = seen.filter("y = 0").agg(
+            F.avg("best"), F.avg("n"), F.var_pop("best"), F.var_pop("n"), F.covar_pop("best", "n")
+        ).first()
+        mean, mean_n, spread, spread_n, both = (x or 0.0 for x in clean)
+        growth = max(0.0, both / spread_n) if spread_n > 1e-9 else 0.0
+        rest = max(0.0, spread - 2 * growth * both + growth**2 * spread_n)
+        scale = max(math.sqrt(6 * rest) / math.pi, 0.1)
+        centre = mean - growth * mean_n - 0.5772156649 * scale
+        usual = F.lit(centre) + F.lit(growth) * F.col("n")
         excess = F.aggregate("others", F.lit(0.0), lambda a, s: a + F.greatest(F.lit(0.0), (s - usual) / scale))
         statistic = F.greatest(F.lit(_LOW), F.least(F.lit(_HIGH), (F.col("best") - usual) / scale + excess))
         place = F.floor(statistic / _BIN).cast("int").alias("place")
@@ -207,7 +246,7 @@ def fit_toxicity(
     finally:
         examples.unpersist()
     slope, intercept = _fit_line([((b[0] + 0.5) * _BIN, b[1], b[2]) for b in bins])
-    return ToxicityModel(weights, centre, scale, slope, intercept)
+    return ToxicityModel(weights, centre, growth, scale, slope, intercept)
 
 
 def score_toxicity(
@@ -224,12 +263,13 @@ def score_toxicity(
 
     def start() -> Callable[[list[str | None]], list[pa.Array]]:
         fitted = shared.value
+        weigh = Weigher(fitted.weights if fitted else {})
 
         def work(texts: list[str | None]) -> list[pa.Array]:
             scores, passages = [], []
             for text in texts:
                 tokens = words(text)
-                found = maximal_segments(fitted.weights, tokens) if fitted else []
+                found = maximal_segments(weigh(tokens)) if fitted else []
                 scores.append(fitted.probability(fitted.statistic(found, len(tokens))) if fitted else 0.0)
                 passages.append([{"first": a, "after": b, "score": s} for a, b, s in found])
             predicted = [int(s >= 0.5) for s in scores]
@@ -239,3 +279,24 @@ def score_toxicity(
 
     fields = "score double, predicted int, segments array<struct<first: int, after: int, score: double>>"
     return map_texts(docs, id_col, text_col, start, fields)
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text") -> DataFrame:
+    """The documents whose score is below 0.5, with all their columns; nothing is moved. Without a model all stay."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fitted = shared.value
+        weigh = Weigher(fitted.weights)
+
+        def of_text(text: str | None) -> float:
+            tokens = words(text)
+            return fitted.probability(fitted.statistic(maximal_segments(weigh(tokens)), len(tokens)))
+
+        for texts in batches:
+            yield texts.map(of_text).astype(float)
+
+    return docs.filter(score(named(text_col).cast("string")) < 0.5)
