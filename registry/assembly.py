@@ -107,6 +107,29 @@ def _(spark, sf):
     return A.assemble([PEOPLE, WHOLE], MEASURES, tables)
 
 
+# As text, the second period would end before the first one begins.
+_TWO_PERIODS = [
+    Population("population", Col("id"), Lit("fixed"), Lit(start), Lit(end), Lit(name))
+    for start, end, name in (("1998-1-1", "1998-9-30", "early"), ("1998-10-1", "1998-12-31", "late"))
+]
+_EARLY, _LATE = (
+    f"SELECT DISTINCT id, 'fixed' AS segment, DATE '{start}' AS period_start, DATE '{end}' AS period_end, '{name}' AS period FROM population"
+    for start, end, name in (("1998-01-01", "1998-09-30", "early"), ("1998-10-01", "1998-12-31", "late"))
+)
+
+
+@query(
+    "a1_two_fixed_periods",
+    f"early AS ({_EARLY}), late AS ({_LATE}) "
+    + " UNION ALL ".join(measure_sql("'days'", f"SUM({_OVERLAP})").replace("FROM population p", f"FROM {p} p") for p in ("early", "late")),
+    ["population", "spell"],
+)
+def _(spark, sf):
+    people = frame(spark, sf, "population").select("id").distinct()
+    tables = {"population": people, "spell": frame(spark, sf, "spell")}
+    return A.assemble(_TWO_PERIODS, [spell_measure("days", "DURATION", proportional=True)], tables)
+
+
 _WIDE = [spell_measure("spells", "COUNT"), spell_measure("total", "SUM"), spell_measure("days", "DURATION", proportional=True)]
 
 

@@ -186,7 +186,9 @@ def _(spark, sf):
                 ON a.id = b.id AND a.rn < b.rn AND a.start_date <= b.end_date AND b.start_date <= a.end_date)
        SELECT (SELECT COUNT(*) = 0 FROM pair) AS by_person,
               (SELECT COUNT(*) = 0 FROM pair WHERE same_code) AS by_person_code,
-              FALSE AS ungrouped,
+              (SELECT COUNT(*) = 0 FROM (
+                 SELECT start_date, MAX(end_date) OVER (ORDER BY rn2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until
+                 FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY start_date, end_date) AS rn2 FROM spell)) WHERE start_date <= until) AS ungrouped,
               (SELECT COUNT(*) = 0 FROM population a JOIN population b
                ON a.id = b.id AND a.period < b.period AND a.period_start <= b.period_end AND b.period_start <= a.period_end) AS periods""",
     ["spell", "population"],

@@ -22,6 +22,18 @@ def as_date(value: str | dt.date | Column) -> Column:
     return F.lit(value).cast("date")
 
 
+def literal_day(value: str | dt.date) -> dt.date:
+    """A fixed day given as date or as year-month-day text, with or without leading zeros."""
+    if isinstance(value, dt.datetime):
+        return value.date()
+    if isinstance(value, dt.date):
+        return value
+    try:
+        return dt.date(*[int(part) for part in str(value).strip().split("-")])
+    except (TypeError, ValueError):
+        raise ValueError(f"{value!r} is no day") from None
+
+
 def partial_date(year: Column, month: Column, day: Column) -> Column:
     """S11. Date from parts; NULL when a part is NULL or the parts name no day."""
     y = F.when(year.between(1, 9999), year.cast("int"))

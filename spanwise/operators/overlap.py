@@ -14,7 +14,9 @@ SPAN = ("start_date", "end_date")
 
 # Tile widths as powers of two days; the last one spans all dates.
 _WIDTHS = (5, 10, 15, 23)
-_TILE_TYPE = "array<struct<level:int,tile:int>>"
+_TILE_TYPE = "array<struct<level:int,tile:int,meets:int>>"
+# Who is at home in a tile, on the level of its own length: the left row, or the right row alone.
+_LEFT_HOME, _RIGHT_HOME = 0, 1
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -31,30 +33,47 @@ def _own_level(start: Column, end: Column) -> Column:
     return level
 
 
-def _at_level(level: int) -> Callable[[Column], Column]:
-    return lambda tile: F.struct(F.lit(level).alias("level"), tile.alias("tile"))
+def _at_level(level: int, meets: int) -> Callable[[Column], Column]:
+    return lambda tile: F.struct(F.lit(level).alias("level"), tile.alias("tile"), F.lit(meets).alias("meets"))
 
 
-def _touched_tiles(start: Column, end: Column) -> Column:
-    """Tiles touched on the own and every wider level: at most two each, eight in all."""
-    own = _own_level(start, end)
+def _touched_tiles(start: Column, end: Column, is_left: bool) -> Column:
+    """Tiles touched, at most two on a level.
+
+    A row is at home on its own level. On a wider one it can only meet rows of the
+    other side that are at home there, and stays away from levels where there are none.
+    """
+    own, none = _own_level(start, end), F.array().cast(_TILE_TYPE)
     levels = []
     for lv, width in enumerate(_WIDTHS):
         tiles = F.sequence(F.shiftright(F.unix_date(start), width), F.shiftright(F.unix_date(end), width))
-        levels.append(F.when(own <= lv, F.transform(tiles, _at_level(lv))).otherwise(F.array().cast(_TILE_TYPE)))
+
+        def put(meets: int, tiles: Column = tiles, lv: int = lv) -> Column:
+            return F.transform(tiles, _at_level(lv, meets))
+
+        home = put(_LEFT_HOME) if is_left else F.concat(put(_LEFT_HOME), put(_RIGHT_HOME))
+        away = put(_RIGHT_HOME if is_left else _LEFT_HOME)
+        levels.append(F.when(own == lv, home).when((own < lv) & F.array_contains("_others", lv), away).otherwise(none))
     return F.concat(*levels)
 
 
-def _tiled(df: DataFrame, keys: Sequence[str], span: tuple[str, str], hot: DataFrame) -> DataFrame:
+def _home_levels(flagged: DataFrame, keys: Sequence[str], span: tuple[str, str]) -> DataFrame:
+    """Levels on which each common key has rows at home: no more rows than the list of common keys."""
+    own = _own_level(named(span[0]), named(span[1]))
+    found = flagged.filter("_hot").groupBy(*[named(k) for k in keys]).agg(F.collect_set(own).alias("_others"))
+    return found.select(*[named(k).alias(f"_home_{i}") for i, k in enumerate(keys)], "_others")
+
+
+def _tiled(df: DataFrame, keys: Sequence[str], span: tuple[str, str], others: DataFrame, is_left: bool) -> DataFrame:
+    """Rows by the tiles they touch; `df` is flagged, `others` names the other side's levels."""
     start, end = named(span[0]), named(span[1])
-    whole = F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).alias("tile")))
-    flagged = flag_hot(df.filter(start.isNotNull() & end.isNotNull()), keys, hot)
-    return (
-        flagged.withColumn("_t", F.explode(F.when(F.col("_hot"), _touched_tiles(start, end)).otherwise(whole)))
-        .withColumn("_level", F.col("_t.level"))
-        .withColumn("_tile", F.col("_t.tile"))
-        .drop("_t", "_hot")
-    )
+    same = [named(k).eqNullSafe(F.col(f"_home_{i}")) for i, k in enumerate(keys)]
+    whole = F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).alias("tile"), F.lit(0).alias("meets")))
+    met = df.join(F.broadcast(others), same, "left").withColumn("_others", F.coalesce("_others", F.array().cast("array<int>")))
+    tiles = F.explode(F.when(F.col("_hot"), _touched_tiles(start, end, is_left)).otherwise(whole))
+    met = met.withColumn("_t", tiles)
+    columns = [named(c) for c in df.columns if c != "_hot"]
+    return met.select(*columns, F.col("_t.level").alias("_level"), F.col("_t.tile").alias("_tile"), F.col("_t.meets").alias("_meets"))
 
 
 def overlap_join(
@@ -65,47 +84,43 @@ def overlap_join(
     right_span: tuple[str, str] = SPAN,
     prefix: str = "right_",
     hot: DataFrame | None = None,
-    few_per_key: bool = False,
 ) -> DataFrame:
     """S19. Pairs of rows with equal key and overlapping days.
 
     Columns of `right` other than the key come back under `prefix`. Ordinary keys
     meet in one equi-join. A key with very many rows is cut into time tiles, so
     only rows near each other in time are compared: spells are matched on the
-    wider of their two own levels and in the tile where their overlap begins,
-    which names each pair exactly once.
+    wider of their two own levels, where one of them is at home, and in the tile
+    where their overlap begins, which names each pair exactly once. Short spells
+    never meet each other in a wide tile.
 
     `hot` is the result of `hot_keys`, counted over both sides when not given.
-    `few_per_key=True` states that no key is common and skips the counting.
     """
     keys = as_list(on)
-    tiled = not few_per_key
-    if tiled:
-        if hot is None:
-            both = left.select(*[named(k) for k in keys]).unionByName(right.select(*[named(k) for k in keys]))
-            hot = hot_keys(both, keys)
-        left, right = _tiled(left, keys, left_span, hot), _tiled(right, keys, right_span, hot)
+    if hot is None:
+        both = left.select(*[named(k) for k in keys]).unionByName(right.select(*[named(k) for k in keys]))
+        hot = hot_keys(both, keys)
+
+    def flagged(df: DataFrame, span: tuple[str, str]) -> DataFrame:
+        return flag_hot(df.filter(named(span[0]).isNotNull() & named(span[1]).isNotNull()), keys, hot)
+
+    left, right = flagged(left, left_span), flagged(right, right_span)
+    of_left, of_right = _home_levels(left, keys, left_span), _home_levels(right, keys, right_span)
+    left, right = _tiled(left, keys, left_span, of_right, True), _tiled(right, keys, right_span, of_left, False)
     renamed = right.select(*[named(c).alias(prefix + c) for c in right.columns])
 
     ls, le = named(left_span[0]), named(left_span[1])
     rs, re = named(prefix + right_span[0]), named(prefix + right_span[1])
     cond = [named(k) == named(prefix + k) for k in keys]
-    if tiled:
-        level, tile = F.col("_level"), F.col("_tile")
-        begins = F.unix_date(F.greatest(ls, rs))
-        home = F.lit(None).cast("int")
-        for lv, width in enumerate(_WIDTHS):
-            home = F.when(level == lv, F.shiftright(begins, width)).otherwise(home)
-        widest = F.greatest(_own_level(ls, le), _own_level(rs, re))
-        cond += [
-            level == named(prefix + "_level"),
-            tile == named(prefix + "_tile"),
-            (level == -1) | ((level == widest) & (tile == home)),
-        ]
-    cond.append(overlaps(ls, le, rs, re))
-    drop = [prefix + k for k in keys]
-    if tiled:
-        drop += ["_level", "_tile", prefix + "_level", prefix + "_tile"]
+    level, tile = F.col("_level"), F.col("_tile")
+    begins = F.unix_date(F.greatest(ls, rs))
+    home = F.lit(None).cast("int")
+    for lv, width in enumerate(_WIDTHS):
+        home = F.when(level == lv, F.shiftright(begins, width)).otherwise(home)
+    helpers = ("_level", "_tile", "_meets")
+    cond += [F.col(c) == named(prefix + c) for c in helpers]
+    cond += [(level == -1) | (tile == home), overlaps(ls, le, rs, re)]
+    drop = [prefix + k for k in keys] + [*helpers, *[prefix + c for c in helpers]]
     return left.join(renamed, cond, "inner").drop(*drop)
 
 
@@ -116,13 +131,12 @@ def intersect_spells(
     start: str = "start_date",
     end: str = "end_date",
     hot: DataFrame | None = None,
-    few_per_key: bool = False,
 ) -> DataFrame:
     """S5. Days common to a spell of `a` and a spell of `b` of the same key.
 
     Non-key columns of `b` other than the dates are kept; they must not clash with `a`.
     """
-    joined = overlap_join(a, b, key, (start, end), (start, end), "_b_", hot, few_per_key)
+    joined = overlap_join(a, b, key, (start, end), (start, end), "_b_", hot)
     keys = as_list(key)
     extra = [c for c in b.columns if c not in (*keys, start, end)]
     columns = []

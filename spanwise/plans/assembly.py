@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import warnings
 from collections import defaultdict
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanwise.functions.columns import named
-from spanwise.functions.dates import as_date, days_inclusive
+from spanwise.functions.dates import as_date, days_inclusive, literal_day
 from spanwise.operators.overlap import overlaps
 from spanwise.operators.reshape import pivot_long
 from spanwise.operators.skew import hot_keys, salted
@@ -138,20 +140,24 @@ def _population_frame(
                 F.lit(number).alias("_spec"),
                 _column(spec.identity).cast("long").alias("identity_column"),
                 _column(spec.label).cast("string").alias("label_identity"),
-                _column(spec.start).cast("date").alias("summary_period_start_date"),
-                _column(spec.end).cast("date").alias("summary_period_end_date"),
+                _day(spec.start).alias("summary_period_start_date"),
+                _day(spec.end).alias("summary_period_end_date"),
                 _column(spec.period).cast("string").alias("label_summary_period"),
             )
         )
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def _fixed_window(populations: Sequence[Population]) -> tuple[str, str] | None:
+def _day(given: Input) -> Column:
+    return named(given.name).cast("date") if isinstance(given, Col) else F.lit(literal_day(given.value))
+
+
+def _fixed_window(populations: Sequence[Population]) -> tuple[dt.date, dt.date] | None:
     """First and last day of all periods, when every period is given as fixed dates."""
     dates = [(p.start, p.end) for p in populations]
     if any(isinstance(given, Col) for pair in dates for given in pair):
         return None
-    return min(str(s.value) for s, _ in dates), max(str(e.value) for _, e in dates)
+    return min(literal_day(s.value) for s, _ in dates), max(literal_day(e.value) for _, e in dates)
 
 
 def _summary(kind: str, proportional: bool, value: Column) -> Column:
@@ -187,7 +193,7 @@ def _matched(
     table: DataFrame,
     like: Measure,
     columns: Mapping[str, Column],
-    window: tuple[str, str] | None,
+    window: tuple[dt.date, dt.date] | None,
     min_rows: int | None,
 ) -> DataFrame:
     """Population rows with the measure rows of the person that overlap the period.
@@ -196,8 +202,8 @@ def _matched(
     """
     rows = table.select(
         _column(like.identity).cast("long").alias("_mid"),
-        _column(like.start).cast("date").alias("_ms"),
-        _column(like.end).cast("date").alias("_me"),
+        _day(like.start).alias("_ms"),
+        _day(like.end).alias("_me"),
         *[expr.alias(name) for name, expr in columns.items()],
     )
     if window is not None:
@@ -350,5 +356,8 @@ def run_assembly(
 def _exists(spark: SparkSession, name: str) -> bool:
     if "/" not in name:
         return spark.catalog.tableExists(name)
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    try:
+        read_table(spark, name)
+    except AnalysisException:  # nothing there, or no table in it
+        return False
+    return True

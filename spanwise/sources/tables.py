@@ -42,10 +42,13 @@ def write_table(df: DataFrame, name: str, overwrite: bool = False) -> DataFrame:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """New location under the folder the session names for shared intermediate data.
 
-    Only a session without that setting (tests, one machine) uses a local folder.
+    A session on one machine may leave it unset and gets a local folder; on a cluster
+    that would leave each executor with files no other one sees, so it is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), "spanwise-scratch")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 

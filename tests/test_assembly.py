@@ -145,3 +145,13 @@ def test_development_rows_per_pair(tables, monkeypatch):
     monkeypatch.setattr(A, "DEV_ROWS", 2)
     found = A.assemble([PEOPLE], [measure("COUNT"), measure("SUM", label=Lit("s"))], tables, development=True)
     assert found.count() == 4
+
+
+def test_fixed_days_are_compared_as_days():
+    from spanwise.functions.dates import literal_day
+
+    periods = [A.Population("t", Col("id"), Lit("x"), Lit(s), Lit(e), Lit(s)) for s, e in (("1998-1-1", "1998-9-30"), ("1998-10-1", "1998-12-31"))]
+    assert A._fixed_window(periods) == (dt.date(1998, 1, 1), dt.date(1998, 12, 31))
+    for wrong in ("1998-13-1", "soon", None, "1998-1"):
+        with pytest.raises(ValueError):
+            literal_day(wrong)
