@@ -94,6 +94,14 @@ def map_texts(
     return source.mapInArrow(run, schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold_remainder(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo `mod`; null ids count as empty text."""
     return F.crc32(F.coalesce(named(id_col).cast("string"), F.lit("")).cast("binary")) % mod

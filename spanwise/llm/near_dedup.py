@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.functions.columns import named
-from spanwise.llm.common import map_texts, store
+from spanwise.llm.common import fresh, map_texts, store
 
 #: Words of a shingle and the similarity (in hundredths) from which documents are linked.
 SHINGLE_WORDS = 5
@@ -299,7 +299,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows are told apart by their id: rows with the id of a kept document stay with it. Null ids stay.
     """
     found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.filter(~F.col("kept")).select(named(id_col).alias("__gone"))
-    kept = found.filter("kept").select(named(id_col).alias("__kept"))
-    gone = gone.join(kept, F.col("__gone") == F.col("__kept"), "left_anti").distinct()
-    return docs.join(gone, named(id_col) == F.col("__gone"), "left_anti")
+    name = fresh(docs, "gone")
+    gone = found.filter(~F.col("kept")).select(named(id_col).alias(name))
+    kept = found.filter("kept").select(named(id_col).alias("kept"))
+    gone = gone.join(kept, F.col(name) == F.col("kept"), "left_anti").distinct()
+    return docs.join(gone, named(id_col) == F.col(name), "left_anti")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.functions.columns import named
-from spanwise.llm.common import map_texts, text_slices
+from spanwise.llm.common import fresh, map_texts, text_slices
 
 #: Symbols of the folded alphabet and length of n-grams: tables hold ALPHABET ** ORDER numbers.
 ALPHABET = 40
@@ -168,12 +168,13 @@ def classify_quality(
     null, use that of all. Texts without characters have null perplexity and are not
     good. Null ids are never trusted; repeated rows are scored alike.
     """
-    ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("__id")).filter("__id IS NOT NULL").distinct()
-    trusted = docs.join(ids, named(id_col) == F.col("__id"), "left_semi")
+    name = fresh(docs, "trusted_id")
+    ids = trusted_ids.select(named(trusted_ids.columns[0]).alias(name)).dropna().distinct()
+    trusted = docs.join(ids, named(id_col) == F.col(name), "left_semi")
     model = fit_quality(trusted, text_col)
     base = docs.select(F.struct(named(id_col).alias("id"), named(lang_col).alias("lang")).alias("key"), named(text_col).alias("text"))
     scored = perplexities(base, model, "key", "text").select("key.id", "key.lang", "perplexity")
-    marks = scored.join(ids, F.col("id") == F.col("__id"), "left_semi").filter("perplexity IS NOT NULL")
+    marks = scored.join(ids, F.col("id") == F.col(name), "left_semi").filter("perplexity IS NOT NULL")
     at = F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")
     of_lang = marks.filter("lang IS NOT NULL").groupBy("lang").agg(at)
     of_all = marks.agg(at).first().threshold

@@ -16,6 +16,7 @@ from spanwise.llm.line_dedup import dedup_lines
 from spanwise.llm.mixing import fit_mix, sample_mix
 from spanwise.llm.near_dedup import near_duplicates
 from spanwise.llm.neighbours import nearest_neighbours
+from spanwise.llm.oracles import LINE_DEDUP
 from spanwise.llm.quality import classify_quality
 from spanwise.llm.token_counts import count_tokens
 from spanwise.llm.topk_search import search
@@ -107,4 +108,4 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP}
