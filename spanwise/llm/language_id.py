@@ -160,13 +160,16 @@ def predict_language(
 
     def start() -> Callable[[list[str | None]], list[pa.Array]]:
         fitted = shared.value
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, int] = {}  # words met, by their row of the scores
+        scores = np.zeros((1024, len(fitted.languages) if fitted else 0))
 
-        def scores(word: str) -> np.ndarray:
-            if len(known) > CACHE_ENTRIES:
-                known.clear()
-            known[word] = found = fitted.word_scores(word)
-            return found
+        def learn(fresh: list[str]) -> None:
+            nonlocal scores
+            for word in fresh:
+                if len(known) == len(scores):
+                    scores = np.concatenate([scores, np.zeros_like(scores)])
+                scores[len(known)] = fitted.word_scores(word)
+                known[word] = len(known)
 
         def work(texts: list[str | None]) -> list[pa.Array]:
             predicted, sure = [], []
@@ -176,9 +179,11 @@ def predict_language(
                     predicted.append(UNKNOWN)
                     sure.append(0.0)
                     continue
-                get = known.get
-                table = np.array([s if (s := get(w)) is not None else scores(w) for w in found])
-                total = np.fromiter(found.values(), np.float64, len(found)) @ table
+                if len(known) > CACHE_ENTRIES:
+                    known.clear()
+                learn([w for w in found if w not in known])
+                rows = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+                total = np.fromiter(found.values(), np.float64, len(found)) @ scores[rows]
                 best = int(total.argmax())
                 predicted.append(fitted.languages[best])
                 sure.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
