@@ -1,155 +1,212 @@
 """Operator 4. Quality by perplexity under an interpolated modified Kneser-Ney model.
 
-The model reads characters, folded to a small alphabet: the most frequent ones of
-the trusted text, classes for the rest. All n-grams of all trusted text are counted,
-first in tasks and then over hash shards. With a bounded alphabet the table of counts
-has a bound too, so joining a document's n-grams with it is a look-up by position,
-and no row per document and n-gram has to travel. A document is kept when its
-perplexity is at most a quantile of trusted documents in its language.
+The model reads characters. Every n-gram of all trusted text is counted, first in
+tasks and then over hash shards; continuation counts, discounts and back-off weights
+are aggregations of that table, which grows with the trusted text and never leaves
+the executors. Texts are stored in slices, and a slice asks for each n-gram it holds
+once. The distinct n-grams asked for meet the counts level by level in joins on the
+n-gram; the probabilities return to the slices, which sum them by document. A
+document is kept when its perplexity is at most a quantile of the trusted documents
+in its language.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.functions.columns import named
-from spanwise.llm.common import fresh, map_texts, text_slices
+from spanwise.llm.common import fold_remainder, fresh, store, text_slices
 
-#: Symbols of the folded alphabet and length of n-grams: tables hold ALPHABET ** ORDER numbers.
-ALPHABET = 40
-ORDER = 4
+#: Characters of an n-gram.
+ORDER = 5
+#: One trusted document in so many sets the thresholds; the model is trained on the others, which it therefore favours.
+FOLDS = 3
 #: Quantile of the perplexity of trusted documents that others may reach.
 QUANTILE = 0.98
+#: Parts that a language's rows are spread over when they meet its threshold.
+SPREAD = 64
 
-# Symbols with a fixed meaning; letters and marks by frequency follow.
-_EDGE, _SPACE, _DIGIT, _UPPER, _LETTER, _MARK = range(6)
+_EDGE = 2  # a control character, which texts cannot hold once folded
 _POINTS = 0x110000
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def fold_table(frequent: str) -> np.ndarray:
-    """Symbol of every code point: capitals, other letters, digits, blanks and marks by class, `frequent` ones singly."""
-    table = np.full(_POINTS, _MARK, np.uint8)
-    for point in (*range(0xD800), *range(0xE000, _POINTS)):
+@functools.cache
+def fold_table() -> np.ndarray:
+    """Symbol of every code point: digits are one, blanks and control characters are one, others stay."""
+    table = np.arange(_POINTS, dtype=np.uint32)
+    for point in range(_POINTS):
         c = chr(point)
-        if c.isalpha():
-            table[point] = _UPPER if c.isupper() else _LETTER
+        if point <= 32 or c.isspace():
+            table[point] = 32
         elif c.isdigit():
-            table[point] = _DIGIT
-        elif c.isspace():
-            table[point] = _SPACE
-    for i, c in enumerate(frequent[: ALPHABET - _MARK - 1]):
-        table[ord(c)] = _MARK + 1 + i
+            table[point] = ord("0")
     return table
 
 
-def codes(texts: list[str], fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the table of all n-grams, one for each character, and the number of characters of each text.
-
-    Texts begin with `ORDER` - 1 edges, so that each n-gram stays within a text.
-    """
+def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Folded code points with `ORDER` - 1 edges before each text, the end of each n-gram in them, and the lengths."""
     edge = "\0" * (ORDER - 1)
-    points = np.frombuffer(edge.join(["", *texts]).encode("utf-32-le"), np.uint32)
-    symbols = fold[points].astype(np.int64)
+    points = fold_table()[np.frombuffer(edge.join(["", *texts]).encode("utf-32-le"), np.uint32)]
     lengths = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(lengths + ORDER - 1) - lengths
-    for k in range(ORDER - 1):
-        symbols[starts - 1 - k] = _EDGE
-    n = len(symbols) - ORDER + 1
-    code = np.zeros(max(n, 0), np.int64)
-    for k in range(ORDER):
-        code = code * ALPHABET + symbols[k : k + n]
-    inside = np.ones(len(symbols), bool)
-    for k in range(ORDER - 1):
-        inside[starts - 1 - k] = False
-    return code[inside[ORDER - 1 :]], lengths
-
-
-def kneser_ney(counts: np.ndarray) -> np.ndarray:
-    """Natural logarithms of the interpolated modified Kneser-Ney probabilities, an array like `counts`.
-
-    `counts` has one axis per place, the last being the symbol predicted.
-    """
-    order = counts.ndim
-    levels = [counts.astype(float)]
-    while levels[-1].ndim > 1:
-        levels.append((levels[-1] > 0).sum(axis=0).astype(float))  # distinct symbols before
-    size = counts.shape[-1]
-    lower = np.full(size, 1 / size)
-    for level in reversed(levels):
-        ones, twos, threes, fours = (float((level == k).sum()) for k in (1, 2, 3, 4))
-        y = ones / (ones + 2 * twos) if ones and twos else 0.5
-        cuts = [
-            min(max(k - (k + 1) * y * after / now, 0.1 * k), 0.9 * k) if now else 0.5 * k
-            for k, now, after in ((1, ones, twos), (2, twos, threes), (3, threes, fours))
-        ]
-        cut = np.select([level == 1, level == 2, level >= 3], cuts, 0.0)
-        total = level.sum(axis=-1, keepdims=True)
-        spare = np.divide(cut.sum(axis=-1, keepdims=True), total, out=np.ones_like(total), where=total > 0)
-        own = np.divide(level - cut, total, out=np.zeros_like(level), where=total > 0)
-        lower = own + spare * lower
-    assert lower.ndim == order
-    return np.log(lower)
+    inside = np.ones(len(points), bool)
+    for k in range(1, ORDER):
+        points[starts - k] = _EDGE
+        inside[starts - k] = False
+    return points, np.flatnonzero(inside), lengths
 
 
-@dataclass(frozen=True)
-class QualityModel:
-    frequent: str
-    log_probs: np.ndarray
+def keys(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the n-grams that end at `ends`."""
+    key = np.zeros(len(ends), np.uint64)
+    for k in range(ORDER - 1, -1, -1):
+        key = (key ^ points[ends - k].astype(np.uint64)) * _MULTIPLIER
+        key ^= key >> np.uint64(29)
+    return key
 
 
-def _characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in text_slices(batches, 0):
-        points = np.frombuffer("".join(t or "" for t in part.column(0).to_pylist()).encode("utf-32-le"), np.uint32)
-        found, n = np.unique(points, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n)], names=["point", "n"])
+def grams(points: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The n-grams that end at `ends`, as text."""
+    rows = np.stack([points[ends - k] for k in range(ORDER - 1, -1, -1)], 1)
+    joined = np.ascontiguousarray(rows, np.uint32).tobytes().decode("utf-32-le")
+    return [joined[i : i + ORDER] for i in range(0, len(joined), ORDER)]
 
 
-def fit_quality(trusted: DataFrame, text_col: str = "text") -> QualityModel:
-    """Model of all whole texts of `trusted`; null and empty ones add nothing. Without any text all symbols are alike."""
-    texts = trusted.select(named(text_col).cast("string").alias("text")).filter("length(text) > 0")
-    points = texts.mapInArrow(_characters, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    usual = points.filter("n > 0").orderBy(F.desc("n"), "point").limit(4 * ALPHABET).collect()
-    frequent = "".join(c for r in usual if not (c := chr(r.point)).isspace() and not c.isdigit() and not c.isupper())
-    shared = trusted.sparkSession.sparkContext.broadcast(fold_table(frequent))
+def _sliced(docs: DataFrame, id_col: str, lang_col: str, text_col: str) -> DataFrame:
+    """Columns `slice`, `id`, `lang`, `text`, stored: a slice is some rows of one task, whole texts."""
+    source = docs.select(named(text_col).cast("string").alias("text"), named(id_col).alias("id"), named(lang_col).alias("lang"))
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(ALPHABET**ORDER, np.int64)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for part in text_slices(batches, 0):
-            code, _ = codes(part.column(0).to_pylist(), shared.value)
-            total += np.bincount(code, minlength=len(total))
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["gram", "n"])
+            number += 1
+            slices = pa.array(np.full(part.num_rows, number, np.int64))
+            yield pa.RecordBatch.from_arrays([slices, *part.columns], names=["slice", "text", "id", "lang"])
+
+    schema = f"slice long, text string, id {kinds['id']}, lang {kinds['lang']}"
+    return store(source.mapInArrow(cut, schema), "quality-slices")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`slice`, `gram`, `n` of each slice's n-grams; rows come as `text`, `slice`."""
+    for part in text_slices(batches, 0):
+        slices = part.column(1).to_numpy(zero_copy_only=False)
+        for number in np.unique(slices):
+            rows = part.filter(pa.array(slices == number))
+            points, ends, _ = symbols([t or "" for t in rows.column(0).to_pylist()])
+            _, first, n = np.unique(keys(points, ends), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(n), number, np.int64)), pa.array(grams(points, ends[first]), pa.string()), pa.array(n)],
+                names=["slice", "gram", "n"],
+            )
+
 
-    rows = texts.mapInArrow(grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(ALPHABET**ORDER, np.int64)  # the bound of what was gathered
-    counts[rows["gram"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    log_probs = kneser_ney(counts.reshape((ALPHABET,) * ORDER)).astype(np.float32).reshape(-1)
-    return QualityModel(frequent, log_probs)
+def _grams_of(texts: DataFrame) -> DataFrame:
+    return texts.select("text", "slice").mapInArrow(_counted, "slice long, gram string, n long")
 
 
-def perplexities(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns id, `n_chars_scored`, `perplexity` per character (null without characters), one row per input row."""
-    shared = docs.sparkSession.sparkContext.broadcast((fold_table(model.frequent), model.log_probs))
+@dataclass(frozen=True)
+class Level:
+    """N-grams of one length: `gram`, `own` (discounted share of its context); contexts with `spare`, what was taken off."""
 
-    def start() -> Callable[[list[str | None]], list[pa.Array]]:
-        fold, log_probs = shared.value
+    shares: DataFrame
+    contexts: DataFrame
 
-        def work(texts: list[str | None]) -> list[pa.Array]:
-            code, lengths = codes([t or "" for t in texts], fold)
-            ends = np.concatenate([[0], np.cumsum(log_probs[code], dtype=np.float64)])[np.cumsum(lengths)]
-            total = np.diff(ends, prepend=0.0)
-            value = np.exp(-total / np.maximum(lengths, 1))
-            return [pa.array(lengths), pa.array(value, mask=lengths == 0)]
 
-        return work
+@dataclass(frozen=True)
+class QualityModel:
+    """Levels from single characters up, and the probability of a character whatever it is."""
 
-    return map_texts(docs, id_col, text_col, start, "n_chars_scored bigint, perplexity double")
+    levels: list[Level]
+    floor: float
+
+
+def discounts(ones: int, twos: int, threes: int, fours: int) -> list[float]:
+    """What is taken off counts of 1, 2 and 3 or more, from how many n-grams have the counts 1 to 4.
+
+    The estimate of Chen and Goodman, kept within a tenth and nine tenths of the count.
+    """
+    y = ones / (ones + 2 * twos) if ones and twos else 0.5
+    steps = ((1, ones, twos), (2, twos, threes), (3, threes, fours))
+    return [min(max(k - (k + 1) * y * after / now, 0.1 * k), 0.9 * k) if now else 0.5 * k for k, now, after in steps]
+
+
+def _level(counts: DataFrame, size: int) -> Level:
+    n = F.col("n")
+    found = counts.agg(*[F.count(F.when(n == k, 1)) for k in (1, 2, 3, 4)]).first()
+    one, two, more = discounts(*found)
+    cut = F.when(n == 1, one).when(n == 2, two).otherwise(more)
+    context = F.substring("gram", 1, size - 1)
+    contexts = counts.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.sum(cut).alias("cut"))
+    shares = counts.select("gram", context.alias("context"), (n - cut).alias("rest"))
+    shares = shares.join(contexts, "context").select("gram", (F.col("rest") / F.col("total")).alias("own"))
+    return Level(shares, contexts.select("context", (F.col("cut") / F.col("total")).alias("spare")))
+
+
+def fit_quality(counts: DataFrame) -> QualityModel:
+    """Model from `gram` (of `ORDER` characters) and `n`, one row per n-gram. Without any, all characters are alike."""
+    levels, at = [], counts
+    for size in range(ORDER, 0, -1):
+        levels.append(_level(at, size))
+        if size > 1:  # lower levels count the distinct characters before
+            at = at.groupBy(F.substring("gram", 2, size - 1).alias("gram")).agg(F.count("*").alias("n"))
+    return QualityModel(levels[::-1], 1.0 / (at.count() + 1))
+
+
+def probabilities(asked: DataFrame, model: QualityModel) -> DataFrame:
+    """`gram` and `p` for distinct n-grams `asked`: own share, and what its context spares times the shorter one's."""
+    wanted = [asked]
+    for size in range(ORDER - 1, 0, -1):
+        wanted.append(wanted[-1].select(F.substring("gram", 2, size).alias("gram")).distinct())
+    lower: DataFrame | None = None
+    for size, level in enumerate(model.levels, 1):
+        rows = wanted[ORDER - size].join(level.shares, "gram", "left")
+        rows = rows.withColumn("context", F.substring("gram", 1, size - 1)).join(level.contexts, "context", "left")
+        shorter: Column = F.lit(model.floor)
+        if lower is not None:
+            rows = rows.withColumn("suffix", F.substring("gram", 2, size - 1))
+            rows = rows.join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("shorter")), "suffix")
+            shorter = F.col("shorter")
+        p = F.coalesce("own", F.lit(0.0)) + F.coalesce("spare", F.lit(1.0)) * shorter
+        lower = rows.select("gram", p.alias("p"))
+    return lower
+
+
+def _scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    """Perplexity of each row of one slice from the probabilities of its n-grams."""
+    points, ends, lengths = symbols([t or "" for t in texts.column("text").to_pylist()])
+    known = np.frombuffer("".join(answers.column("gram").to_pylist()).encode("utf-32-le"), np.uint32)
+    known_keys = keys(known, np.arange(ORDER - 1, len(known), ORDER))
+    order = np.argsort(known_keys)
+    values = np.log(answers.column("p").to_numpy())[order]
+    logs = values[np.searchsorted(known_keys[order], keys(points, ends))] if len(order) else np.zeros(0)
+    at = np.cumsum(lengths)
+    total = np.array([logs[a:b].sum() for a, b in zip(at - lengths, at, strict=True)])
+    value = np.exp(-total / np.maximum(lengths, 1))
+    return pa.table({
+        "id": texts.column("id"), "lang": texts.column("lang"),
+        "n_chars_scored": pa.array(lengths), "perplexity": pa.array(value, pa.float64(), mask=lengths == 0),
+    })
+
+
+def perplexities(sliced: DataFrame, model: QualityModel) -> DataFrame:
+    """Columns `id`, `lang`, `n_chars_scored`, `perplexity` per character (null without characters), a row per row of `sliced`."""
+    asked = _grams_of(sliced).select("slice", "gram")
+    distinct = store(asked.select("gram").distinct(), "quality-asked")
+    answers = asked.join(probabilities(distinct, model), "gram")
+    kinds = {f.name: f.dataType.simpleString() for f in sliced.schema}
+    schema = f"id {kinds['id']}, lang {kinds['lang']}, n_chars_scored long, perplexity double"
+    return sliced.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_scored, schema)
 
 
 def classify_quality(
@@ -162,23 +219,32 @@ def classify_quality(
 ) -> DataFrame:
     """Columns id, `lang`, `perplexity`, `threshold`, `good`, one row per input row.
 
-    The model is trained on all documents whose id is in `trusted_ids` (one column, the
-    id). A language's threshold is the `quantile` of its trusted documents' perplexity
-    (within one part in 10,000 of the rank); languages without trusted documents, and
-    null, use that of all. Texts without characters have null perplexity and are not
-    good. Null ids are never trusted; repeated rows are scored alike.
+    Trusted are documents whose id is in `trusted_ids` (one column, the id). One in
+    `FOLDS`, by crc32 of the id, sets the thresholds and the model is trained on the
+    others: a language's threshold is the `quantile` of perplexity in that part (within
+    one part in 10,000 of the rank). Languages without such documents, and null, use
+    that of all languages, and if there are none at all that of the others. Texts without characters have null perplexity and are not
+    good. Null ids are never trusted; repeated rows are scored alike. Other columns are
+    not read. Writes texts in slices, counts, n-grams asked for and scores to the
+    shared folder.
     """
     name = fresh(docs, "trusted_id")
     ids = trusted_ids.select(named(trusted_ids.columns[0]).alias(name)).dropna().distinct()
-    trusted = docs.join(ids, named(id_col) == F.col(name), "left_semi")
-    model = fit_quality(trusted, text_col)
-    base = docs.select(F.struct(named(id_col).alias("id"), named(lang_col).alias("lang")).alias("key"), named(text_col).alias("text"))
-    scored = perplexities(base, model, "key", "text").select("key.id", "key.lang", "perplexity")
+    sliced = _sliced(docs, id_col, lang_col, text_col)
+    is_mark = fold_remainder("id", FOLDS) == 0
+    trusted = sliced.join(ids.filter(fold_remainder(name, FOLDS) != 0), F.col("id") == F.col(name), "left_semi")
+    counts = store(_grams_of(trusted).groupBy("gram").agg(F.sum("n").alias("n")), "quality-counts")
+    scored = store(perplexities(sliced, fit_quality(counts)), "quality-scores")
     marks = scored.join(ids, F.col("id") == F.col(name), "left_semi").filter("perplexity IS NOT NULL")
     at = F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")
-    of_lang = marks.filter("lang IS NOT NULL").groupBy("lang").agg(at)
-    of_all = marks.agg(at).first().threshold
-    out = scored.join(of_lang, "lang", "left")
+    overall = {r.mark: r.threshold for r in marks.groupBy(is_mark.alias("mark")).agg(at).collect()}
+    of_all = overall.get(True, overall.get(False))
+    marks = marks.filter(is_mark)
+    # A language may hold most rows: its rows are spread, and its threshold is repeated for each part.
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)).cast("array<long>")).alias("part")
+    of_lang = marks.filter("lang IS NOT NULL").groupBy("lang").agg(at).select("lang", "threshold", parts)
+    spread = scored.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
+    out = spread.join(of_lang, ["lang", "part"], "left")
     limit = F.coalesce("threshold", F.lit(of_all).cast("double"))
     return out.select(
         F.col("id").alias(id_col), F.col("lang").alias(lang_col), "perplexity", limit.alias("threshold"),

@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -31,34 +32,56 @@ def test_language_on_held_out_rows(spark, odd, none):
     assert fit_languages(none) is None and predict_language(odd, None).filter("lang_pred <> 'und'").count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    counts = np.random.default_rng(1).poisson(0.4, (6, 6, 6))
-    assert np.allclose(np.exp(quality.kneser_ney(counts)).sum(-1), 1)
-    assert np.allclose(np.exp(quality.kneser_ney(np.zeros((4, 4)))), 0.25)
+def kneser_ney_by_hand(texts):
+    """Probability of an n-gram under the model of `texts`, straight from the definition."""
+    order, pad = quality.ORDER, chr(2) * (quality.ORDER - 1)
+    top = Counter((pad + t)[i : i + order] for t in texts for i in range(len(t)))
+    levels = [top]
+    for _ in range(order - 1):
+        levels.append(Counter(g[1:] for g in levels[-1]))
+    cuts = [quality.discounts(*[sum(n == k for n in c.values()) for k in (1, 2, 3, 4)]) for c in levels]
+
+    def p(gram):
+        if not gram:
+            return 1 / (len(levels[-1]) + 1)
+        counts, cut = levels[order - len(gram)], cuts[order - len(gram)]
+        after = {g: n for g, n in counts.items() if g[:-1] == gram[:-1]}
+        if not after:
+            return p(gram[1:])
+        total = sum(after.values())
+        own = after[gram] - cut[min(after[gram], 3) - 1] if gram in after else 0.0
+        return own / total + sum(cut[min(n, 3) - 1] for n in after.values()) / total * p(gram[1:])
+
+    return p
 
 
 def test_quality(spark, odd, none):
     got = QUERIES["op4_quality"](spark, MIDDLE).join(table(spark, MIDDLE, "labels"), "doc_id")
     share = {r.quality: r.good for r in got.groupBy("quality").agg(F.avg(F.col("good").cast("int")).alias("good")).collect()}
     assert share[1] > 0.95 and share[0] < 0.1
+    labels = table(spark, MIDDLE, "labels").filter("quality = 1")
+    half = quality.classify_quality(table(spark, MIDDLE, "documents"), labels.filter("doc_id % 2 = 0").select("doc_id"))
+    unseen = half.join(labels.filter("doc_id % 2 = 1"), "doc_id").agg(F.avg(F.col("good").cast("int"))).first()[0]
+    assert unseen > 0.9
     rows = quality.classify_quality(odd, odd.select("doc_id")).collect()
     assert len(rows) == odd.count() and not any(r.good for r in rows if r.perplexity is None)
     assert quality.classify_quality(none, none.select("doc_id")).count() == 0
 
 
-def test_perplexity_by_hand(spark):
-    docs = spark.createDataFrame([(1, "abab"), (2, "ba"), (3, "")], "doc_id long, text string")
-    model = quality.fit_quality(docs)
-    fold = quality.fold_table(model.frequent)
-    for r in quality.perplexities(docs, model).collect():
-        symbols = [0] * (quality.ORDER - 1) + [int(fold[ord(c)]) for c in {1: "abab", 2: "ba", 3: ""}[r.doc_id]]
-        total, n = 0.0, len(symbols) - quality.ORDER + 1
-        for i in range(n):
-            code = 0
-            for s in symbols[i : i + quality.ORDER]:
-                code = code * quality.ALPHABET + s
-            total += float(model.log_probs[code])
-        assert r.perplexity is None if not n else abs(r.perplexity - math.exp(-total / n)) < 1e-9
+def test_perplexity_by_hand(spark, shipped):
+    state = random.Random(5)
+    texts = ["".join(state.choices("abcd e", k=state.randrange(1, 60))) for _ in range(12)] + ["", "ab 0x\u00e9\U0001f600"]
+    docs = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    known = [t for i, t in enumerate(texts[:8]) if zlib.crc32(str(i).encode()) % quality.FOLDS]
+    p, pad = kneser_ney_by_hand(known), chr(2) * (quality.ORDER - 1)
+    for r in quality.classify_quality(docs, docs.filter("doc_id < 8").select("doc_id")).collect():
+        text = texts[r.doc_id]
+        logs = [math.log(p((pad + text)[i : i + quality.ORDER])) for i in range(len(text))]
+        assert r.perplexity is None if not logs else math.isclose(r.perplexity, math.exp(-sum(logs) / len(logs)), rel_tol=1e-9)
+    seen = set("".join(known))
+    for context in (pad, pad[:2] + "ab", "zzzz"):
+        total = sum(p(context + c) for c in seen) + p(context + "~")
+        assert math.isclose(total, 1, rel_tol=1e-9)
 
 
 def all_segments(scores):
