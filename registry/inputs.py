@@ -397,6 +397,18 @@ def _person_wide() -> str:
         columns[f"{a}_{n.year}_new_debt"] = f"CASE WHEN c_custkey % {j + 5} <> 0 THEN c_acctbal END"
         columns[f"{a}_{n.year}_repaid"] = f"CASE WHEN c_custkey % {j + 6} <> 0 THEN -c_acctbal END"
         columns[f"{a}_long_term_debtor"] = f"CASE WHEN c_custkey % {j + 7} = 0 THEN 1 END"
+        columns[f"{a}_num_debts"] = f"CASE WHEN c_custkey % {j + 3} = 0 THEN 1 + c_custkey % 4 END"
+    areas = ["Large urban area", "Major urban area", "Medium urban area", "Rural other", "Rural settlement", "Small urban area"]
+    for i, area in enumerate(areas):
+        columns[f"area_type={area}"] = f"CASE WHEN c_custkey % 7 = {i} THEN 1 END"
+    for i, region in enumerate([*range(1, 10), *range(12, 19)]):
+        columns[f"region_code={region:02}"] = f"CASE WHEN c_custkey % 17 = {i} THEN 1 END"
+    events = [
+        "audit_gss", "bankruptcy_process", "death_in_family", "employment_end", "end_official_relationship", "is_alive",
+        "recent_migrant", "recent_parent", "sickness_benefit_start", "spine_indicator", "start_official_relationship",
+    ]
+    for i, event in enumerate(events):
+        columns[event] = f"CASE WHEN c_custkey % {i + 3} < 2 THEN 1 END"
     # Both engines take names with blanks and `=` in their own quotes; see `frame` and `ctes`.
     return "SELECT " + ", ".join(f"{expr} AS <{name}>" for name, expr in columns.items()) + " FROM {customer}"
 

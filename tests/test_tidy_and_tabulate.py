@@ -98,3 +98,12 @@ def test_pair_counts(wide):
     found = G.pair_counts(wide, ["g1", "g2", "m"])
     assert ("g1", "1", "m", "x", 1) in rows(found)
     assert sum(r[4] for r in rows(found) if (r[0], r[2]) == ("g1", "g2")) == 3
+
+
+def test_reports_are_whole_or_refused():
+    from spanwise.plans.reports import counted_columns, summed_columns
+    from spanwise.plans.tidy import TidyNames
+
+    for columns in (counted_columns, summed_columns):
+        with pytest.raises(ValueError, match="total_income"):
+            columns(["birth_year"], TidyNames())
