@@ -54,13 +54,13 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that a slice holds about `SLICE_BYTES` of text."""
+def text_slices(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a slice holds about `most` bytes of text."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, size in enumerate(sizes):
-            if i > start and held + size > SLICE_BYTES:
+            if i > start and held + size > most:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += int(size)

@@ -31,6 +31,8 @@ ORDER = 5
 FOLDS = 3
 #: Quantile of the perplexity of trusted documents that others may reach.
 QUANTILE = 0.98
+#: Bytes of text in a slice. Larger ones share more of their n-grams, smaller ones need less memory.
+SLICE_BYTES = 8_000_000
 #: Parts that a language's rows are spread over when they meet its threshold.
 SPREAD = 64
 
@@ -88,7 +90,7 @@ def _sliced(docs: DataFrame, id_col: str, lang_col: str, text_col: str) -> DataF
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for part in text_slices(batches, 0):
+        for part in text_slices(batches, 0, SLICE_BYTES):
             number += 1
             slices = pa.array(np.full(part.num_rows, number, np.int64))
             yield pa.RecordBatch.from_arrays([slices, *part.columns], names=["slice", "text", "id", "lang"])
@@ -97,18 +99,33 @@ def _sliced(docs: DataFrame, id_col: str, lang_col: str, text_col: str) -> DataF
     return store(source.mapInArrow(cut, schema), "quality-slices")
 
 
+def _whole_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[str]]]:
+    """Number and texts of each slice; rows come as `text`, `slice`, those of a slice one after the other."""
+    number, held = None, []
+    for batch in batches:
+        slices = batch.column(1).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(slices)]
+        for start, after in zip(cuts, cuts[1:], strict=False):
+            if after == start:
+                continue
+            if held and slices[start] != number:
+                yield number, held
+                held = []
+            number = slices[start]
+            held += [t or "" for t in batch.column(0).slice(start, after - start).to_pylist()]
+    if held:
+        yield number, held
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """`slice`, `gram`, `n` of each slice's n-grams; rows come as `text`, `slice`."""
-    for part in text_slices(batches, 0):
-        slices = part.column(1).to_numpy(zero_copy_only=False)
-        for number in np.unique(slices):
-            rows = part.filter(pa.array(slices == number))
-            points, ends, _ = symbols([t or "" for t in rows.column(0).to_pylist()])
-            _, first, n = np.unique(keys(points, ends), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), number, np.int64)), pa.array(grams(points, ends[first]), pa.string()), pa.array(n)],
-                names=["slice", "gram", "n"],
-            )
+    """`slice`, `gram`, `n` of each slice's n-grams."""
+    for number, texts in _whole_slices(batches):
+        points, ends, _ = symbols(texts)
+        _, first, n = np.unique(keys(points, ends), return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(n), number, np.int64)), pa.array(grams(points, ends[first]), pa.string()), pa.array(n)],
+            names=["slice", "gram", "n"],
+        )
 
 
 def _grams_of(texts: DataFrame) -> DataFrame:
