@@ -3,8 +3,8 @@
 The model reads characters. Every n-gram of all trusted text is counted, first in
 tasks and then over hash shards; continuation counts, discounts and back-off weights
 are aggregations of that table, which grows with the trusted text and never leaves
-the executors. Texts are stored in slices, and a slice asks for each n-gram it holds
-once. The distinct n-grams asked for meet the counts level by level in joins on the
+the executors. Texts are stored in slices, packed, and a slice asks for each n-gram it
+holds once. The distinct n-grams asked for meet the counts level by level in joins on the
 n-gram; the probabilities return to the slices, which sum them by document. A
 document is kept when its perplexity is at most a quantile of the trusted documents
 in its language.
@@ -31,8 +31,9 @@ ORDER = 5
 FOLDS = 3
 #: Quantile of the perplexity of trusted documents that others may reach.
 QUANTILE = 0.98
-#: Bytes of text in a slice. Larger ones share more of their n-grams, smaller ones need less memory.
-SLICE_BYTES = 8_000_000
+#: Bytes of text in a slice; it is worked on in parts of `common.SLICE_BYTES`. Larger slices share more of their n-grams,
+#: smaller ones need less memory for them.
+SLICE_BYTES = 32_000_000
 #: Parts that a language's rows are spread over when they meet its threshold.
 SPREAD = 64
 
@@ -83,53 +84,71 @@ def grams(points: np.ndarray, ends: np.ndarray) -> list[str]:
     return [joined[i : i + ORDER] for i in range(0, len(joined), ORDER)]
 
 
-def _sliced(docs: DataFrame, id_col: str, lang_col: str, text_col: str) -> DataFrame:
-    """Columns `slice`, `id`, `lang`, `text`, stored: a slice is some rows of one task, whole texts."""
-    source = docs.select(named(text_col).cast("string").alias("text"), named(id_col).alias("id"), named(lang_col).alias("lang"))
-    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
+def _pack(parts: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+    with pa.ipc.new_stream(sink, parts[0].schema, options=options) as writer:
+        for part in parts:
+            writer.write_batch(part)
+    return sink.getvalue().to_pybytes()
+
+
+def _parts(data: pa.Scalar) -> Iterator[pa.RecordBatch]:
+    """Parts of a packed slice, unpacked one at a time."""
+    with pa.ipc.open_stream(data.as_buffer()) as reader:
+        yield from reader
+
+
+def _texts(part: pa.RecordBatch) -> list[str]:
+    return [t or "" for t in part.column(0).to_pylist()]
+
+
+def _sliced(source: DataFrame) -> DataFrame:
+    """Columns `slice`, `data`, stored: the rows of a slice are neighbours in one task, whole texts, packed."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for part in text_slices(batches, 0, SLICE_BYTES):
-            number += 1
-            slices = pa.array(np.full(part.num_rows, number, np.int64))
-            yield pa.RecordBatch.from_arrays([slices, *part.columns], names=["slice", "text", "id", "lang"])
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
 
-    schema = f"slice long, text string, id {kinds['id']}, lang {kinds['lang']}"
-    return store(source.mapInArrow(cut, schema), "quality-slices")
+        def full() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([_pack(held)], pa.binary())], names=["slice", "data"])
 
+        for part in text_slices(batches, 0):
+            if held and size + part.nbytes > SLICE_BYTES:
+                yield full()
+                number, held, size = number + 1, [], 0
+            held.append(part)
+            size += part.nbytes
+        if held:
+            yield full()
 
-def _whole_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[str]]]:
-    """Number and texts of each slice; rows come as `text`, `slice`, those of a slice one after the other."""
-    number, held = None, []
-    for batch in batches:
-        slices = batch.column(1).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(slices)]
-        for start, after in zip(cuts, cuts[1:], strict=False):
-            if after == start:
-                continue
-            if held and slices[start] != number:
-                yield number, held
-                held = []
-            number = slices[start]
-            held += [t or "" for t in batch.column(0).slice(start, after - start).to_pylist()]
-    if held:
-        yield number, held
+    return store(source.mapInArrow(cut, "slice long, data binary"), "quality-slices")
+
+
+def _distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Hashes, in order, counts and texts of the n-grams."""
+    points, ends, _ = symbols(texts)
+    known, first, n = np.unique(keys(points, ends), return_index=True, return_counts=True)
+    return known, n, grams(points, ends[first])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """`slice`, `gram`, `n` of each slice's n-grams."""
-    for number, texts in _whole_slices(batches):
-        points, ends, _ = symbols(texts)
-        _, first, n = np.unique(keys(points, ends), return_index=True, return_counts=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(n), number, np.int64)), pa.array(grams(points, ends[first]), pa.string()), pa.array(n)],
-            names=["slice", "gram", "n"],
-        )
+    """`gram`, `n` of each part of the texts."""
+    for part in text_slices(batches, 0):
+        _, n, found = _distinct(_texts(part))
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(n)], names=["gram", "n"])
 
 
-def _grams_of(texts: DataFrame) -> DataFrame:
-    return texts.select("text", "slice").mapInArrow(_counted, "slice long, gram string, n long")
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`slice`, `gram`: the n-grams of each slice, once each."""
+    for batch in batches:
+        for number, data in zip(batch.column(0), batch.column(1), strict=True):
+            seen = np.zeros(0, np.uint64)
+            for part in _parts(data):
+                known, _, found = _distinct(_texts(part))
+                new = np.flatnonzero(~np.isin(known, seen, assume_unique=True))
+                seen = np.union1d(seen, known)
+                values = pa.array(found, pa.string()).take(pa.array(new))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), number.as_py())), values], names=["slice", "gram"])
 
 
 @dataclass(frozen=True)
@@ -199,29 +218,31 @@ def probabilities(asked: DataFrame, model: QualityModel) -> DataFrame:
     return lower
 
 
-def _scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
+def _scored(slices: pa.Table, answers: pa.Table) -> pa.Table:
     """Perplexity of each row of one slice from the probabilities of its n-grams."""
-    points, ends, lengths = symbols([t or "" for t in texts.column("text").to_pylist()])
     known = np.frombuffer("".join(answers.column("gram").to_pylist()).encode("utf-32-le"), np.uint32)
     known_keys = keys(known, np.arange(ORDER - 1, len(known), ORDER))
     order = np.argsort(known_keys)
-    values = np.log(answers.column("p").to_numpy())[order]
-    logs = values[np.searchsorted(known_keys[order], keys(points, ends))] if len(order) else np.zeros(0)
-    at = np.cumsum(lengths)
-    total = np.array([logs[a:b].sum() for a, b in zip(at - lengths, at, strict=True)])
-    value = np.exp(-total / np.maximum(lengths, 1))
-    return pa.table({
-        "id": texts.column("id"), "lang": texts.column("lang"),
-        "n_chars_scored": pa.array(lengths), "perplexity": pa.array(value, pa.float64(), mask=lengths == 0),
-    })
-
-
-def perplexities(sliced: DataFrame, model: QualityModel) -> DataFrame:
-    """Columns `id`, `lang`, `n_chars_scored`, `perplexity` per character (null without characters), a row per row of `sliced`."""
-    asked = _grams_of(sliced).select("slice", "gram")
+    known_keys, values = known_keys[order], np.log(answers.column("p").to_numpy())[order]
+    done = []
+    for part in _parts(slices.column("data")[0]):
+        points, ends, lengths = symbols(_texts(part))
+        logs = values[np.searchsorted(known_keys, keys(points, ends))] if len(order) else np.zeros(0)
+        at = np.cumsum(lengths)
+        total = np.array([logs[a:b].sum() for a, b in zip(at - lengths, at, strict=True)])
+        value = np.exp(-total / np.maximum(lengths, 1))
+        done.append(pa.table({
+            "id": part.column(1), "lang": part.column(2),
+            "n_chars_scored": pa.array(lengths), "perplexity": pa.array(value, pa.float64(), mask=lengths == 0),
+        }))
+    return pa.concat_tables(done)
+
+
+def perplexities(sliced: DataFrame, model: QualityModel, kinds: dict[str, str]) -> DataFrame:
+    """Columns `id`, `lang`, `n_chars_scored`, `perplexity` per character (null without characters), a row per row sliced."""
+    asked = sliced.mapInArrow(_asked, "slice long, gram string")
     distinct = store(asked.select("gram").distinct(), "quality-asked")
-    answers = asked.join(probabilities(distinct, model), "gram")
-    kinds = {f.name: f.dataType.simpleString() for f in sliced.schema}
+    answers = asked.join(probabilities(distinct, model), "gram").select("slice", "gram", "p")
     schema = f"id {kinds['id']}, lang {kinds['lang']}, n_chars_scored long, perplexity double"
     return sliced.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_scored, schema)
 
@@ -247,11 +268,13 @@ def classify_quality(
     """
     name = fresh(docs, "trusted_id")
     ids = trusted_ids.select(named(trusted_ids.columns[0]).alias(name)).dropna().distinct()
-    sliced = _sliced(docs, id_col, lang_col, text_col)
+    source = docs.select(named(text_col).cast("string").alias("text"), named(id_col).alias("id"), named(lang_col).alias("lang"))
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
     is_mark = fold_remainder("id", FOLDS) == 0
-    trusted = sliced.join(ids.filter(fold_remainder(name, FOLDS) != 0), F.col("id") == F.col(name), "left_semi")
-    counts = store(_grams_of(trusted).groupBy("gram").agg(F.sum("n").alias("n")), "quality-counts")
-    scored = store(perplexities(sliced, fit_quality(counts)), "quality-scores")
+    trusted = source.join(ids.filter(fold_remainder(name, FOLDS) != 0), F.col("id") == F.col(name), "left_semi")
+    found = trusted.select("text").mapInArrow(_counted, "gram string, n long")
+    counts = store(found.groupBy("gram").agg(F.sum("n").alias("n")), "quality-counts")
+    scored = store(perplexities(_sliced(source), fit_quality(counts), kinds), "quality-scores")
     marks = scored.join(ids, F.col("id") == F.col(name), "left_semi").filter("perplexity IS NOT NULL")
     at = F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")
     overall = {r.mark: r.threshold for r in marks.groupBy(is_mark.alias("mark")).agg(at).collect()}
