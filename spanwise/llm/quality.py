@@ -240,8 +240,8 @@ def _scored(slices: pa.Table, answers: pa.Table) -> pa.Table:
 
 def perplexities(sliced: DataFrame, model: QualityModel, kinds: dict[str, str]) -> DataFrame:
     """Columns `id`, `lang`, `n_chars_scored`, `perplexity` per character (null without characters), a row per row sliced."""
-    asked = sliced.mapInArrow(_asked, "slice long, gram string")
-    distinct = store(asked.select("gram").distinct(), "quality-asked")
+    asked = store(sliced.mapInArrow(_asked, "slice long, gram string"), "quality-asked")
+    distinct = store(asked.select("gram").distinct(), "quality-distinct")
     answers = asked.join(probabilities(distinct, model), "gram").select("slice", "gram", "p")
     schema = f"id {kinds['id']}, lang {kinds['lang']}, n_chars_scored long, perplexity double"
     return sliced.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_scored, schema)
