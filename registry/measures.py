@@ -6,7 +6,6 @@ from registry.build import i8, query, r2, sweep
 from registry.inputs import frame
 from registry.ledgers import cases_sql
 from registry.spells import gaps_sql, relatives_sql, roles_sql
-from spanwise.functions.dates import quarters_of
 from spanwise.plans.measures import activity, debt, justice, people, support
 
 _SPELL = "SELECT id AS snz_uid, start_date, end_date FROM isl"
@@ -192,10 +191,14 @@ def _(spark, sf):
     return justice.prison_spells(frame(spark, sf, "management"))
 
 
+# Offence codes of family violence.
+_VIOLENCE = ["1581", "1582", "1583", "1587", "1641", "1642", "1643", "1647", "2654", "2658", "3711", "1D"]
+
+
 @query(
     "m14_family_violence_events",
     f"""SELECT snz_uid, nia_links_rec_date AS event_date, nia_links_role_type_text FROM police_links
-        WHERE nia_links_rec_date IS NOT NULL AND list_contains({list(justice.FAMILY_VIOLENCE)}, nia_links_latest_inc_off_code)""",
+        WHERE nia_links_rec_date IS NOT NULL AND list_contains({_VIOLENCE}, nia_links_latest_inc_off_code)""",
     ["police_links"],
 )
 def _(spark, sf):
@@ -283,7 +286,9 @@ def _(spark, sf):
     return activity.end_of_employment(frame(spark, sf, "returns"))
 
 
-_AMOUNTS = [f"inc_tax_yr_sum_{c}_tot_amt" for c in [*activity.INCOME_CODES, "all_srces"]]
+# Sources of income, as they stand in column names.
+_SOURCES = "WAS WHP BEN ACC PEN PPL STU C00 C01 C02 P00 P01 P02 S00 S01 S02 S03 all_srces".split()
+_AMOUNTS = [f"inc_tax_yr_sum_{c}_tot_amt" for c in _SOURCES]
 
 
 @query(
@@ -327,10 +332,23 @@ def _(spark, sf):
     return activity.qualifications(*[frame(spark, sf, n) for n in _QUALIFICATION_INPUTS])
 
 
+# Survey questions and what their answers are called.
+_ANSWERS = {
+    "gss_pq_feel_life_code": "life_satisfaction",
+    "gss_pq_life_worthwhile_code": "life_worthwhile",
+    "gss_pq_ment_health_code": "SF12_mental_health",
+    "gss_pq_phys_health_code": "SF12_physical_health",
+    "gss_pq_item_300_limit_code": "gss_pq_item_300_limit_code",
+    "gss_pq_not_pay_bills_time_code": "gss_pq_not_pay_bills_time_code",
+    "gss_pq_enough_inc_code": "gss_pq_enough_inc_code",
+    "gss_pq_material_wellbeing_code": "material_wellbeing_index",
+}
+
+
 @query(
     "m23_wellbeing_survey",
     "SELECT snz_uid, gss_pq_PQinterview_date AS event_date, "
-    + ", ".join(f"{r2(c)} AS {n}" for c, n in activity.SURVEY_ANSWERS.items())
+    + ", ".join(f"{r2(c)} AS {n}" for c, n in _ANSWERS.items())
     + " FROM survey WHERE gss_pq_collection_code = 'GSS2016'",
     ["survey"],
 )
@@ -427,7 +445,13 @@ def _(spark, sf):
     return debt.ledger_debt_cases(frame(spark, sf, "benefit_ledger"), frame(spark, sf, "concordance"))
 
 
-_Q = quarters_of(2017, 2018)
+# First and last day of each quarter.
+_Q = {
+    "2017Q1": ("2017-01-01", "2017-03-31"), "2017Q2": ("2017-04-01", "2017-06-30"),
+    "2017Q3": ("2017-07-01", "2017-09-30"), "2017Q4": ("2017-10-01", "2017-12-31"),
+    "2018Q1": ("2018-01-01", "2018-03-31"), "2018Q2": ("2018-04-01", "2018-06-30"),
+    "2018Q3": ("2018-07-01", "2018-09-30"), "2018Q4": ("2018-10-01", "2018-12-31"),
+}
 _MOVED = "COALESCE(amount_incurred, 0) + COALESCE(amount_repaid, 0) + COALESCE(amount_written_off, 0)"
 
 
@@ -477,10 +501,17 @@ def _(spark, sf):
     return _assessed(spark, sf)
 
 
+# Types of assessed debt and how they end column names.
+_TAX_TYPES = {
+    "Child Support": "child_support", "Families": "families", "GST": "GST", "Income Tax": "income_tax",
+    "Other": "other", "PAYE": "PAYE", "Student Loan": "student_loan",
+}
+
+
 @query(
     "m29_assessed_debt_by_type",
     _ASSESSED + f" SELECT {_BY_QUARTER}, " + ", ".join(
-        r2(f"CASE WHEN dbt_tax_type = '{t}' THEN Y{q} ELSE 0 END") + f" AS Y{q}_{n}" for t, n in debt.TAX_TYPES.items() for q in _Q
+        r2(f"CASE WHEN dbt_tax_type = '{t}' THEN Y{q} ELSE 0 END") + f" AS Y{q}_{n}" for t, n in _TAX_TYPES.items() for q in _Q
     ) + f" {_linked('snz_ird_uid', 'by_quarter')}",
     ["assessed_txn", "concordance"],
 )

@@ -515,19 +515,26 @@ def _(spark, sf):
 _XTAB = "xtab AS (SELECT " + ", ".join(
     [*[f'CAST({e} AS DOUBLE) AS "{c}"' for c, e in _XTAB_NUMBERS.items()], *[f"{e} AS {c}" for c, e in _XTAB_TEXT.items()]]
 ) + " FROM flat WHERE birth_year <= 2002)"
-_PAIR_COLUMNS = P.pair_columns(_N)
-_ADJUSTER_SETS = [[], *[[a] for a in P.ADJUSTERS], *P.JOINT_ADJUSTERS]
+# Columns of the published cross-tabulations.
+_MEAN_GROUPS = ["eth_asian", "eth_european", "eth_maori", "eth_other", "eth_pacific", "sex", "life_satisfaction"]
+_MEAN_VALUES = ["owes_ird", "owes_msd", "ird_2018Q4", "msd_2018Q4", "ird_2018_trim", "msd_2018_trim"]
+_SINGLE_ADJUSTERS = ["deprivation", "has_WAS", "has_OTH", "total_income_band", "highest_qual"]
+_ADJUSTER_SETS = [
+    [], *[[a] for a in _SINGLE_ADJUSTERS], ["deprivation", "total_income_band"], ["deprivation", "highest_qual"],
+    ["deprivation", "highest_qual", "total_income_band"],
+]
+_PAIR_COLUMNS = [*_MEAN_GROUPS, "owes_ird", "owes_msd", *_SINGLE_ADJUSTERS]
 
 
 def _report_means_sql() -> str:
     """One pass per value and adjuster set, all groups of it together."""
     defs, selects = [], []
-    groups = ", ".join(f'CAST("{g}" AS VARCHAR) AS "{g}"' for g in P.MEAN_GROUPS)
-    for i, (value, adjusters) in enumerate((v, a) for v in P.mean_values(_N) for a in _ADJUSTER_SETS):
+    groups = ", ".join(f'CAST("{g}" AS VARCHAR) AS "{g}"' for g in _MEAN_GROUPS)
+    for i, (value, adjusters) in enumerate((v, a) for v in _MEAN_VALUES for a in _ADJUSTER_SETS):
         defs.append(adjusted_sql("xtab", value, adjusters, f"s{i}_"))
         selects.append(f"""SELECT col, subgroup, '{G.sweep_label(value, adjusters)}' AS label, {r2('AVG(adj)')} AS mean,
             {r2('STDDEV_SAMP(adj)')} AS sdev, {r2('SUM(adj)')} AS total, COUNT(*) AS num
-            FROM (UNPIVOT (SELECT adj, {groups} FROM s{i}_) ON {_quoted(P.MEAN_GROUPS)} INTO NAME col VALUE subgroup) GROUP BY col, subgroup""")
+            FROM (UNPIVOT (SELECT adj, {groups} FROM s{i}_) ON {_quoted(_MEAN_GROUPS)} INTO NAME col VALUE subgroup) GROUP BY col, subgroup""")
     return ", ".join(defs) + " " + " UNION ALL ".join(selects)
 
 

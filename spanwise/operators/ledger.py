@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spanwise.functions.columns import as_list, named
 from spanwise.functions.dates import OPEN_END, OPEN_YEAR, as_date
-from spanwise.operators.skew import attach_group_stats
+from spanwise.operators.skew import attach_group_stats, hot_keys, left_lookup
 
 Quarters = Mapping[str, tuple[dt.date, dt.date]]
 
@@ -248,13 +248,19 @@ def case_duration(df: DataFrame, start: str, end: str, long_days: int = 1000) ->
     return closed.withColumns({"days_debt": days, "long_term_debt": F.when(days > long_days, 1).otherwise(0)})
 
 
-def link_ids(df: DataFrame, concordance: DataFrame, key: str, spine: str) -> DataFrame:
+def link_ids(
+    df: DataFrame, concordance: DataFrame, key: str, spine: str, many_per_key: bool = True, min_rows: int | None = None
+) -> DataFrame:
     """L10. Put the spine identity in front; rows without a link keep a NULL one.
 
-    Both sides have one row per identity, so the join is not prone to skew.
+    The concordance has one row per identity, `df` may have any number: common ones are
+    spread, found by a pass over the key column. `many_per_key=False` states that `df`
+    has at most one row per identity and type or day, and saves that pass. Rows
+    without an identity are spread in either case.
     """
     link = concordance.select(named(key).alias("_link"), named(spine))
-    joined = df.join(link, named(key) == F.col("_link"), "left")
+    hot = hot_keys(df.filter(named(key).isNotNull()), [key], min_rows) if many_per_key else None
+    joined = left_lookup(df, link, key, "_link", hot)
     return joined.select(named(spine), *[named(c) for c in df.columns])
 
 

@@ -88,6 +88,29 @@ def salted(
     return spread, repeated, [_SALT]
 
 
+def left_lookup(
+    df: DataFrame, table: DataFrame, key: str, table_key: str, hot: DataFrame | None = None, salts: int = SALTS
+) -> DataFrame:
+    """Left join of `df.key` to `table.table_key`; columns of `table` must have names of their own.
+
+    Rows without a key match nothing and are spread over tasks. So are rows of the keys
+    in `hot`, a result of `hot_keys` on `df`, for which `table` is repeated per salt.
+    """
+    draw = row_salt(df, salts)
+    if hot is None:
+        spread, repeated = df.withColumn(_SALT, F.lit(0)), table.withColumn("_with", F.lit(0))
+    else:
+        keyed = table.withColumnRenamed(table_key, key)
+        spread, repeated, _ = salted(df, keyed, [key], hot, salts)
+        repeated = repeated.withColumnRenamed(key, table_key).withColumnRenamed(_SALT, "_with")
+    # A missing key draws a negative salt, which the table does not have; in one struct both are a key of the join.
+    at = F.struct(named(key).alias("k"), F.when(named(key).isNull(), -1 - draw).otherwise(F.col(_SALT)).alias("s"))
+    spread = spread.withColumn("_at", at).drop(_SALT)
+    known = repeated.filter(named(table_key).isNotNull())
+    known = known.withColumn("_to", F.struct(named(table_key).alias("k"), F.col("_with").alias("s"))).drop("_with")
+    return spread.join(known, F.col("_at") == F.col("_to"), "left").drop("_at", "_to")
+
+
 def attach_group_stats(
     df: DataFrame, keys: Sequence[str], stats: dict[str, Column], min_rows: int | None = None
 ) -> DataFrame:

@@ -331,6 +331,15 @@ def rectangular(long: DataFrame, identity: str = "identity_column", labels: Sequ
     return pivot_long(renamed, "label_measure", "value_measure", "sum", labels)
 
 
+def require_same_schema(target: DataFrame, rows: DataFrame, name: str) -> None:
+    """Refuse a stored table that has other columns or types than the rows to be added. Order does not matter."""
+    has = {f.name: f.dataType.simpleString() for f in target.schema}
+    wants = {f.name: f.dataType.simpleString() for f in rows.schema}
+    wrong = [f"{c} is {has.get(c, 'absent')} for {wants.get(c, 'nothing')}" for c in {**wants, **has} if has.get(c) != wants.get(c)]
+    if wrong:
+        raise ValueError(f"table {name} does not fit: {'; '.join(wrong)}")
+
+
 def run_assembly(
     spark: SparkSession,
     populations: Sequence[Population],
@@ -342,7 +351,12 @@ def run_assembly(
     skip_checks: bool = False,
     development: bool = False,
 ) -> DataFrame | None:
-    """A12. Check, assemble and store. Without `overwrite`, rows are added to an existing output."""
+    """A12. Check, assemble and store.
+
+    Without `overwrite`, rows are added to an existing output, which must have exactly
+    the columns and types of the result. Identities and dates are never NULL, as rows
+    come from matches on them.
+    """
     if not skip_checks:
         validate(populations, measures, tables, spark)
     if checks_only:
@@ -350,6 +364,7 @@ def run_assembly(
     long = assemble(populations, measures, tables, spark, development)
     if overwrite or not _exists(spark, output):
         return write_table(long, output, overwrite)
+    require_same_schema(read_table(spark, output), long, output)
     return append_table(long, output, RESULT_COLUMNS)
 
 

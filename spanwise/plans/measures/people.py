@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanwise.functions.columns import named
 from spanwise.functions.dates import OPEN_END_LATE, as_date, month_index, partial_date
+from spanwise.operators.skew import hot_keys, left_lookup
 from spanwise.operators.spells import as_at, event_to_window, relative_events, stack_roles
 
 ID = "snz_uid"
@@ -151,11 +152,13 @@ def address_descriptors(
     population: DataFrame,
     on: str = "2018-12-31",
     child_months: int = 180,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """M24. Address on a date with its area, deprivation and whether a child lives there.
 
     The classification tables carry no join hint: Spark broadcasts them when their
-    size allows. Children are counted per address before they meet the addresses.
+    size allows. Children are counted per address before they meet the addresses, where
+    common addresses (from `min_rows` rows) and missing ones are spread.
     """
     current = as_at(addresses, on, "ant_notification_date", "ant_replacement_date")
     year, address = int(on[:4]), "snz_idi_address_register_uid"
@@ -180,13 +183,13 @@ def address_descriptors(
     index = ["DepIndex2013", "DepScore2013"]
     geo = geography.select(named("MB2018_V1_00").alias("_geo"), *[named(c) for c in area])
     dep = deprivation.select(named("Meshblock2013").alias("_dep"), *[named(c) for c in index])
-    joined = (
+    placed = (
         current.filter(named("ant_meshblock_code").isNotNull())
         .join(mb, named("ant_meshblock_code") == F.col("_mb19"))
         .join(geo, F.col("_mb18") == F.col("_geo"), "left")
         .join(dep, F.col("_mb13") == F.col("_dep"), "left")
-        .join(children, named(address) == F.col("_address"), "left")
     )
+    joined = left_lookup(placed, children, address, "_address", hot_keys(current, [address], min_rows))
     kept = [ID, "ant_notification_date", "ant_replacement_date", address, "ant_region_code"]
     return joined.select(
         *[named(c) for c in kept],

@@ -2,6 +2,7 @@ import datetime as dt
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from spanwise.plans import assembly as A
 from spanwise.plans.assembly import Col, Lit, Measure, Population
@@ -141,6 +142,25 @@ def test_modes(tables, spark, tmp_path):
         A.run_assembly(spark, [PEOPLE], [measure("SUM", "kind")], out, tables)
 
 
+def test_other_output_tables_are_refused(tables, spark, tmp_path):
+    once = [measure("COUNT")]
+    long = A.assemble([PEOPLE], once, tables)
+    wrong = {
+        "more": long.withColumn("extra", F.lit(1)),
+        "fewer": long.drop("label_identity"),
+        "other": long.withColumn("value_measure", F.col("value_measure").cast("string")),
+    }
+    for name, df in wrong.items():
+        out = str(tmp_path / name)
+        df.write.parquet(out)
+        with pytest.raises(ValueError, match="does not fit"):
+            A.run_assembly(spark, [PEOPLE], once, out, tables)
+        assert read_table(spark, out).count() == 3
+    out = str(tmp_path / "order")
+    long.select(*reversed(long.columns)).write.parquet(out)
+    assert A.run_assembly(spark, [PEOPLE], once, out, tables).count() == 6
+
+
 def test_development_rows_per_pair(tables, monkeypatch):
     monkeypatch.setattr(A, "DEV_ROWS", 2)
     found = A.assemble([PEOPLE], [measure("COUNT"), measure("SUM", label=Lit("s"))], tables, development=True)

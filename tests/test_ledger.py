@@ -108,3 +108,20 @@ def test_duration_link_and_spread(table):
     typed = table("id int, t string, q double", (1, "GST", 5.0), (1, "PAYE", 7.0))
     found = L.spread_by_type(typed, "t", {"GST": "gst", "PAYE": "paye"}, ["q"])
     assert rows(found, "t", "q_gst", "q_paye") == [("GST", 5.0, 0.0), ("PAYE", 0.0, 7.0)]
+
+
+def test_links_of_common_and_missing_keys(spark, table):
+    """Common keys and missing ones are spread over many partitions, and the rows are those of a plain left join."""
+    cases = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).alias("key"), F.col("id").alias("n")
+    )
+    spine = table("key long, snz_uid long", (7, 100), (4, 101), (None, 102))
+    plain = cases.join(spine.filter("key IS NOT NULL"), "key", "left").select("snz_uid", "key", "n")
+    for common, min_rows in ((True, 10), (True, None), (False, None)):
+        linked = L.link_ids(cases, spine, "key", "snz_uid", common, min_rows)
+        assert rows(linked) == rows(plain)
+    from spanwise.operators.skew import hot_keys, left_lookup
+
+    found = left_lookup(cases, spine.withColumnRenamed("key", "other"), "key", "other", hot_keys(cases, ["key"], 10))
+    counts = found.groupBy("snz_uid").count()
+    assert {r.snz_uid: r["count"] for r in counts.collect()} == {100: 1001, 101: 1, None: 1998}

@@ -107,3 +107,15 @@ def test_reports_are_whole_or_refused():
     for columns in (counted_columns, summed_columns):
         with pytest.raises(ValueError, match="total_income"):
             columns(["birth_year"], TidyNames())
+
+
+def test_tidy_step_refuses_small_or_repeated_tables(spark, sf):
+    from registry.inputs import frame
+    from spanwise.plans.tidy import checked_wide_table, tidy_wide_table
+
+    wide = frame(spark, sf, "person_wide")
+    assert checked_wide_table(wide).columns == tidy_wide_table(wide).columns
+    with pytest.raises(AssertionError):
+        checked_wide_table(wide.unionByName(wide))
+    with pytest.raises(AssertionError):
+        checked_wide_table(wide, min_rows=wide.count() + 1)
