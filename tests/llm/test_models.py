@@ -2,6 +2,7 @@
 
 import math
 import random
+import warnings
 import zlib
 from collections import Counter
 
@@ -146,6 +147,41 @@ def test_mix(spark, odd, none):
     assert sample_mix(none, margins, fit_mix(none, margins)).count() == 0
 
 
+def test_mix_holds_targets_where_rates_meet_their_bound(spark):
+    hot = F.col("id") % 10 < 6
+    docs = spark.range(20000).select(
+        F.col("id").alias("doc_id"), F.lit("one two three").alias("text"), F.when(hot, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 10)).alias("source"),
+        F.when(F.xxhash64("id") % 7 == 0, "rare").otherwise("usual").alias("lang"), F.when(F.xxhash64("id", F.lit(1)) % 2 == 0, "a").otherwise("b").alias("kind"),
+    )
+    docs = docs.withColumn("lang", F.when((F.col("source") == "hot") & (F.col("kind") == "a"), "usual").otherwise(F.col("lang")))
+    margins = {name: F.col(name) for name in ("source", "lang", "kind")}
+    wanted = {"source": {"hot": 0.52, **{f"s{i}": 0.12 for i in range(6, 10)}}, "lang": {"rare": 0.11, "usual": 0.89}, "kind": {"a": 0.45, "b": 0.55}}
+    mix = fit_mix(docs, margins, wanted)
+    rates = mix.rates(0.8)
+    assert (rates == 1).any() and math.isclose((rates * mix.present).sum(), 0.8 * mix.present.sum())
+    assert all(abs(aim - got) < 1e-6 for *_, aim, got in mix.reached(0.8))
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        drawn = sample_mix(docs, margins, mix, keep=0.8)
+    n = drawn.count()
+    assert abs(n - 16000) < 300
+    for name, shares in wanted.items():
+        now = {r[name]: r["count"] / n for r in drawn.groupBy(name).count().collect()}
+        assert all(abs(now[v] - share) < 0.006 for v, share in shares.items())
+
+
+def test_mix_reports_what_is_out_of_reach(spark):
+    docs = spark.range(1000).select(
+        F.col("id").alias("doc_id"), F.lit("one two").alias("text"), F.when(F.col("id") % 10 < 8, "big").when(F.col("id") % 10 < 9, "mid").otherwise("small").alias("source")
+    )
+    margins = {"source": F.col("source")}
+    mix = fit_mix(docs, margins, {"source": {"big": 0.7, "mid": 0.1, "small": 0.2}})
+    with pytest.warns(UserWarning, match="small"):
+        sample_mix(docs, margins, mix, keep=0.8)
+    reached = {value: (wanted, got) for _, value, wanted, got in mix.reached(0.8)}
+    assert np.allclose([reached[v] for v in ("big", "mid", "small")], [(0.7, 0.765625), (0.1, 0.109375), (0.2, 0.125)])
+
+
 def test_neighbours(spark):
     state = np.random.default_rng(5)
     vectors = state.normal(size=(3000, 8))
