@@ -225,3 +225,20 @@ def test_search_equals_brute_force(spark, monkeypatch, segment, odd, none):
         assert [i for _, i in mine] == [i for _, i in sorted(scores)[:10]]
         assert np.allclose([s for s, _ in mine], [s for s, _ in sorted(scores)[:10]], atol=2e-6)
     assert search(odd, odd).count() > 0 and search(none, none).count() == 0
+
+
+def test_search_with_repeated_own_rows(spark):
+    state = random.Random(9)
+    rows = [(i, " ".join(state.choices("abcdefghij", k=12) + ["common"])) for i in range(1, 55)]
+    asked = "common a b c d a b c d"
+    rows[30:30] = [(500, asked)] * 6
+    got = search(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), spark.createDataFrame([(500, asked)], "doc_id long, text string"))
+    words = [(i, Counter(t.split())) for i, t in rows]
+    average, df = sum(sum(c.values()) for _, c in words) / len(words), Counter(w for _, c in words for w in c)
+    scores = []
+    for i, c in words:
+        spread = 1.2 * (0.25 + 0.75 * sum(c.values()) / average)
+        s = sum(k * math.log(1 + (len(words) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + spread) for w, k in Counter(asked.split()).items())
+        if i != 500:
+            scores.append((-round(s, 9), i))
+    assert [(-round(r.score, 9), r.doc_id) for r in sorted(got.collect(), key=lambda r: r.rank)] == sorted(scores)[:10]
