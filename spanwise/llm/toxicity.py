@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from spanwise.functions.columns import named
 from spanwise.llm.common import bounded_rows, map_texts, text_slices
+from spanwise.llm.near_dedup import near_duplicates
 
 #: Labelled rows a model is fitted on, those with the smallest hash of their id.
 FIT_ROWS = 20_000
@@ -36,8 +37,6 @@ PRIOR = 0.1
 CAUTION = (1.2, 0.5)
 #: Log-odds below this are no evidence: longer documents hold more of every word.
 LEAST = 2.0
-#: Share of the toxic documents that must hold a word: what fewer have may be the mark of a group of copies.
-LEAST_SHARE = 0.02
 #: Lengths of beginnings, which are marked apart from whole words.
 STEMS = (8, 7, 6, 5, 4)
 _STEM = "\0"
@@ -134,22 +133,43 @@ def _examples(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_
     return texts.join(F.broadcast(sample), "id").select("y", "text").distinct()
 
 
+def _grouped(examples: DataFrame) -> DataFrame:
+    """(`y`, `text`, `copies`): the group of near copies that a toxic text is in, null if it is alone."""
+    key = F.xxhash64("text")
+    toxic = examples.filter("y = 1").select(key.alias("doc_id"), "text")
+    groups = near_duplicates(toxic).select("doc_id", F.col("component_id").alias("copies"))
+    several = groups.groupBy("copies").count().filter("count > 1").select("copies")
+    # At most as many rows as ids the model is fitted on.
+    groups = groups.join(several, "copies").select(F.col("doc_id").alias("key"), "copies").distinct()
+    joined = examples.join(F.broadcast(groups), (F.col("y") == 1) & (key == F.col("key")), "left")
+    return joined.select("y", "text", "copies")
+
+
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of either label that hold a word, summed within a slice; the empty word counts documents."""
+    """Documents of either label that hold a word, summed within a slice, and the groups of copies that do; the empty word counts documents."""
     for part in text_slices(batches):
-        found = (Counter(), Counter())
-        for y, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-            found[y].update({"", *(f for word in set(words(text)) for f in features(word))})
+        found, groups = (Counter(), Counter()), {}
+        for y, text, copies in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+            held = {"", *(f for word in set(words(text)) for f in features(word))}
+            if copies is None:
+                found[y].update(held)
+            else:
+                groups.setdefault(copies, set()).update(held)
         vocabulary = list(found[0] | found[1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(vocabulary, pa.string()), *[pa.array([c[w] for w in vocabulary], pa.int64()) for c in found]],
-            names=["word", "clean", "toxic"],
-        )
+        of_groups = [(word, copies) for copies, held in groups.items() for word in held]
+        zeros = [0] * len(of_groups)
+        columns = [
+            pa.array(vocabulary + [w for w, _ in of_groups], pa.string()),
+            *[pa.array([c[w] for w in vocabulary] + zeros, pa.int64()) for c in found],
+            pa.array([None] * len(vocabulary) + [c for _, c in of_groups], pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["word", "clean", "toxic", "copies"])
 
 
 def _weights(examples: DataFrame) -> dict[str, float]:
-    counts = examples.mapInArrow(_document_counts, "word string, clean long, toxic long")
-    counts = counts.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    """Log-odds of words that stand out. A group of near copies among the toxic texts counts as one, or all of its words would stand out."""
+    counts = _grouped(examples).mapInArrow(_document_counts, "word string, clean long, toxic long, copies long")
+    counts = counts.groupBy("word").agg(F.sum("clean").alias("clean"), (F.sum("toxic") + F.count_distinct("copies")).alias("toxic"))
     total = counts.filter(F.col("word") == "").first()
     if total is None or not total.clean or not total.toxic:
         return {}
@@ -163,8 +183,7 @@ def _weights(examples: DataFrame) -> dict[str, float]:
     error = F.sqrt(1 / (F.col("toxic") + PRIOR * prior) + 1 / (F.col("clean") + PRIOR * prior))
     weight = log_odds("toxic", total.toxic) - log_odds("clean", total.clean)
     least = CAUTION[0] + CAUTION[1] * math.log(total.toxic)
-    held = F.col("toxic") >= LEAST_SHARE * total.toxic
-    found = counts.filter((F.col("word") != "") & (weight > least * error) & (weight >= LEAST) & held).select("word", weight.alias("weight"))
+    found = counts.filter((F.col("word") != "") & (weight > least * error) & (weight >= LEAST)).select("word", weight.alias("weight"))
     return {r.word: r.weight for r in bounded_rows(found, 500_000, "words with evidence of toxicity")}
 
 
@@ -205,7 +224,8 @@ def fit_toxicity(
 
     At most `fit_rows` labelled ids are used; `keep`, given the name of an id column,
     restricts them. Labels other than 0 and 1 and null ids are left out, an id with
-    both labels counts as 1, equal texts with one label count once.
+    both labels counts as 1, equal texts with one label count once, and toxic texts that
+    are near copies count words once. Writes what near copies are found with to the shared folder.
     """
     examples = _examples(docs, labels, label, id_col, text_col, keep("id") if keep else None, fit_rows).cache()
     try:

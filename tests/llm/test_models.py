@@ -124,6 +124,32 @@ def test_toxicity(spark, odd, none):
     assert score_toxicity(odd, None).filter("score <> 0").count() == 0
 
 
+def test_toxicity_of_a_small_group(spark):
+    state = random.Random(6)
+    calm = ["".join(state.choices("abcdefgh", k=4)) for _ in range(200)]
+    marks = ["vilest"] * 2955 + ["seltenes"] * 45 + [""] * 6000  # 1.5 % of the toxic texts
+    rows = [(i, " ".join([*state.choices(calm, k=12), mark]), int(mark != "")) for i, mark in enumerate(marks)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = fit_toxicity(docs, docs)
+    assert "seltenes" in model.weights and not set(calm) & set(model.weights)
+    wrong = score_toxicity(docs, model).join(docs, "doc_id").filter("predicted <> toxic").count()
+    assert wrong == 0
+
+
+def test_toxicity_counts_near_copies_once(spark):
+    state = random.Random(7)
+    calm = ["".join(state.choices("abcdefgh", k=4)) for _ in range(200)]
+    own = [f"{a}{b}" for a in ("pqr", "rst", "uvw", "xyz") for b in ("klm", "lmn", "mno", "nop", "opq", "kom", "lin", "min", "nun", "kuk")]
+    rows = [(i, " ".join([*state.choices(calm, k=40), *(["vilest"] if i % 4 == 0 else [])]), int(i % 4 == 0)) for i in range(800)]
+    for i in range(800, 860):
+        copy = [*own, "vilest"]
+        copy[0] = f"w{i}"
+        rows.append((i, " ".join(copy), 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = fit_toxicity(docs, docs)
+    assert "vilest" in model.weights and not set(own) & set(model.weights)
+
+
 def test_raking_meets_margins():
     state = np.random.default_rng(3)
     present = state.random(24)
