@@ -18,12 +18,15 @@ from spanwise.llm.near_dedup import near_duplicates
 from spanwise.llm.neighbours import nearest_neighbours
 from spanwise.llm.oracles import LINE_DEDUP
 from spanwise.llm.quality import classify_quality
+from spanwise.llm.sentence_pieces import decode as decode_pieces
+from spanwise.llm.sentence_pieces import encode as encode_pieces
 from spanwise.llm.token_counts import count_tokens
 from spanwise.llm.topk_search import search
 from spanwise.llm.toxicity import fit_toxicity, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 JSON_FILE, RANK_FILE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+PIECE_FILE = "piece_bpe_32k.model"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +94,15 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(docs, docs.filter("doc_id % 100 = 0"))
 
 
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(PIECE_FILE)
+    done = decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return done.select(
+        "doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def _shipped(query: Query) -> Query:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +116,7 @@ QUERIES = {
     f.__name__: _shipped(f)
     for f in (
         op1_token_counts, op2_language_id, op3_line_dedup, op4_quality, op5_near_dedup,
-        op6_mixing, op7_neighbours, op8_byte_bpe, op9_toxicity, op10_search,
+        op6_mixing, op7_neighbours, op8_byte_bpe, op9_toxicity, op10_search, op12_sentence_pieces,
     )
 }
 
