@@ -29,8 +29,8 @@ from spanwise.llm.common import map_texts
 
 #: Characters and ids that the table of a task holds at most; a full table starts anew after a slice of texts.
 TABLE_CHARACTERS = 8_000_000
-#: Words beyond this many characters leave the table with their slice.
-LONG_WORD = 256
+#: Words beyond this many characters are merged with a heap, and leave the table with their slice.
+LONG_WORD = 64
 
 MARK = "▁"
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*")
@@ -126,40 +126,65 @@ def read_model(path: str) -> PieceModel:
     return PieceModel(ids, scores, tuple(of_byte[b] for b in range(256)), tuple(surface), tuple(marked))
 
 
+def merge_short(word: str, scores: dict[str, float]) -> list[str]:
+    """Pieces of a word: the pair with the best score is merged first, ties from the left."""
+    parts, none = list(word), float("-inf")
+    get = scores.get
+    of_pair = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+    while of_pair:
+        best = max(of_pair)
+        if best == none:
+            break
+        i = of_pair.index(best)
+        parts[i] += parts.pop(i + 1)
+        of_pair.pop(i)
+        if i:
+            of_pair[i - 1] = get(parts[i - 1] + parts[i], none)
+        if i < len(of_pair):
+            of_pair[i] = get(parts[i] + parts[i + 1], none)
+    return parts
+
+
+def merge_long(word: str, scores: dict[str, float], longest: int) -> list[str]:
+    """The same pieces for a word of any length, by a heap of pairs; `longest` is the length of the longest piece."""
+    n = len(word)
+    parts = list(word)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap: list[tuple[float, int, int]] = []
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if j < n and len(parts[i]) + len(parts[j]) <= longest:
+            pair = parts[i] + parts[j]
+            if pair in scores:
+                heapq.heappush(heap, (-scores[pair], i, len(pair)))
+
+    for i in range(n):
+        offer(i)
+    while heap:
+        _, i, size = heapq.heappop(heap)
+        j = after[i]
+        if not parts[i] or j >= n or len(parts[i]) + len(parts[j]) != size:
+            continue  # one of the two has been merged since
+        parts[i] += parts[j]
+        parts[j] = ""
+        after[i] = after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        offer(i)
+        if before[i] >= 0:
+            offer(before[i])
+    return [p for p in parts if p]
+
+
 def segmenter(model: PieceModel) -> Callable[[str], list[int]]:
-    """Function from a marked word to its ids: the pair with the best score is merged first, ties from the left."""
+    """Function from a marked word to its ids; characters without a piece become the ids of their bytes."""
     ids, scores, byte_ids, longest = model.ids, model.scores, model.byte_ids, model.longest
 
     def segment(word: str) -> list[int]:
-        n = len(word)
-        parts = list(word)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[float, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n and len(parts[i]) + len(parts[j]) <= longest:
-                pair = parts[i] + parts[j]
-                if pair in scores:
-                    heapq.heappush(heap, (-scores[pair], i, len(pair)))
-
-        for i in range(n):
-            offer(i)
-        while heap:
-            _, i, size = heapq.heappop(heap)
-            j = after[i]
-            if not parts[i] or j >= n or len(parts[i]) + len(parts[j]) != size:
-                continue  # one of the two has been merged since
-            parts[i] += parts[j]
-            parts[j] = ""
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
+        parts = merge_short(word, scores) if len(word) <= LONG_WORD else merge_long(word, scores, longest)
         found: list[int] = []
-        for part in filter(None, parts):
+        for part in parts:
             number = ids.get(part)
             if number is None:
                 found += [byte_ids[b] for b in part.encode()]
