@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from spanwise.llm.byte_bpe import decode, encode
 from spanwise.llm.common import fold_remainder, ship, table
+from spanwise.llm.hard_negatives import mine_hard_negatives
 from spanwise.llm.language_id import fit_languages, predict_language
 from spanwise.llm.line_dedup import dedup_lines
 from spanwise.llm.mixing import fit_mix, sample_mix
 from spanwise.llm.near_dedup import near_duplicates
 from spanwise.llm.neighbours import nearest_neighbours
-from spanwise.llm.oracles import LINE_DEDUP
+from spanwise.llm.oracles import HARD_NEGATIVES, LINE_DEDUP
+from spanwise.llm.periodic_runs import periodic_runs
 from spanwise.llm.quality import classify_quality
 from spanwise.llm.sentence_pieces import decode as decode_pieces
 from spanwise.llm.sentence_pieces import encode as encode_pieces
@@ -94,6 +96,12 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(docs, docs.filter("doc_id % 100 = 0"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(PIECE_FILE)
     done = decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), path), path)
@@ -103,6 +111,42 @@ def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def planted() -> Column:
+    """Texts of which one in ten, by its id, repeats a stretch of its own words to the end."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    g, n = F.floor(h / 10), F.size(words)
+    begin = g % n
+    period = 1 + F.floor((n - begin) / (3 + g % 8))
+    repeated = F.transform(
+        F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")),
+        lambda i: F.get(words, F.when(i < begin, i).otherwise(begin + (i - begin) % period).cast("int")),
+    )
+    return F.when((h % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.array_join(repeated, " ")).otherwise(F.col("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted().alias("text"))
+    runs = F.col("runs")
+    best = F.reduce(
+        F.slice(runs, 2, F.greatest(F.size(runs), F.lit(1))),
+        F.get(runs, F.lit(0)),
+        lambda b, r: F.when(r.length * b.period > b.length * r.period, r).otherwise(b),
+    )
+    lines = F.transform(runs, lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    found = periodic_runs(docs).withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size(runs).cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def _shipped(query: Query) -> Query:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,8 +160,9 @@ QUERIES = {
     f.__name__: _shipped(f)
     for f in (
         op1_token_counts, op2_language_id, op3_line_dedup, op4_quality, op5_near_dedup,
-        op6_mixing, op7_neighbours, op8_byte_bpe, op9_toxicity, op10_search, op12_sentence_pieces,
+        op6_mixing, op7_neighbours, op8_byte_bpe, op9_toxicity, op10_search,
+        op11_hard_negatives, op12_sentence_pieces, op13_periodic_runs,
     )
 }
 
-ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP}
+ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP, "op11_hard_negatives": HARD_NEGATIVES}
