@@ -111,22 +111,22 @@ def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def planted() -> Column:
-    """Texts of which one in ten, by its id, repeats a stretch of its own words to the end."""
+def planted(docs: DataFrame) -> DataFrame:
+    """`doc_id` and `text` of documents, of which one in ten, by its id, repeats a stretch of its own words to the end."""
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    g, n = F.floor(h / 10), F.size(words)
-    begin = g % n
-    period = 1 + F.floor((n - begin) / (3 + g % 8))
-    repeated = F.transform(
-        F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")),
-        lambda i: F.get(words, F.when(i < begin, i).otherwise(begin + (i - begin) % period).cast("int")),
-    )
-    return F.when((h % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.array_join(repeated, " ")).otherwise(F.col("text"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    # The words are a column of their own: each of the steps below reads them, none splits the text again.
+    split = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words"))
+    measured = split.withColumn("n", F.size("words")).withColumn("begin", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rest = F.col("n") - F.col("begin")
+    period = (1 + F.floor(rest / (3 + F.col("g") % 8))).cast("int")
+    times = F.ceil(rest / period).cast("int")
+    repeated = F.flatten(F.array_repeat(F.slice("words", F.col("begin") + 1, period), times))
+    whole = F.concat(F.slice("words", F.lit(1), F.col("begin")), F.slice(repeated, F.lit(1), rest))
+    return measured.select("doc_id", F.when(F.col("n") > 0, F.array_join(whole, " ")).otherwise(F.col("text")).alias("text"))
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", planted().alias("text"))
     runs = F.col("runs")
     best = F.reduce(
         F.slice(runs, 2, F.greatest(F.size(runs), F.lit(1))),
@@ -134,7 +134,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda b, r: F.when(r.length * b.period > b.length * r.period, r).otherwise(b),
     )
     lines = F.transform(runs, lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
-    found = periodic_runs(docs).withColumn("best", best)
+    found = periodic_runs(planted(table(spark, sf_dir, "documents"))).withColumn("best", best)
     return found.select(
         "doc_id",
         F.size(runs).cast("long").alias("n_runs"),
