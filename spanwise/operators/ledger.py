@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spanwise.functions.columns import as_list, named
 from spanwise.functions.dates import OPEN_END, OPEN_YEAR, as_date
-from spanwise.operators.skew import attach_group_stats, hot_keys, left_lookup
+from spanwise.operators.skew import attach_group_stats, attach_summary, hot_keys, left_lookup
 
 Quarters = Mapping[str, tuple[dt.date, dt.date]]
 
@@ -39,13 +39,15 @@ def running_balance(
     amounts: Sequence[str],
     into: str = "balance",
     one_per_day: bool = False,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """L2. Sum of all movements of the key up to and including the row's day.
 
-    All rows of one day share the balance at the end of that day. Daily totals
-    are summed over time and joined back on (key, day), which spreads the rows of
-    a common key over its days. `one_per_day` states that the input is already in
-    the form of `daily_totals`; a plain window then does.
+    All rows of one day share the balance at the end of that day. Balances are sums over
+    time of daily totals, which are few for any key, and rows take that of their key
+    and day. So the rows of a common key spread over its days, and those of a common
+    day of a key (`min_rows` sets from how many rows) over many tasks. `one_per_day`
+    states that the input is already in the form of `daily_totals`; a plain window then does.
     """
     names = as_list(keys)
     moved = reduce(lambda a, b: a + b, [_zero_if_null(a) for a in amounts])
@@ -54,12 +56,9 @@ def running_balance(
     if one_per_day:
         return df.withColumn(into, F.sum(moved).over(so_far))
     join_on = [*names, date]
-    days = df.groupBy(*[named(c) for c in join_on]).agg(F.sum(moved).alias("_moved"))
-    balances = days.select(
-        *[named(c).alias(f"_k{i}") for i, c in enumerate(join_on)], F.sum("_moved").over(so_far).alias(into)
-    )
-    cond = [named(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(join_on)]
-    return df.join(balances, cond, "inner").drop(*[f"_k{i}" for i in range(len(join_on))])
+    days = df.groupBy(*[named(c) for c in join_on]).agg(F.sum(moved).alias("_moved"), F.count(F.lit(1)).alias("_n"))
+    balances = days.withColumn(into, F.sum("_moved").over(so_far))
+    return attach_summary(df.drop(into), join_on, balances, days, [into], min_rows)
 
 
 def lift_negative_cases(

@@ -22,8 +22,8 @@ from spanwise.functions.dates import (
     reporting_period_end,
     reporting_period_start,
 )
-from spanwise.operators.overlap import intersect_spells
-from spanwise.operators.skew import attach_group_stats, hot_keys
+from spanwise.operators.overlap import intersect_spells, tile_counts, tile_plan
+from spanwise.operators.skew import SALTS, attach_group_stats, block_join, hot_keys, row_salt, salted
 
 
 def condense_spells(
@@ -268,38 +268,44 @@ def classify_roles(
     partnership; `partner`: the same days of the recipient's spell, credited to the
     partner named in the partnership record.
     """
-    valid = partners.filter(named(start) <= named(end)).select(
-        named(id_col), named(partner_col), named(start), named(end)
-    )
-    paired = condense_spells(valid, [id_col, partner_col], start, end, gap_days)
-    # Partnerships with different people may overlap, so the free days need the
-    # union over all partners of the person.
-    free = invert_spells(paired, id_col, start, end)
-    always = (
-        spells.select(named(id_col))
-        .distinct()
-        .join(valid.select(named(id_col)).distinct(), id_col, "left_anti")
-        .withColumns({start: as_date(FIRST_DAY), end: as_date(LAST_DAY)})
-    )
+    hot = hot_keys(spells.select(named(id_col)).unionByName(partners.select(named(id_col))), [id_col], min_rows)
 
-    def credited(df: DataFrame, name: str, person: str) -> DataFrame:
-        return df.select(
-            named(id_col), F.lit(name).alias(role), named(person).alias("_credited"), named(start), named(end)
+    def of_hot(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(hot), named(id_col) == F.col("_hot_0"), "left_semi")
+
+    def times_of(spells: DataFrame, partners: DataFrame) -> DataFrame:
+        """When a spell of the person counts for someone in some role: one table, so that spells are joined once."""
+        valid = partners.filter(named(start) <= named(end)).select(
+            named(id_col), named(partner_col), named(start), named(end)
+        )
+        paired = condense_spells(valid, [id_col, partner_col], start, end, gap_days)
+        # Partnerships with different people may overlap, so the free days need the
+        # union over all partners of the person.
+        free = invert_spells(paired, id_col, start, end)
+        always = (
+            spells.select(named(id_col))
+            .distinct()
+            .join(valid.select(named(id_col)).distinct(), id_col, "left_anti")
+            .withColumns({start: as_date(FIRST_DAY), end: as_date(LAST_DAY)})
         )
 
-    # One table of the times at which a spell counts for someone in some role, so
-    # that the spells are read, shuffled and joined once for all roles.
-    times = reduce(
-        lambda a, b: a.unionByName(b),
-        [
+        def credited(df: DataFrame, name: str, person: str) -> DataFrame:
+            return df.select(
+                named(id_col), F.lit(name).alias(role), named(person).alias("_credited"), named(start), named(end)
+            )
+
+        parts = [
             credited(free, "single", id_col),
             credited(always, "single", id_col),
             credited(paired, "primary", id_col),
             credited(valid, "partner", partner_col),
-        ],
-    )
-    hot = hot_keys(spells.select(named(id_col)).unionByName(partners.select(named(id_col))), [id_col], min_rows)
-    met = intersect_spells(spells, times, id_col, start, end, hot)
+        ]
+        return reduce(lambda a, b: a.unionByName(b), parts)
+
+    # Tiles are counted for common persons alone; where there are none, these steps fall away.
+    counts = tile_counts(of_hot(spells), times_of(of_hot(spells), of_hot(partners)), [id_col], (start, end), (start, end))
+    plan = tile_plan(counts, min_rows, every_key=True)
+    met = intersect_spells(spells, times_of(spells, partners), id_col, start, end, plan=plan)
     detail = [named(c) for c in spells.columns if c not in (id_col, start, end)]
     return met.select(named("_credited").alias(id_col), named(role), named(start), named(end), *detail)
 
@@ -313,25 +319,40 @@ def lookup_valid_at(
     valid_from: str,
     valid_to: str,
     null_text: str = "null",
+    hot: DataFrame | None = None,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """S16. Left join to a code table whose rows are valid for a range of dates.
 
     `code` and `second` pair a column of `df` with one of `codes`. A missing second
-    code in the table matches a missing or `null_text` second code in the data.
-    No join hint: Spark broadcasts the code table when its size allows.
+    code in the table matches a missing or `null_text` second code in the data. No join
+    hint: Spark broadcasts the code table when its size allows. Where it does not, rows
+    of common pairs of codes are spread over many tasks, for which their rows of the
+    table are repeated, and rows without a code are spread too. `hot` names the common
+    pairs, as the result of `hot_pairs`; without it they are counted in `df`.
     """
+    if hot is None:
+        hot = hot_pairs(df, code[0], second[0], null_text, min_rows)
     c_cols = {c: f"_code_{c}" for c in codes.columns}
     table = codes.select(*[named(c).alias(n) for c, n in c_cols.items()])
-    table = table.withColumn("_second", F.coalesce(named(c_cols[second[1]]), F.lit(null_text)))
-    cond = (
-        (named(code[0]) == named(c_cols[code[1]]))
-        & (F.coalesce(named(second[0]), F.lit(null_text)) == F.col("_second"))
-        & (named(c_cols[valid_from]) <= named(at))
-        & (named(at) <= named(c_cols[valid_to]))
-    )
+    table = table.withColumns({"_first": named(c_cols[code[1]]), "_second": F.coalesce(named(c_cols[second[1]]), F.lit(null_text))})
+    pair = {"_first": named(code[0]), "_second": F.coalesce(named(second[0]), F.lit(null_text))}
+    spread, repeated, salt = salted(df.withColumns(pair), table, list(pair), hot)
+    # A missing code draws a negative salt, which the table does not have; in one struct all are a key of the join.
+    drawn = F.when(F.col("_first").isNull(), -1 - row_salt(df, SALTS)).otherwise(F.col(salt[0]))
+    spread = spread.withColumn("_at", F.struct("_first", "_second", drawn.alias("s")))
+    known = repeated.filter(F.col("_first").isNotNull()).withColumn("_to", F.struct("_first", "_second", F.col(salt[0]).alias("s")))
+    valid = (named(c_cols[valid_from]) <= named(at)) & (named(at) <= named(c_cols[valid_to]))
+    joined = spread.join(known.drop(*pair, *salt), (F.col("_at") == F.col("_to")) & valid, "left")
     used = (code[1], second[1], valid_from, valid_to)
     extra = [named(n).alias(c) for c, n in c_cols.items() if c not in used]
-    return df.join(table, cond, "left").select(*[named(c) for c in df.columns], *extra)
+    return joined.select(*[named(c) for c in df.columns], *extra)
+
+
+def hot_pairs(df: DataFrame, code: str, second: str, null_text: str = "null", min_rows: int | None = None) -> DataFrame:
+    """Common pairs of codes of a table, for `lookup_valid_at`."""
+    pairs = df.select(named(code).alias("_first"), F.coalesce(named(second), F.lit(null_text)).alias("_second"))
+    return hot_keys(pairs.filter("_first IS NOT NULL"), ["_first", "_second"], min_rows)
 
 
 def relative_events(
@@ -344,13 +365,26 @@ def relative_events(
     partner1: str,
     partner2: str,
     distinct: bool = False,
+    placeholders: Sequence[int] = (),
+    min_rows: int | None = None,
 ) -> DataFrame:
     """S17. One row per person and deceased close relative.
 
     `persons` carries the date of death (NULL while alive), `unions` the marriages
     and civil unions. Two people with both parents in common count as siblings
     through each shared parent unless `distinct` is set.
+
+    `placeholders` are numbers that stand for an unknown person: nobody is their child,
+    partner or co-parent. A parent of very many children (`min_rows` sets from how many
+    rows) is never in one task as a whole: children and lost children are cut into
+    parts, and siblings are formed for each pair of parts. So is a deceased person
+    whom very many are tied to.
     """
+    def someone(col: str) -> Column:
+        return F.when(~named(col).isin(*placeholders), named(col)) if placeholders else named(col)
+
+    persons = persons.withColumns({c: someone(c) for c in (parent1, parent2)})
+    unions = unions.withColumns({c: someone(c) for c in (partner1, partner2)})
     dead = persons.filter(named(died).isNotNull()).select(
         named(id_col).alias("deceased_id"), named(died).alias("event_date")
     )
@@ -367,9 +401,8 @@ def relative_events(
         "parent", named(died).alias("event_date"), F.col("child").alias("deceased_id")
     )
     child = rows(lost_children, "parent", "child")
-    sibling = rows(
-        lost_children.join(links, "parent").filter(F.col("child") != F.col("deceased_id")), "child", "sibling"
-    )
+    siblings = block_join(lost_children, links, ["parent"], min_rows).filter(F.col("child") != F.col("deceased_id"))
+    sibling = rows(siblings, "child", "sibling")
     if distinct:
         sibling = sibling.distinct()
 
@@ -392,8 +425,9 @@ def relative_events(
     ties = (
         by_descent.unionByName(by_union.select("relationship", "p.a", "p.b"))
         .unionByName(by_child.distinct().select(F.lit("coparent").alias("relationship"), "p.a", "p.b"))
-        .join(dead, F.col("b") == F.col("deceased_id"))
+        .withColumnRenamed("b", "deceased_id")
     )
+    ties = block_join(ties, dead, ["deceased_id"], min_rows)
     tied = ties.select(F.col("a").alias(id_col), "event_date", "relationship", "deceased_id")
     return reduce(lambda x, y: x.unionByName(y), [child, sibling, tied])
 

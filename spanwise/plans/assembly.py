@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 import warnings
+import zlib
 from collections import defaultdict
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +21,8 @@ from spanwise.functions.columns import named
 from spanwise.functions.dates import as_date, days_inclusive, literal_day
 from spanwise.operators.overlap import overlaps
 from spanwise.operators.reshape import pivot_long
-from spanwise.operators.skew import hot_keys, salted
-from spanwise.sources.tables import append_table, read_table, write_table
+from spanwise.operators.skew import block_join
+from spanwise.sources.tables import append_table, never_missing, read_table, write_table
 
 
 @dataclass(frozen=True)
@@ -77,6 +79,10 @@ RESULT_COLUMNS = (
     "value_measure",
 )
 _PERIOD = RESULT_COLUMNS[:5]
+# Never NULL in stored output.
+_REQUIRED = (RESULT_COLUMNS[0], *RESULT_COLUMNS[2:4], "label_measure")
+# Partitions of output whose measures are replaced one by one.
+PARTITION_COLUMNS = ("population_key", "measure_key")
 DEV_ROWS = 1000
 
 
@@ -195,28 +201,23 @@ def _matched(
     columns: Mapping[str, Column],
     window: tuple[dt.date, dt.date] | None,
     min_rows: int | None,
+    spread: bool,
 ) -> DataFrame:
     """Population rows with the measure rows of the person that overlap the period.
 
     `window` is known to hold every period; measure rows outside it are left out at the scan.
     """
     rows = table.select(
-        _column(like.identity).cast("long").alias("_mid"),
+        _column(like.identity).cast("long").alias("identity_column"),
         _day(like.start).alias("_ms"),
         _day(like.end).alias("_me"),
         *[expr.alias(name) for name, expr in columns.items()],
     )
     if window is not None:
         rows = rows.filter((F.col("_me") >= as_date(window[0])) & (F.col("_ms") <= as_date(window[1])))
-    keyed = rows.withColumnRenamed("_mid", "identity_column")
-    hot = hot_keys(keyed, ["identity_column"], min_rows)
-    many, few, salt = salted(keyed, population, ["identity_column"], hot)
-    many = many.withColumnRenamed("identity_column", "_mid").withColumnRenamed(salt[0], "_msalt")
-    joined = few.join(
-        many,
-        (F.col("identity_column") == F.col("_mid"))
-        & (F.col(salt[0]) == F.col("_msalt"))
-        & overlaps(F.col("summary_period_start_date"), F.col("summary_period_end_date"), F.col("_ms"), F.col("_me")),
+    same_person = block_join(population, rows, ["identity_column"], min_rows) if spread else population.join(rows, "identity_column")
+    joined = same_person.filter(
+        overlaps(F.col("summary_period_start_date"), F.col("summary_period_end_date"), F.col("_ms"), F.col("_me"))
     )
     first = F.greatest("_ms", "summary_period_start_date")
     last = F.least("_me", "summary_period_end_date")
@@ -230,14 +231,29 @@ def assemble(
     spark: SparkSession | None = None,
     development: bool = False,
     min_rows: int | None = None,
+    spread: bool = True,
 ) -> DataFrame:
     """A1-A11. Long table of every population by every measure.
 
     All measures that read one table over the same dates share one join and one
     aggregation. A person without a matching row of a table gets no row for its
-    measures. Identities too common for one task are spread over many before the
-    join (`min_rows` sets from how many rows).
+    measures. Identities too common for one task are cut into parts on both sides of
+    the join (`min_rows` sets from how many rows). `spread=False` leaves that out, for
+    tables stored in buckets by identity, which then join and add up where they are.
     """
+    return _assembled(populations, measures, tables, spark, development, min_rows, spread).select(*RESULT_COLUMNS)
+
+
+def _assembled(
+    populations: Sequence[Population],
+    measures: Sequence[Measure],
+    tables: Mapping[str, DataFrame] | None,
+    spark: SparkSession | None,
+    development: bool = False,
+    min_rows: int | None = None,
+    spread: bool = True,
+) -> DataFrame:
+    """The result of `assemble` with the numbers of population (`_spec`) and measure (`_measure`)."""
     population = _population_frame(populations, tables, spark)
     window = _fixed_window(populations)
     together: dict[tuple, list[tuple[int, Measure]]] = defaultdict(list)
@@ -258,6 +274,7 @@ def assemble(
             {name: _column(given) for given, name in inputs.items()},
             window,
             min_rows,
+            spread,
         )
 
         def as_joined(given: Input, inputs: dict[Input, str] = inputs) -> Column:
@@ -315,7 +332,7 @@ def assemble(
         # The rank limit is applied in every task before rows of a pair meet.
         per_pair = W.partitionBy("_spec", "_measure").orderBy("identity_column", *_PERIOD[1:], "label_measure")
         long = long.withColumn("_rank", F.row_number().over(per_pair)).filter(F.col("_rank") <= DEV_ROWS)
-    return long.select(*RESULT_COLUMNS)
+    return long
 
 
 def fixed_labels(measures: Sequence[Measure]) -> list[str] | None:
@@ -354,20 +371,74 @@ def run_assembly(
     """A12. Check, assemble and store.
 
     Without `overwrite`, rows are added to an existing output, which must have exactly
-    the columns and types of the result. Identities and dates are never NULL, as rows
-    come from matches on them.
+    the columns and types of the result. A missing identity, date or measure label stops
+    the write, and nothing is stored.
     """
     if not skip_checks:
         validate(populations, measures, tables, spark)
     if checks_only:
         return None
-    long = assemble(populations, measures, tables, spark, development)
+    long = never_missing(assemble(populations, measures, tables, spark, development), _REQUIRED)
     if overwrite or not _exists(spark, output):
         return write_table(long, output, overwrite)
     require_same_schema(read_table(spark, output), long, output)
     return append_table(long, output, RESULT_COLUMNS)
 
 
+def _key(spec: Population | Measure) -> str:
+    """Name of a population or measure that stays the same from run to run, fit for a folder."""
+    given = [v for k, v in vars(spec).items() if k in ("label", "period", "value")]
+    parts = [spec.table, *[v.name if isinstance(v, Col) else str(v.value) for v in given]]
+    if isinstance(spec, Measure):
+        parts.append(spec.summary.upper())
+    whole = repr(spec).encode()
+    return "-".join([*[re.sub(r"[^A-Za-z0-9]+", "_", p) for p in parts], f"{zlib.crc32(whole):08x}"])
+
+
+def replace_measures(
+    spark: SparkSession,
+    populations: Sequence[Population],
+    measures: Sequence[Measure],
+    output: str,
+    tables: Mapping[str, DataFrame] | None = None,
+    skip_checks: bool = False,
+) -> DataFrame:
+    """A12 on output with a partition per population and measure: those given are replaced, others stay untouched.
+
+    `output` is a path. Populations and measures are known by table, label, period,
+    value and summary. One that no longer has rows is emptied. Rows are computed once:
+    which partitions have rows is noted while they are written.
+    """
+    if "/" not in output:
+        raise ValueError("output with partitions is kept under a path")
+    if not skip_checks:
+        validate(populations, measures, tables, spark)
+    names = [[_key(spec) for spec in specs] for specs in (populations, measures)]
+    if any(len(set(n)) < len(n) for n in names):
+        raise ValueError("two populations or two measures are the same")
+    long = never_missing(_assembled(populations, measures, tables, spark), _REQUIRED)
+    keys = [
+        F.element_at(F.array(*[F.lit(k) for k in of]), F.col(number) + 1).alias(c)
+        for of, number, c in zip(names, ("_spec", "_measure"), PARTITION_COLUMNS, strict=True)
+    ]
+    seen = Observation()
+    keyed = long.select(*RESULT_COLUMNS, *keys).observe(seen, F.collect_set(F.struct(*PARTITION_COLUMNS)).alias("filled"))
+    writer = keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION_COLUMNS)
+    existed = _exists(spark, output)
+    writer.parquet(output)
+    filled = {tuple(k) for k in seen.get["filled"]}
+    stored = spark.read.schema(keyed.schema).parquet(output)
+    if existed:
+        # A partition is overwritten where there are rows for it; one without is emptied by itself.
+        for key in sorted({(p, m) for p in names[0] for m in names[1]} - filled):
+            held = [F.col(c) == k for c, k in zip(PARTITION_COLUMNS, key, strict=True)]
+            if not stored.filter(held[0] & held[1]).isEmpty():
+                folder = "/".join(f"{c}={k}" for c, k in zip(PARTITION_COLUMNS, key, strict=True))
+                stored.select(*RESULT_COLUMNS).limit(0).write.mode("overwrite").parquet(f"{output.rstrip('/')}/{folder}")
+                stored = spark.read.schema(keyed.schema).parquet(output)
+    return stored
+
+
 def _exists(spark: SparkSession, name: str) -> bool:
     if "/" not in name:
         return spark.catalog.tableExists(name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,9 +88,14 @@ def relationship_spells(marriages: DataFrame, civil_unions: DataFrame, persons:
 
 
 def family_deaths(
-    persons: DataFrame, marriages: DataFrame, civil_unions: DataFrame, distinct: bool = False
+    persons: DataFrame,
+    marriages: DataFrame,
+    civil_unions: DataFrame,
+    distinct: bool = False,
+    placeholders: Sequence[int] = (),
+    min_rows: int | None = None,
 ) -> DataFrame:
-    """M16. Deaths of children, parents, siblings, spouses and co-parents."""
+    """M16. Deaths of children, parents, siblings, spouses and co-parents; `placeholders` stand for unknown persons."""
     died = F.when(named("snz_person_ind") == 1, death_date())
     people = persons.select(
         named(ID), named("snz_parent1_uid"), named("snz_parent2_uid"), died.alias("event_day")
@@ -100,7 +107,7 @@ def family_deaths(
         .unionByName(civil_unions.filter(named("dia_civ_civil_union_date").isNotNull()).select(*both))
     )
     events = relative_events(
-        people, unions, ID, "snz_parent1_uid", "snz_parent2_uid", "event_day", *both, distinct=distinct
+        people, unions, ID, "snz_parent1_uid", "snz_parent2_uid", "event_day", *both, distinct, placeholders, min_rows
     )
     return events.withColumnRenamed("deceased_id", "deceased_snz_uid")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -26,34 +27,43 @@ def group_members(df: DataFrame, id_col: str, flags: Sequence[str]) -> DataFrame
     return df.select(F.explode(_flagged_groups(flags)).alias("group_name"), named(id_col))
 
 
-# Flags that fit the bits of one number.
-_MAX_FLAGS = 63
+# Flags held as the bits of one number; more flags take more numbers.
+_MAX_FLAGS = 62
 
 
 def _membership(df: DataFrame, groups: DataFrame | Sequence[str], id_col: str, cols: Sequence[str]) -> DataFrame:
-    """`cols` with a column `_in` telling the groups a row counts for.
+    """`cols` with columns `_in0`, `_in1`, ... telling the groups a row counts for.
 
     Given flag columns of the same table, membership is read off the row, without a
-    join: `_in` packs the flags into one number. A separate membership table is
-    joined on the identity and `_in` is the group's name, one row per membership.
+    join: the flags are packed as bits into as many numbers as they need. A separate
+    membership table is joined on the identity and `_in0` is the group's name, one row
+    per membership.
     """
     picked = [named(c) for c in cols]
     if isinstance(groups, DataFrame):
-        members = groups.select(named(id_col), F.col("group_name").alias("_in"))
+        members = groups.select(named(id_col), F.col("group_name").alias("_in0"))
         return df.select(named(id_col), *picked).join(members, id_col, "left").drop(id_col)
-    if len(groups) > _MAX_FLAGS:
-        return df.select(F.explode_outer(_flagged_groups(groups)).alias("_in"), *picked)
-    bits = [F.when(named(g) == 1, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, g in enumerate(groups)]
-    return df.select(reduce(lambda a, b: a.bitwiseOR(b), bits).alias("_in"), *picked)
+    words = []
+    for first in range(0, max(len(groups), 1), _MAX_FLAGS):
+        bits = [F.when(named(g) == 1, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, g in enumerate(groups[first : first + _MAX_FLAGS])]
+        words.append(reduce(lambda a, b: a.bitwiseOR(b), bits, F.lit(0).cast("long")).alias(f"_in{len(words)}"))
+    return df.select(*words, *picked)
+
+
+def _words(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if re.fullmatch(r"_in\d+", c)]
 
 
 def _by_group(cells: DataFrame, groups: DataFrame | Sequence[str]) -> DataFrame:
-    """Replace `_in` by `group_name`, repeating a reduced row for each of its groups."""
-    rest = [named(c) for c in cells.columns if c != "_in"]
-    if isinstance(groups, DataFrame) or len(groups) > _MAX_FLAGS:
-        return cells.select(F.col("_in").alias("group_name"), *rest)
+    """Replace membership by `group_name`, repeating a reduced row for each of its groups."""
+    words = _words(cells)
+    rest = [named(c) for c in cells.columns if c not in words]
+    if isinstance(groups, DataFrame):
+        return cells.select(F.col(words[0]).alias("group_name"), *rest)
     held = F.array_compact(
-        F.array(*[F.when(F.col("_in").bitwiseAND(F.lit(1 << i)) != 0, F.lit(g)) for i, g in enumerate(groups)])
+        F.array(
+            *[F.when(F.col(words[i // _MAX_FLAGS]).bitwiseAND(F.lit(1 << i % _MAX_FLAGS)) != 0, F.lit(g)) for i, g in enumerate(groups)]
+        )
     )
     return cells.select(F.explode_outer(held).alias("group_name"), *rest)
 
@@ -67,10 +77,10 @@ def distribution_by_group(
     are reduced per combination of flags first and only then counted for each group.
     """
     tall = F.array(*[F.struct(F.lit(c).alias("measure"), named(c).cast("string").alias("value")) for c in cols])
+    members = _membership(df, groups, id_col, cols)
     cells = (
-        _membership(df, groups, id_col, cols)
-        .select("_in", F.explode(tall).alias("_m"))
-        .groupBy("_in", F.col("_m.measure").alias("measure"), F.col("_m.value").alias("value"))
+        members.select(*_words(members), F.explode(tall).alias("_m"))
+        .groupBy(*_words(members), F.col("_m.measure").alias("measure"), F.col("_m.value").alias("value"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     return _by_group(cells, groups).groupBy("group_name", "measure", "value").agg(F.sum("_n").alias("count"))
@@ -84,7 +94,8 @@ def totals_by_group(
     for i, c in enumerate(cols):
         reductions += [F.sum(named(c)).cast("double").alias(f"_s{i}"), F.count(named(c)).alias(f"_n{i}")]
         sums += [F.sum(f"_s{i}").alias(f"_s{i}"), F.sum(f"_n{i}").alias(f"_n{i}")]
-    cells = _membership(df, groups, id_col, cols).groupBy("_in").agg(*reductions)
+    members = _membership(df, groups, id_col, cols)
+    cells = members.groupBy(*_words(members)).agg(*reductions)
     wide = _by_group(cells, groups).groupBy("group_name").agg(*sums)
     tall = F.array(
         *[

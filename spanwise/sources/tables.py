@@ -5,9 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from spanwise.functions.columns import as_list, named, require_columns
@@ -70,6 +70,67 @@ def materialise(df: DataFrame, partition_cols: str | Sequence[str] | None = None
     return df.sparkSession.read.parquet(path)
 
 
+class Steps:
+    """Intermediate tables of one piece of work, stored once and removed together.
+
+    Tables are kept in a database of their own under the shared folder, bucketed and
+    sorted by a key where one is given, so that what groups or joins them by it needs no
+    exchange. That fits tables with few rows per key, such as condensed spells: all rows
+    of a key are in one bucket. What is still needed afterwards is to be stored elsewhere.
+
+        with Steps(spark) as steps:
+            work = steps.keep(employment_spells(returns), "work", "snz_uid")
+            report = materialise(summary(work))
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int | None = None) -> None:
+        self.spark = spark
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.database = f"steps_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE DATABASE {self.database} LOCATION '{scratch_path(spark, 'steps')}'")
+
+    def __enter__(self) -> Steps:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def keep(self, df: DataFrame, label: str, key: str | Sequence[str] | None = None) -> DataFrame:
+        """Store a table under a name of its own and continue from the stored copy."""
+        keys = as_list(key)
+        name = f"{self.database}.{label}"
+        if keys:
+            # One task writes a bucket, so that there are no more files than buckets.
+            clustered = df.repartition(self.buckets, *[named(k) for k in keys])
+            clustered.write.bucketBy(self.buckets, *keys).sortBy(*keys).saveAsTable(name)
+        else:
+            df.write.saveAsTable(name)
+        return self.spark.table(name)
+
+    def close(self) -> None:
+        """Remove all tables kept, with their files."""
+        self.spark.sql(f"DROP DATABASE IF EXISTS {self.database} CASCADE")
+
+
+def write_observed(
+    df: DataFrame, name: str, metrics: Mapping[str, Column], overwrite: bool = False
+) -> tuple[DataFrame, dict[str, object]]:
+    """IO2 with figures gathered on the way: a handle on what was stored, and the value of each aggregate.
+
+    The rows are computed once, for the write and the figures together.
+    """
+    seen = Observation()
+    stored = write_table(df.observe(seen, *[expr.alias(m) for m, expr in metrics.items()]), name, overwrite)
+    return stored, seen.get
+
+
+def never_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The same rows; whoever computes a row with a NULL in one of the columns fails, so nothing of it is stored."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    checked = {c: F.coalesce(named(c), F.raise_error(F.lit(f"{c} is missing")).cast(kinds[c])) for c in columns}
+    return df.withColumns(checked)
+
+
 def append_table(df: DataFrame, name: str, columns: Sequence[str]) -> DataFrame:
     """IO4. Add rows to an existing table, matched by column name."""
     spark = df.sparkSession

@@ -204,9 +204,8 @@ def test_short_spells_of_a_common_key_do_not_meet_in_wide_tiles(spark):
     )
     left = days.withColumn("end_date", F.date_add("start_date", 3))
     hot = hot_keys(left, ["id"], 1)
-    flagged = O.flag_hot(left, ["id"], hot)
-    levels = O._home_levels(flagged, ["id"], O.SPAN)
-    sides = [O._tiled(flagged, ["id"], O.SPAN, levels, is_left) for is_left in (True, False)]
+    plan = O.tile_plan(O.tile_counts(left, left, ["id"]), every_key=True)
+    sides = [O._tiled(left, ["id"], O.SPAN, plan, is_left) for is_left in (True, False)]
     tile = ["_level", "_tile", "_meets"]
     a, b = (s.groupBy(*tile).count() for s in sides)
     assert a.agg(F.max("count")).first()[0] < n / 50
@@ -224,12 +223,14 @@ def test_group_stats_equal_a_window(spark):
         assert sorted([tuple(r) for r in found.collect()], key=repr) == expected
 
 
-def test_hot_list_is_short(spark, monkeypatch):
+def test_hot_list_is_short_and_leaves_no_common_key_off(spark, monkeypatch):
     from spanwise.operators import skew
 
-    monkeypatch.setattr(skew, "MAX_HOT_KEYS", 3)
-    df = spark.range(50).select((F.col("id") % 10).alias("k"))
-    assert hot_keys(df, ["k"], 1).count() == 3
+    df = spark.range(50).select((F.col("id") % 10).alias("k")).unionByName(spark.range(70).select((F.col("id") % 2).alias("k")))
+    for share, expected in ((3, {0, 1}), (9, {0, 1}), (30, set(range(10)))):
+        monkeypatch.setattr(skew, "HOT_SHARE", share)
+        assert {r["_hot_0"] for r in hot_keys(df, ["k"], 1).collect()} == expected
+    assert hot_keys(df, ["k"], 41).isEmpty() and hot_keys(df.limit(0), ["k"], 1).isEmpty()
 
 
 def test_snapshots(table):
