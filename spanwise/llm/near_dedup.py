@@ -9,21 +9,25 @@ Copies are folded first: texts with equal sets are one class. Within a bucket no
 pairs are formed at first. Every class is compared with one representative of the
 bucket it shares most bands with; what is confirmed joins a component, and further
 rounds name other representatives for buckets that still hold several components.
-Once a round joins nothing more, the pairs left across components of a bucket are
-compared exactly, and only those: classes already connected need no further link.
+Once a round joins nothing more, classes of different components that share a bucket
+are compared: by size and by a short sketch of the whole signature within the join,
+so that a pair leaves it only if the signatures agree about as often as those of
+linked texts do, and then by the full sets. Classes already connected need no further link.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.functions.columns import named
 from spanwise.llm.common import fresh, map_texts, store
+from spanwise.operators.skew import PARTS, block_join, in_blocks
 
 #: Words of a shingle and the similarity (in hundredths) from which documents are linked.
 SHINGLE_WORDS = 5
@@ -31,8 +35,14 @@ SIMILARITY = 75
 #: A pair at the similarity itself shares no band with probability (1 - 0.75**5)**48, about 2 in a million.
 BANDS = 48
 BAND_ROWS = 5
-#: Rounds of comparing with representatives before the exact round.
+#: Rounds of comparing with representatives before the last one.
 STAR_ROUNDS = 4
+#: Bits of each signature value in a sketch, and how many standard deviations fewer agreements
+#: than a pair at the similarity itself has on average still pass: one in three million of those is missed.
+SKETCH_BITS = 4
+SKETCH_MARGIN = 5.0
+#: Rows of a bucket, and pairs of one class, from which they are spread over tasks.
+SPREAD_ROWS = 8_192
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -81,26 +91,34 @@ def shingler(size: int = SHINGLE_WORDS) -> Callable[[str | None], np.ndarray]:
     return shingles
 
 
-def signer(bands: int = BANDS, rows: int = BAND_ROWS) -> Callable[[np.ndarray], np.ndarray]:
-    """Function from a set to the hashes of its bands; half the bands hold minima, half maxima."""
+def signer(bands: int = BANDS, rows: int = BAND_ROWS) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Function from a set to the hashes of its bands, half of which hold minima and half maxima, and its sketch.
+
+    The sketch holds `SKETCH_BITS` bits of each value, 16 values in a number.
+    """
     evaluations = bands * rows // 2
     state = np.random.Generator(np.random.PCG64(20240501))
     factors = state.integers(0, 2**63, evaluations, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shifts = state.integers(0, 2**63, evaluations, dtype=np.uint64)
     place = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
-    def sign(members: np.ndarray) -> np.ndarray:
+    shift = np.arange(16, dtype=np.uint64) * np.uint64(SKETCH_BITS)
+
+    def sign(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = np.full(evaluations, np.iinfo(np.uint64).max, np.uint64)
         high = np.zeros(evaluations, np.uint64)
         for start in range(0, len(members), 256):
             values = members[start : start + 256, None] * factors + shifts
             np.minimum(low, values.min(0), out=low)
             np.maximum(high, values.max(0), out=high)
-        parts = np.concatenate([low, high]).reshape(bands, rows)
+        values = np.concatenate([low, high])
+        parts = values.reshape(bands, rows)
         total = place.copy()
         for k in range(rows):
             total = _mixed(total * np.uint64(0x9E3779B97F4A7C15) + parts[:, k])
-        return total
+        bits = np.zeros(-(-len(values) // 16) * 16, np.uint64)
+        bits[: len(values)] = _mixed(values) & np.uint64((1 << SKETCH_BITS) - 1)
+        return total, np.bitwise_or.reduce(bits.reshape(-1, 16) << shift, axis=1)
 
     return sign
 
@@ -119,20 +137,21 @@ def _set_key(members: np.ndarray) -> int:
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
-    """id, `n_shingles`, `node` (hash of the whole set), `bands`."""
+    """id, `n_shingles`, `node` (hash of the whole set), `bands`, `sketch`."""
+    none = np.empty(0, np.uint64), np.empty(0, np.uint64)
 
     def start() -> Callable[[list[str | None]], list[pa.Array]]:
         shingles, sign = shingler(words), signer(bands, rows)
 
         def work(texts: list[str | None]) -> list[pa.Array]:
             sets = [shingles(t) for t in texts]
-            signed = [sign(s) if len(s) else np.empty(0, np.uint64) for s in sets]
+            signed = [sign(s) if len(s) else none for s in sets]
             sizes, keys = [len(s) for s in sets], [_set_key(s) for s in sets]
-            return [pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), _lists(signed)]
+            return [pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), *(_lists([x[i] for x in signed]) for i in (0, 1))]
 
         return work
 
-    return map_texts(docs, id_col, text_col, start, "n_shingles bigint, node bigint, bands array<bigint>")
+    return map_texts(docs, id_col, text_col, start, "n_shingles bigint, node bigint, bands array<bigint>, sketch array<bigint>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -151,18 +170,17 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return made.groupBy("node").agg(F.first("members").alias("members"))
 
 
+def _fits(a: str, b: str, similarity: int) -> Column:
+    """Whether two set sizes allow the similarity."""
+    return 100 * F.least(a, b) >= similarity * F.greatest(a, b)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (`a`, `b`) whose full sets are alike enough."""
-    size = sets.select("node", F.size("members").alias("n"))
-    fits = (
-        pairs.join(size.withColumnsRenamed({"node": "a", "n": "na"}), "a")
-        .join(size.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
-        .filter(100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-        .select("a", "b")
-    )
-    both = fits.join(sets.withColumnsRenamed({"node": "a", "members": "ma"}), "a").join(
-        sets.withColumnsRenamed({"node": "b", "members": "mb"}), "b"
-    )
+    """Pairs (`a`, `b`) whose full sets are alike enough. A class in very many pairs is spread over tasks."""
+    both = pairs.select("a", "b")
+    for end in ("a", "b"):
+        members = sets.withColumnsRenamed({"node": end, "members": f"m{end}"})
+        both = block_join(both, members, [end], SPREAD_ROWS)
     shared = F.size(F.array_intersect("ma", "mb"))
     return both.filter(100 * shared >= similarity * (F.size("ma") + F.size("mb") - shared)).select("a", "b")
 
@@ -212,34 +230,60 @@ def _joined(known: DataFrame | None, edges: DataFrame) -> DataFrame | None:
 
 
 def _open_buckets(buckets: DataFrame, known: DataFrame | None) -> DataFrame:
-    """Rows (`bucket`, `node`, `comp`) of buckets that hold several components."""
+    """Rows (`bucket`, `node`, `n`, `comp`) of buckets that hold several components."""
     if known is None:
-        return buckets.select("bucket", "node", F.col("node").alias("comp"))
-    held = buckets.join(known, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+        return buckets.select("bucket", "node", "n", F.col("node").alias("comp"))
+    held = buckets.join(known, "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"))
     open_ = held.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
     return held.join(open_.select("bucket"), "bucket")
 
 
-def _star_pairs(buckets: DataFrame, round_: int) -> DataFrame:
-    """Each class with the representative it shares most buckets with, if of another component.
+def _star_pairs(buckets: DataFrame, round_: int, similarity: int) -> DataFrame:
+    """Each class with the representative it shares most buckets with, if of another component and of fitting size.
 
     Representatives are those with the smallest hash, which differs by round.
     """
     order = F.xxhash64(F.lit(round_), "node")
-    head = buckets.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "comp")).alias("head"))
-    met = buckets.join(head, "bucket").filter("comp <> head.comp").groupBy("node", F.col("head.node").alias("other")).count()
+    head = buckets.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "comp", "n")).alias("head"))
+    met = buckets.join(head, "bucket").filter((F.col("comp") != F.col("head.comp")) & _fits("n", "head.n", similarity))
+    met = met.groupBy("node", F.col("head.node").alias("other")).count()
     best = met.groupBy("node").agg(F.max(F.struct("count", "other")).alias("best"))
     other = F.col("best.other")
     return best.select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b")).distinct()
 
 
-def _cross_pairs(buckets: DataFrame) -> DataFrame:
-    """All pairs of a bucket whose classes are in different components."""
-    parts = buckets.select("bucket", "comp").distinct()
-    meet = parts.join(parts.withColumnRenamed("comp", "other"), "bucket").filter("comp < other")
-    left = meet.join(buckets, ["bucket", "comp"]).select("bucket", "other", F.col("node").alias("a"))
-    right = buckets.select("bucket", F.col("comp").alias("other"), F.col("node").alias("b"))
-    return left.join(right, ["bucket", "other"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _agreements(a: str, b: str, words: int) -> Column:
+    """Number of values that two sketches have in common, those that fill up the last number included."""
+    differ = F.lit(0)
+    for k in range(words):
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        any_bit = x
+        for bit in range(1, SKETCH_BITS):
+            any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(x, bit))
+        differ = differ + F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+    return 16 * words - differ
+
+
+def least_agreements(values: int, similarity: int) -> int:
+    """Agreements that a pair at the similarity has nearly always, with those that fill up the last number."""
+    chance = 0.5**SKETCH_BITS
+    p = similarity / 100 + (1 - similarity / 100) * chance
+    return math.floor(values * p - SKETCH_MARGIN * math.sqrt(values * p * (1 - p))) + -values % 16
+
+
+def _cross_pairs(buckets: DataFrame, sketches: DataFrame, values: int, similarity: int) -> DataFrame:
+    """Pairs of classes in different components that share a bucket and may be alike enough by size and sketch.
+
+    Both tests are part of the join, so what does not pass is never a row. The rows of a
+    common bucket are cut into parts that meet each other in tasks of their own.
+    """
+    left = buckets.join(sketches, "node")
+    right = left.withColumnsRenamed({"node": "node2", "n": "n2", "comp": "comp2", "sketch": "sketch2"})
+    ours, theirs = in_blocks(left, right, ["bucket"], SPREAD_ROWS)
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("bucket", *PARTS)]
+    alike = _agreements("sketch", "sketch2", -(-values // 16)) >= least_agreements(values, similarity)
+    met = ours.alias("l").join(theirs.alias("r"), [*same, F.col("comp") < F.col("comp2"), _fits("n", "n2", similarity), alike])
+    return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -263,10 +307,12 @@ def near_duplicates(
     signed = store(_signatures(docs, id_col, text_col, words, bands, rows), "signatures")
     signed = signed.withColumn("id", named(id_col).cast("long"))
     useful = signed.filter("id IS NOT NULL AND n_shingles > 0")
-    classes = store(useful.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "classes")
-    rows_ = classes.select("node", F.explode("bands").alias("bucket"))
-    shared = rows_.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    buckets = store(rows_.join(shared, "bucket").select("bucket", "node"), "buckets")
+    one = [F.first(c).alias(c) for c in ("bands", "sketch")]
+    classes = useful.groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").cast("int").alias("n"), *one)
+    classes = store(classes, "classes")
+    rows_ = classes.select("node", "n", F.explode("bands").alias("bucket"))
+    shared = rows_.groupBy("bucket").agg(F.count("*").alias("held")).filter("held > 1").select("bucket")
+    buckets = store(rows_.join(shared, "bucket").select("bucket", "node", "n"), "buckets")
 
     involved = classes.select("node", "id").join(buckets.select("node").distinct(), "node").select("id").distinct()
     texts = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text"))
@@ -275,11 +321,13 @@ def near_duplicates(
     known = None
     for round_ in range(STAR_ROUNDS):
         open_ = store(_open_buckets(buckets, known), "open")
-        merged = _joined(known, _confirmed(_star_pairs(open_, round_), sets, similarity))
+        merged = _joined(known, _confirmed(_star_pairs(open_, round_, similarity), sets, similarity))
         if merged is None:
             break
         known = merged
-    last = _joined(known, _confirmed(_cross_pairs(store(_open_buckets(buckets, known), "open")), sets, similarity))
+    open_ = store(_open_buckets(buckets, known), "open")
+    pairs = store(_cross_pairs(open_, classes.select("node", "sketch"), bands * rows, similarity), "pairs")
+    last = _joined(known, _confirmed(pairs, sets, similarity))
     known = last or known
     of_class = classes.select("node", "id", F.col("node").alias("comp"))
     if known is not None:
