@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
-# Fixed by the query: depth 3, a fifth of the tokens variable, two documents, three tokens.
+# Fixed by the query: depth 3, a fifth of the tokens variable, four templates of a leaf, two documents, three tokens or twenty characters.
 _BLANK = r"[ \t\r\f]+"
+_TRIMMED = "trim(line, ' ' || chr(9) || chr(13) || chr(12))"
+
+
+
+def _rounds(n: int) -> str:
+    """Lines that agree with the most frequent line of their leaf, then with that of the lines left, and so on."""
+    differ = "len([1 for i in range(1, len(l.tokens) + 1) if l.tokens[i] <> m.model[i]])"
+    parts = []
+    for k in range(n):
+        parts.append(f"""model{k} AS (SELECT leaf, tokens AS model FROM left{k}
+            QUALIFY row_number() OVER (PARTITION BY leaf ORDER BY n DESC, tokens) = 1),
+fit{k} AS (SELECT l.leaf, l.tokens, m.model FROM left{k} l JOIN model{k} m ON l.leaf = m.leaf
+           WHERE {differ} <= floor(len(l.tokens) * 0.2 + 1e-9)),
+left{k + 1} AS (SELECT l.* FROM left{k} l ANTI JOIN fit{k} f ON l.leaf = f.leaf AND l.tokens = f.tokens)""")
+    return ",\n".join([*parts, "alike AS (" + " UNION ALL ".join(f"SELECT * FROM fit{k}" for k in range(n)) + ")"])
+
 
 LINE_DEDUP = rf"""
 WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 line AS (SELECT doc_id, UNNEST(lines) AS line, UNNEST(range(len(lines))) AS place FROM docs),
-plain AS (SELECT doc_id, place, string_split_regex(trim(line, ' ' || chr(9) || chr(13) || chr(12)), '{_BLANK}') AS tokens FROM line),
+plain AS (SELECT doc_id, place, length({_TRIMMED}) AS size, string_split_regex({_TRIMMED}, '{_BLANK}') AS tokens FROM line),
 masked AS (SELECT *, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END for x in tokens] AS mask FROM plain),
 key AS (SELECT doc_id, place, CASE WHEN len([x for x in mask if x = '<*>']) * 2 <= len(tokens) THEN mask ELSE tokens END AS tokens
-        FROM masked WHERE len(tokens) >= 3),
+        FROM masked WHERE len(tokens) >= 3 OR size >= 20),
 leafed AS (SELECT *, [CAST(len(tokens) AS VARCHAR)] || tokens[1:3] AS leaf FROM key),
-kind AS (SELECT leaf, tokens, COUNT(DISTINCT doc_id) AS docs FROM leafed GROUP BY ALL),
-mixed AS (SELECT leaf FROM kind GROUP BY leaf HAVING COUNT(*) > 1 AND SUM(docs) >= 2),
-slot AS (SELECT leaf, tokens, docs, UNNEST(tokens) AS token, UNNEST(range(len(tokens))) AS seat FROM kind JOIN mixed USING (leaf)),
-usual AS (SELECT leaf, seat, token FROM slot GROUP BY ALL HAVING SUM(docs) >= 2),
-shaped AS (SELECT s.leaf, s.tokens, SUM(CASE WHEN u.token IS NULL THEN 1 ELSE 0 END) AS variables,
-             list(CASE WHEN u.token IS NULL THEN chr(0) ELSE s.token END ORDER BY s.seat) AS shape
-           FROM slot s LEFT JOIN usual u ON s.leaf = u.leaf AND s.seat = u.seat AND s.token = u.token GROUP BY s.leaf, s.tokens),
-template AS (SELECT l.doc_id, l.place, CASE WHEN s.variables <= floor(len(l.tokens) * 0.2 + 1e-9)
-               THEN ['shape'] || s.shape ELSE ['line'] || l.tokens END AS template
-             FROM leafed l LEFT JOIN shaped s ON l.leaf = s.leaf AND l.tokens = s.tokens),
+kind AS (SELECT leaf, tokens, COUNT(*) AS n FROM leafed GROUP BY ALL),
+mixed AS (SELECT leaf FROM leafed GROUP BY leaf HAVING COUNT(DISTINCT tokens) > 1 AND COUNT(DISTINCT doc_id) > 1),
+left0 AS (SELECT leaf, tokens, n FROM kind JOIN mixed USING (leaf)),
+{_rounds(4)},
+template AS (SELECT l.doc_id, l.place, CASE WHEN a.model IS NULL THEN ['line'] || l.tokens ELSE ['model'] || a.model END AS template
+             FROM leafed l LEFT JOIN alike a ON l.leaf = a.leaf AND l.tokens = a.tokens),
 recurring AS (SELECT template, MIN(doc_id) AS home FROM template GROUP BY template HAVING COUNT(DISTINCT doc_id) >= 2),
 gone AS (SELECT DISTINCT t.doc_id, t.place FROM template t JOIN recurring r ON t.template = r.template WHERE t.doc_id <> r.home),
 kept AS (SELECT l.doc_id, string_agg(CASE WHEN g.place IS NULL THEN l.line END, chr(10) ORDER BY l.place) AS text,

@@ -7,6 +7,8 @@ from compare import connect, differences
 from pyspark.sql import functions as F
 from odd_rows import SF, none, odd, shipped  # noqa: F401
 
+from spanwise.llm import near_dedup
+from spanwise.llm.common import table
 from spanwise.llm.line_dedup import dedup_lines, drop_repeated_lines
 from spanwise.llm.near_dedup import components, drop_near_duplicates, near_duplicates
 from spanwise.llm.queries import ORACLES, QUERIES
@@ -67,6 +69,44 @@ def test_near_duplicates_equal_all_pairs(spark, seed):
     assert got == {i: (n, c, i == c) for i, (n, c) in brute(docs).items()}
 
 
+def test_one_bucket_of_many_groups_that_are_not_alike(spark, monkeypatch):
+    """300 texts share a long passage and meet in its buckets; what is compared in full is near what is linked."""
+    state, passage = random.Random(8), prose(9, 1, 110)[0]
+    own = [prose(100 + i, 1, 70)[0] for i in range(300)]
+    docs = [(i, f"{passage} {text}") for i, text in enumerate(own)]
+    for k in range(40):  # some near copies, too
+        words = docs[k][1].split()
+        words[state.randrange(len(words))] = f"w{k}"
+        docs.append((300 + k, " ".join(words)))
+    seen = []
+    made = near_dedup._cross_pairs
+    monkeypatch.setattr(near_dedup, "_cross_pairs", lambda *a: seen.append((a[0], made(*a))) or seen[-1][1])
+    monkeypatch.setattr(near_dedup, "SPREAD_ROWS", 64)
+    found = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute(docs)
+    buckets, pairs = seen[0]
+    meet = buckets.groupBy("bucket").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0]
+    assert meet > 20_000 and pairs.count() < 100
+
+
+def test_sketches_of_linked_sets_agree(spark):
+    """Agreements grow with the similarity, and pairs at 0.75 pass."""
+    state, sign = random.Random(3), near_dedup.signer()
+    rows = []
+    for share in [75] * 60 + [40] * 60:
+        both = [state.getrandbits(63) for _ in range(share)]
+        rest = [[state.getrandbits(63) for _ in range((100 - share) // 2)] for _ in range(2)]
+        a, b = (sign(near_dedup.np.unique(near_dedup.np.array(both + x, near_dedup.np.uint64)))[1] for x in rest)
+        rows.append((share, a.view("int64").tolist(), b.view("int64").tolist()))
+    values = near_dedup.BANDS * near_dedup.BAND_ROWS
+    df = spark.createDataFrame(rows, "share int, a array<long>, b array<long>")
+    found = df.select("share", near_dedup._agreements("a", "b", len(rows[0][1])).alias("n")).collect()
+    least = near_dedup.least_agreements(values, 75)
+    assert all((r.n >= least) == (r.share == 75) for r in found)
+    equal = spark.createDataFrame([(rows[0][1],)], "a array<long>")
+    assert equal.select(near_dedup._agreements("a", "a", len(rows[0][1]))).first()[0] == values + -values % 16
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     rows = near_duplicates(odd).collect()
     assert len(rows) == odd.count()
@@ -96,6 +136,52 @@ def test_lines_that_vary_in_a_field(spark):
     assert got == {1: (docs[0][1], 0), 2: ("epsilon zeta eta theta", 1), 3: (docs[2][1], 0)}
 
 
+@pytest.mark.parametrize(("values", "each"), [(4, 1), (4, 50), (300, 3)])
+def test_a_field_is_variable_however_often_its_values_recur(spark, values, each):
+    """One template for a field of few or many values, in one document each or in many: all repeats but the first go."""
+    docs = [(i, f"posted in the sports section of the paper by writer{chr(97 + i % values % 26)}{'x' * (i % values // 26)}x today") for i in range(values * each)]
+    docs += [(5000 + i, f"own text of document {prose(i, 1)[0]}") for i in range(9)]
+    got = dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert got.filter("doc_id < 5000").agg(F.sum("n_dropped")).first()[0] == values * each - 1
+    assert got.filter("doc_id >= 5000").agg(F.sum("n_dropped")).first()[0] == 0
+
+
+def test_two_templates_of_one_leaf(spark):
+    """Lines that agree in their first tokens only are told apart, and each kind has its own field."""
+    lines = ["the end of march brings {} storms to the coast again", "the end of term means {} parties for all pupils here"]
+    names = ["heavy", "cold", "many", "loud", "rare"]
+    docs = [(10 * k + i, line.format(name)) for k, line in enumerate(lines) for i, name in enumerate(names)]
+    got = {r.doc_id: r.n_dropped for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i for i, n in got.items() if not n} == {0, 10}
+
+
+def test_short_lines_stay_by_tokens_and_characters(spark):
+    """A paragraph without blanks is a line like any other."""
+    passage = "国境の長いトンネルを抜けると雪国であった夜の底が白くなった"
+    docs = [(i, f"{passage}\nUser: x\n{' ' * 40}\nshort line") for i in range(3)]
+    got = dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r.n_dropped for r in got.collect()) == [0, 1, 1]
+
+
+def test_stage_keeps_clashing_columns(spark):
+    line = "a line of some length that recurs in several documents"
+    docs = spark.createDataFrame([(i, line, 70 + i, i, 5 * i, 9) for i in range(3)] + [(9, None, 1, 2, 3, 4)],
+                                 "doc_id long, text string, n_lines int, n_dropped int, its_row int, bits int")
+    got = drop_repeated_lines(docs)
+    assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect() if r.text) == [(0, line, 70, 0, 0, 9)]
+    assert {tuple(r) for r in got.collect() if not r.text} == {(9, None, 1, 2, 3, 4)}
+
+
+def test_bits_name_every_key(spark, monkeypatch):
+    """With more keys than bits the table names nearly all rows, and the result is the same."""
+    from spanwise.llm import line_dedup
+
+    docs = table(spark, SF, "documents")
+    wide = {r.doc_id: r.text for r in dedup_lines(docs).collect()}
+    monkeypatch.setattr(line_dedup, "BIT_WORDS", 1)
+    assert {r.doc_id: r.text for r in dedup_lines(docs).collect()} == wide
+
+
 def test_long_passage_is_left_once(spark):
     passage, own = prose(5, 1, 55)[0], prose(6, 6, 30)
     docs = spark.createDataFrame([(i, f"{own[i]}\n{passage}") for i in range(6)], "doc_id long, text string")
