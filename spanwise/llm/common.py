@@ -107,6 +107,28 @@ def fold_remainder(id_col: str, mod: int) -> Column:
     return F.crc32(F.coalesce(named(id_col).cast("string"), F.lit("")).cast("binary")) % mod
 
 
+#: Numbers of 64 bits in a table of key bits; more keys than bits only make it name more rows.
+BIT_WORDS = 1 << 18
+
+
+def key_bits(keys: DataFrame, key: str) -> DataFrame:
+    """Table of bits of hashed keys: rows `word` and `bits`, at most `BIT_WORDS` whatever the number of keys."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(key).bitwiseAND(F.lit(63)).cast("int"))
+    return keys.select(_word(F.col(key)).alias("word"), one.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def _word(key: Column) -> Column:
+    return F.shiftrightunsigned(key, 6).bitwiseAND(F.lit(BIT_WORDS - 1))
+
+
+def with_named(df: DataFrame, key: Column, bits: DataFrame, out_col: str) -> DataFrame:
+    """Add whether the table names the row's key: true for each of its keys, and for some others. Null keys are not named."""
+    word, held = fresh(df, "word"), fresh(df, "held")
+    met = df.join(F.broadcast(bits.select(F.col("word").alias(word), F.col("bits").alias(held))), _word(key) == named(word), "left")
+    bit = F.call_function("shiftright", F.coalesce(named(held), F.lit(0).cast("long")), key.bitwiseAND(F.lit(63)).cast("int"))
+    return met.select(*[named(c) for c in df.columns], F.coalesce(bit.bitwiseAND(F.lit(1)) == 1, F.lit(False)).alias(out_col))
+
+
 def bounded_rows(df: DataFrame, most: int, what: str) -> list:
     """Rows of a result whose size has a bound; a result beyond it is refused, never cut."""
     rows = df.limit(most + 1).collect()
