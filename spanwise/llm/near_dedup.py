@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from spanwise.functions.columns import named
 from spanwise.llm.common import fresh, map_texts, store
-from spanwise.operators.skew import PARTS, block_join, in_blocks
+from spanwise.operators.skew import PARTS, hot_keys, in_blocks, salted
 
 #: Words of a shingle and the similarity (in hundredths) from which documents are linked.
 SHINGLE_WORDS = 5
@@ -177,10 +177,11 @@ def _fits(a: str, b: str, similarity: int) -> Column:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Pairs (`a`, `b`) whose full sets are alike enough. A class in very many pairs is spread over tasks."""
-    both = pairs.select("a", "b")
+    both = pairs
     for end in ("a", "b"):
         members = sets.withColumnsRenamed({"node": end, "members": f"m{end}"})
-        both = block_join(both, members, [end], SPREAD_ROWS)
+        left, right, salt = salted(both, members, [end], hot_keys(pairs, [end], SPREAD_ROWS))
+        both = left.join(right, [end, *salt]).drop(*salt)
     shared = F.size(F.array_intersect("ma", "mb"))
     return both.filter(100 * shared >= similarity * (F.size("ma") + F.size("mb") - shared)).select("a", "b")
 
@@ -321,7 +322,8 @@ def near_duplicates(
     known = None
     for round_ in range(STAR_ROUNDS):
         open_ = store(_open_buckets(buckets, known), "open")
-        merged = _joined(known, _confirmed(_star_pairs(open_, round_, similarity), sets, similarity))
+        pairs = store(_star_pairs(open_, round_, similarity), "pairs")
+        merged = _joined(known, _confirmed(pairs, sets, similarity))
         if merged is None:
             break
         known = merged
