@@ -3,27 +3,31 @@
 The model reads characters. Every n-gram of all trusted text is counted, first in
 tasks and then over hash shards; continuation counts, discounts and back-off weights
 are aggregations of that table, which grows with the trusted text and never leaves
-the executors. Texts are stored in slices, packed, and a slice asks for each n-gram it
-holds once. The distinct n-grams asked for meet the counts level by level in joins on the
-n-gram; the probabilities return to the slices, which sum them by document. A
-document is kept when its perplexity is at most a quantile of the trusted documents
+the executors. Texts are stored once, packed in large slices. A slice asks for each
+n-gram it holds once, of all lengths, by 64-bit keys packed by shard; each shard of the
+model meets what is asked of it and answers with what it knows, packed by slice.
+Slices are stored in buckets, so the answers come to them and they stay where they are.
+A document is kept when its perplexity is at most a quantile of the trusted documents
 in its language.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.functions.columns import named
-from spanwise.llm.common import fold_remainder, fresh, store, text_slices
+from spanwise.llm.common import fold_remainder, fresh, key_bits, store, text_slices, with_named
+from spanwise.sources.tables import Steps
 
 #: Characters of an n-gram.
 ORDER = 5
@@ -32,8 +36,14 @@ FOLDS = 3
 #: Quantile of the perplexity of trusted documents that others may reach.
 QUANTILE = 0.98
 #: Bytes of text in a slice; it is worked on in parts of `common.SLICE_BYTES`. Larger slices share more of their n-grams,
-#: smaller ones need less memory for them.
-SLICE_BYTES = 32_000_000
+#: smaller ones need less memory for them. Input in smaller partitions is read so that slices have `LEAST_SLICE`.
+SLICE_BYTES = 64_000_000
+LEAST_SLICE = 16_000_000
+#: Entries of the model in a shard, and slices whose questions meet it at a time.
+SHARD_ENTRIES = 250_000
+SLICES_AT_A_TIME = 64
+#: Distinct n-grams that a counting task holds before it hands them on.
+HELD_GRAMS = 1_000_000
 #: Parts that a language's rows are spread over when they meet its threshold.
 SPREAD = 64
 
@@ -68,10 +78,10 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return points, np.flatnonzero(inside), lengths
 
 
-def keys(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the n-grams that end at `ends`."""
-    key = np.zeros(len(ends), np.uint64)
-    for k in range(ORDER - 1, -1, -1):
+def keys(points: np.ndarray, ends: np.ndarray, size: int = ORDER) -> np.ndarray:
+    """64-bit hashes of the n-grams of a size that end at `ends`."""
+    key = np.full(len(ends), size * 0xD6E8FEB86659FD93 % 2**64, np.uint64)
+    for k in range(size - 1, -1, -1):
         key = (key ^ points[ends - k].astype(np.uint64)) * _MULTIPLIER
         key ^= key >> np.uint64(29)
     return key
@@ -103,25 +113,21 @@ def _texts(part: pa.RecordBatch) -> list[str]:
     return [t or "" for t in part.column(0).to_pylist()]
 
 
-def _sliced(source: DataFrame) -> DataFrame:
-    """Columns `slice`, `data`, stored: the rows of a slice are neighbours in one task, whole texts, packed."""
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`slice`, `data`: the rows of a slice are neighbours in one task, whole texts, packed."""
+    number, held, size = TaskContext.get().partitionId() << 32, [], 0
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+    def full() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([_pack(held)], pa.binary())], names=["slice", "data"])
 
-        def full() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([_pack(held)], pa.binary())], names=["slice", "data"])
-
-        for part in text_slices(batches, 0):
-            if held and size + part.nbytes > SLICE_BYTES:
-                yield full()
-                number, held, size = number + 1, [], 0
-            held.append(part)
-            size += part.nbytes
-        if held:
+    for part in text_slices(batches, 0):
+        if held and size + part.nbytes > SLICE_BYTES:
             yield full()
-
-    return store(source.mapInArrow(cut, "slice long, data binary"), "quality-slices")
+            number, held, size = number + 1, [], 0
+        held.append(part)
+        size += part.nbytes
+    if held:
+        yield full()
 
 
 def _distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -132,39 +138,67 @@ def _distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """`gram`, `n` of each part of the texts."""
-    for part in text_slices(batches, 0):
-        _, n, found = _distinct(_texts(part))
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(n)], names=["gram", "n"])
+    """`gram`, `n`: counts of a task, summed over parts of its texts as far as memory allows."""
+    held: Counter[str] = Counter()
 
+    def summed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["gram", "n"])
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """`slice`, `gram`: the n-grams of each slice, once each."""
-    for batch in batches:
-        for number, data in zip(batch.column(0), batch.column(1), strict=True):
-            seen = np.zeros(0, np.uint64)
-            for part in _parts(data):
-                known, _, found = _distinct(_texts(part))
-                new = np.flatnonzero(~np.isin(known, seen, assume_unique=True))
-                seen = np.union1d(seen, known)
-                values = pa.array(found, pa.string()).take(pa.array(new))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), number.as_py())), values], names=["slice", "gram"])
+    for part in text_slices(batches, 0):
+        _, n, found = _distinct(_texts(part))
+        for gram, times in zip(found, n.tolist(), strict=True):
+            held[gram] += times
+        if len(held) > HELD_GRAMS:
+            yield summed()
+            held.clear()
+    yield summed()
 
 
-@dataclass(frozen=True)
-class Level:
-    """N-grams of one length: `gram`, `own` (discounted share of its context); contexts with `spare`, what was taken off."""
-
-    shares: DataFrame
-    contexts: DataFrame
+def _all_keys(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Keys of the n-grams that end at `ends`, of all shorter ones that end them, and of the contexts of all of these."""
+    found = []
+    for size in range(ORDER, 0, -1):
+        own, first = np.unique(keys(points, ends, size), return_index=True)
+        found.append(own)
+        ends = ends[first]
+        ends = np.concatenate([ends, ends - 1])
+    return np.unique(np.concatenate(found))
+
+
+def _asker(shards: int, groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`shard`, `group`, `slice`, `keys`: what each slice asks of each shard, once each; slices are dealt to groups."""
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, data in zip(batch.column(0), batch.column(1), strict=True):
+                seen = np.zeros(0, np.uint64)
+                for part in _parts(data):
+                    points, ends, _ = symbols(_texts(part))
+                    seen = np.union1d(seen, _all_keys(points, ends))
+                shard = seen.view(np.int64) % shards
+                order = np.argsort(shard, kind="stable")  # keys stay in order within a shard
+                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+                packed = [seen[order[a:b]].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+                slice_ = number.as_py()
+                group = (slice_ + (slice_ >> 32)) % groups
+                columns = [pa.array(np.arange(shards)), *[pa.array(np.full(shards, x)) for x in (group, slice_)], pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "group", "slice", "keys"])
+
+    return asked
 
 
 @dataclass(frozen=True)
 class QualityModel:
-    """Levels from single characters up, and the probability of a character whatever it is."""
+    """What is known of n-grams, and the probability of a character whatever it is and what the empty context spares.
 
-    levels: list[Level]
+    `entries` has rows `key` with `own`, an n-gram's discounted share of its context, or
+    `spare`, what was taken off the n-grams of a context; the other of the two is null. `size` is about their number.
+    """
+
+    entries: DataFrame
     floor: float
+    spare: float
+    size: int
 
 
 def discounts(ones: int, twos: int, threes: int, fours: int) -> list[float]:
@@ -177,74 +211,128 @@ def discounts(ones: int, twos: int, threes: int, fours: int) -> list[float]:
     return [min(max(k - (k + 1) * y * after / now, 0.1 * k), 0.9 * k) if now else 0.5 * k for k, now, after in steps]
 
 
-def _level(counts: DataFrame, size: int) -> Level:
+def _keyed(rows: DataFrame, size: int) -> DataFrame:
+    """`key`, `own`, `spare` of rows (`gram` of `size` characters, `own`, `spare`)."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = np.frombuffer("".join(batch.column(0).to_pylist()).encode("utf-32-le"), np.uint32)
+            found = keys(points, np.arange(size - 1, len(points), size), size).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found), batch.column(1), batch.column(2)], names=["key", "own", "spare"])
+
+    return rows.select("gram", "own", "spare").mapInArrow(keyed, "key long, own double, spare double")
+
+
+def _level(counts: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """N-grams with `own` and contexts with `spare`, as rows `gram`, `own`, `spare`."""
     n = F.col("n")
     found = counts.agg(*[F.count(F.when(n == k, 1)) for k in (1, 2, 3, 4)]).first()
     one, two, more = discounts(*found)
     cut = F.when(n == 1, one).when(n == 2, two).otherwise(more)
     context = F.substring("gram", 1, size - 1)
     contexts = counts.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.sum(cut).alias("cut"))
-    shares = counts.select("gram", context.alias("context"), (n - cut).alias("rest"))
-    shares = shares.join(contexts, "context").select("gram", (F.col("rest") / F.col("total")).alias("own"))
-    return Level(shares, contexts.select("context", (F.col("cut") / F.col("total")).alias("spare")))
+    none = F.lit(None).cast("double")
+    shares = counts.select("gram", context.alias("context"), (n - cut).alias("rest")).join(contexts, "context")
+    shares = shares.select("gram", (F.col("rest") / F.col("total")).alias("own"), none.alias("spare"))
+    return shares, contexts.select(F.col("context").alias("gram"), none.alias("own"), (F.col("cut") / F.col("total")).alias("spare"))
 
 
 def fit_quality(counts: DataFrame) -> QualityModel:
     """Model from `gram` (of `ORDER` characters) and `n`, one row per n-gram. Without any, all characters are alike."""
-    levels, at = [], counts
+    entries, at, spare, held = [], counts, 1.0, 0
     for size in range(ORDER, 0, -1):
-        levels.append(_level(at, size))
+        held += 2 * at.count()
+        shares, contexts = _level(at, size)
+        entries.append(_keyed(shares, size))
         if size > 1:  # lower levels count the distinct characters before
-            at = at.groupBy(F.substring("gram", 2, size - 1).alias("gram")).agg(F.count("*").alias("n"))
-    return QualityModel(levels[::-1], 1.0 / (at.count() + 1))
-
-
-def probabilities(asked: DataFrame, model: QualityModel) -> DataFrame:
-    """`gram` and `p` for distinct n-grams `asked`: own share, and what its context spares times the shorter one's."""
-    wanted = [asked]
-    for size in range(ORDER - 1, 0, -1):
-        wanted.append(wanted[-1].select(F.substring("gram", 2, size).alias("gram")).distinct())
-    lower: DataFrame | None = None
-    for size, level in enumerate(model.levels, 1):
-        rows = wanted[ORDER - size].join(level.shares, "gram", "left")
-        rows = rows.withColumn("context", F.substring("gram", 1, size - 1)).join(level.contexts, "context", "left")
-        shorter: Column = F.lit(model.floor)
-        if lower is not None:
-            rows = rows.withColumn("suffix", F.substring("gram", 2, size - 1))
-            rows = rows.join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("shorter")), "suffix")
-            shorter = F.col("shorter")
-        p = F.coalesce("own", F.lit(0.0)) + F.coalesce("spare", F.lit(1.0)) * shorter
-        lower = rows.select("gram", p.alias("p"))
-    return lower
-
-
-def _scored(slices: pa.Table, answers: pa.Table) -> pa.Table:
-    """Perplexity of each row of one slice from the probabilities of its n-grams."""
-    known = np.frombuffer("".join(answers.column("gram").to_pylist()).encode("utf-32-le"), np.uint32)
-    known_keys = keys(known, np.arange(ORDER - 1, len(known), ORDER))
-    order = np.argsort(known_keys)
-    known_keys, values = known_keys[order], np.log(answers.column("p").to_numpy())[order]
-    done = []
-    for part in _parts(slices.column("data")[0]):
-        points, ends, lengths = symbols(_texts(part))
-        logs = values[np.searchsorted(known_keys, keys(points, ends))] if len(order) else np.zeros(0)
-        at = np.cumsum(lengths)
-        total = np.array([logs[a:b].sum() for a, b in zip(at - lengths, at, strict=True)])
-        value = np.exp(-total / np.maximum(lengths, 1))
-        done.append(pa.table({
-            "id": part.column(1), "lang": part.column(2),
-            "n_chars_scored": pa.array(lengths), "perplexity": pa.array(value, pa.float64(), mask=lengths == 0),
-        }))
-    return pa.concat_tables(done)
-
-
-def perplexities(sliced: DataFrame, model: QualityModel, kinds: dict[str, str]) -> DataFrame:
-    """Columns `id`, `lang`, `n_chars_scored`, `perplexity` per character (null without characters), a row per row sliced."""
-    asked = store(sliced.mapInArrow(_asked, "slice long, gram string"), "quality-asked")
-    distinct = store(asked.select("gram").distinct(), "quality-distinct")
-    answers = asked.join(probabilities(distinct, model), "gram").select("slice", "gram", "p")
+            entries.append(_keyed(contexts, size - 1))
+            at = store(at.groupBy(F.substring("gram", 2, size - 1).alias("gram")).agg(F.count("*").alias("n")), "quality-level")
+        elif (row := contexts.first()) is not None:
+            spare = row.spare
+    return QualityModel(reduce(DataFrame.unionAll, entries), 1.0 / (at.count() + 1), spare, held)
+
+
+def _known(keys_: np.ndarray, column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and values of the rows that have one."""
+    values = column.to_numpy()
+    some = np.flatnonzero(~np.isnan(values))
+    some = some[np.argsort(keys_[some])]
+    return keys_[some], values[some]
+
+
+def _looked_up(asked: np.ndarray, known: np.ndarray, values: np.ndarray, other: float) -> tuple[np.ndarray, np.ndarray]:
+    """Value of each key, `other` where it is not known, and which are known."""
+    if not len(known):
+        return np.full(len(asked), other), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    hit = known[at] == asked
+    return np.where(hit, values[at], other), hit
+
+
+def _answered(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """`slice`, `found`: of the keys that each slice asks a shard for, those it knows, their own shares and what they spare."""
+    entries = model.column("key").to_numpy().view(np.uint64)
+    own, spare = _known(entries, model.column("own")), _known(entries, model.column("spare"))
+    packed = []
+    for data in asked.column("keys"):
+        wanted = np.frombuffer(data.as_buffer(), np.uint64)
+        (share, has), (left, is_context) = _looked_up(wanted, *own, 0.0), _looked_up(wanted, *spare, 1.0)
+        some = has | is_context
+        packed.append(b"".join([wanted[some].tobytes(), share[some].tobytes(), left[some].tobytes()]))
+    return pa.table({"slice": asked.column("slice"), "found": pa.array(packed, pa.binary())})
+
+
+def _scorer(floor: float, empty: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Perplexity of each row of one slice from the answers of all shards."""
+
+    def scored(slices: pa.Table, answers: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x.as_buffer(), np.uint64).reshape(3, -1) for x in answers.column("found")]
+        known, share, left = np.concatenate([np.empty((3, 0), np.uint64), *parts], axis=1)
+        order = np.argsort(known)
+        known, share, left = known[order], share[order].view(np.float64), left[order].view(np.float64)
+        done = []
+        for data in slices.column("data"):
+            for part in _parts(data):
+                points, ends, lengths = symbols(_texts(part))
+                _, first, which = np.unique(keys(points, ends), return_index=True, return_inverse=True)
+                at = ends[first]
+                p = np.full(len(at), floor)
+                for size in range(1, ORDER + 1):
+                    own, _ = _looked_up(keys(points, at, size), known, share, 0.0)
+                    spare = empty if size == 1 else _looked_up(keys(points, at - 1, size - 1), known, left, 1.0)[0]
+                    p = own + spare * p
+                logs, after = np.log(p)[which], np.cumsum(lengths)
+                total = np.array([logs[a:b].sum() for a, b in zip(after - lengths, after, strict=True)])
+                value = np.exp(-total / np.maximum(lengths, 1))
+                done.append(pa.table({
+                    "id": part.column(1), "lang": part.column(2),
+                    "n_chars_scored": pa.array(lengths), "perplexity": pa.array(value, pa.float64(), mask=lengths == 0),
+                }))
+        return pa.concat_tables(done)
+
+    return scored
+
+
+def perplexities(source: DataFrame, model: QualityModel, kept: Steps) -> DataFrame:
+    """Columns `id`, `lang`, `n_chars_scored`, `perplexity` per character (null without characters), a row per row of `source`.
+
+    `source` has `text`, `id`, `lang`. Slices are kept in `kept`, which must not be closed before the result has been stored.
+    """
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = size // LEAST_SLICE + 1
+    name = f"{kept.database}.slices"
+    cut = source.coalesce(parts).mapInArrow(_cut, "slice long, data binary")
+    cut.write.bucketBy(kept.buckets, "slice").saveAsTable(name)
+    slices = source.sparkSession.table(name)
+    shards, groups = model.size // SHARD_ENTRIES + 1, parts // SLICES_AT_A_TIME + 1
+    asked = slices.mapInArrow(_asker(shards, groups), "shard long, group long, slice long, keys binary")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group")
+    entries = model.entries.select("key", "own", "spare", F.pmod("key", F.lit(shards)).alias("shard"), every)
+    both = ["shard", "group"]
+    answers = asked.groupBy(*both).cogroup(entries.groupBy(*both)).applyInArrow(_answered, "slice long, found binary")
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
     schema = f"id {kinds['id']}, lang {kinds['lang']}, n_chars_scored long, perplexity double"
-    return sliced.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_scored, schema)
+    return slices.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_scorer(model.floor, model.spare), schema)
 
 
 def classify_quality(
@@ -263,18 +351,22 @@ def classify_quality(
     one part in 10,000 of the rank). Languages without such documents, and null, use
     that of all languages, and if there are none at all that of the others. Texts without characters have null perplexity and are not
     good. Null ids are never trusted; repeated rows are scored alike. Other columns are
-    not read. Writes texts in slices, counts, n-grams asked for and scores to the
-    shared folder.
+    not read. Writes counts and scores to the shared folder, and texts in slices, which are
+    removed when all are scored.
     """
     name = fresh(docs, "trusted_id")
     ids = trusted_ids.select(named(trusted_ids.columns[0]).alias(name)).dropna().distinct()
     source = docs.select(named(text_col).cast("string").alias("text"), named(id_col).alias("id"), named(lang_col).alias("lang"))
-    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
     is_mark = fold_remainder("id", FOLDS) == 0
-    trusted = source.join(ids.filter(fold_remainder(name, FOLDS) != 0), F.col("id") == F.col(name), "left_semi")
+    learned = ids.filter(fold_remainder(name, FOLDS) != 0)
+    # Texts that cannot be trusted are not moved to find out.
+    bits = key_bits(learned.select(F.xxhash64(named(name).cast("string")).alias("key")), "key")
+    may = with_named(source, F.xxhash64(F.col("id").cast("string")), bits, "may").filter("may")
+    trusted = may.join(learned, F.col("id") == F.col(name), "left_semi")
     found = trusted.select("text").mapInArrow(_counted, "gram string, n long")
     counts = store(found.groupBy("gram").agg(F.sum("n").alias("n")), "quality-counts")
-    scored = store(perplexities(_sliced(source), fit_quality(counts), kinds), "quality-scores")
+    with Steps(docs.sparkSession) as kept:
+        scored = store(perplexities(source, fit_quality(counts), kept), "quality-scores")
     marks = scored.join(ids, F.col("id") == F.col(name), "left_semi").filter("perplexity IS NOT NULL")
     at = F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")
     overall = {r.mark: r.threshold for r in marks.groupBy(is_mark.alias("mark")).agg(at).collect()}
