@@ -4,7 +4,8 @@ The tree is fitted on a bounded sample; every vector is put into its leaf. A que
 takes nodes from a priority queue by distance to their centres and so orders the
 leaves. How many leaves have to be visited is calibrated: for some queries the true
 neighbours are found by comparing with all rows, and visits are widened until the
-wanted share of them lies in the leaves visited.
+wanted share of them lies in the leaves visited. A query whose leaves hold fewer rows
+than it asks for goes on until they hold enough.
 """
 
 from __future__ import annotations
@@ -59,14 +60,16 @@ class Tree:
             todo += [(below[k], rows[nearest == k]) for k in range(len(below)) if (nearest == k).any()]
         return out
 
-    def leaves(self, x: np.ndarray, visits: int) -> list[int]:
-        """The first `visits` leaves in best-bin-first order."""
-        queue, found = [(0.0, 0)], []
-        while queue and len(found) < visits:
+    def leaves(self, x: np.ndarray, visits: int, held: np.ndarray, least: int) -> list[int]:
+        """Leaves in best-bin-first order: `visits` of them, and more until they hold `least` rows (`held[leaf]` each)."""
+        queue, found, rows = [(0.0, 0)], [], 0
+        while queue and (len(found) < visits or rows < least):
             _, node = heapq.heappop(queue)
             below = self.children[node]
             if not len(below):
-                found.append(int(self.leaf_of[node]))
+                leaf = int(self.leaf_of[node])
+                found.append(leaf)
+                rows += held[leaf]
                 continue
             gaps = ((self.centres[below] - x) ** 2).sum(1)
             for gap, child in zip(gaps.tolist(), below.tolist(), strict=True):
@@ -197,17 +200,20 @@ def nearest_neighbours(
     true = true.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).toPandas()  # queries times k + 1
     true = true[true["vec"].to_numpy() != trial["q"].to_numpy()[true["q"].to_numpy(int)]]
     n_leaves = int(tree.value.leaf_of.max()) + 1
-    turn = {q: {leaf: i for i, leaf in enumerate(tree.value.leaves(trial_v.value[q], n_leaves))} for q in set(true["q"])}
+    per_leaf = index.groupBy("leaf").agg(F.count("*").alias("rows"))
+    held = np.zeros(n_leaves, np.int64)
+    for leaf, n in index.groupBy("leaf").agg(F.sum(F.size("ids"))).collect():  # one row per leaf of the bounded tree
+        held[leaf] = n
+    turn = {q: {leaf: i for i, leaf in enumerate(tree.value.leaves(trial_v.value[q], n_leaves, held, 0))} for q in set(true["q"])}
     needed = np.sort([turn[q][leaf] + 1 for q, leaf in zip(true["q"], true["leaf"], strict=True)])
     visits = int(needed[max(0, int(np.ceil(recall * len(needed))) - 1)]) if len(needed) else n_leaves
 
     def ordered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             if len(part):
-                yield part.assign(leaf=[tree.value.leaves(x, visits) for x in _stacked(part["v"])])
+                yield part.assign(leaf=[tree.value.leaves(x, visits, held, k + 1) for x in _stacked(part["v"])])
 
     plan = distinct.mapInPandas(ordered, "v array<double>, q long, leaf array<long>").withColumn("leaf", F.explode("leaf"))
-    per_leaf = index.groupBy("leaf").agg(F.count("*").alias("rows"))
     asked_leaf = store(plan, "visits")
     blocks = per_leaf.join(asked_leaf.groupBy("leaf").agg(F.count("*").alias("asks")), "leaf", "left").select(
         "leaf",

@@ -23,6 +23,7 @@ from spanwise.llm.quality import classify_quality
 from spanwise.llm.sentence_pieces import decode as decode_pieces
 from spanwise.llm.sentence_pieces import encode as encode_pieces
 from spanwise.llm.token_counts import count_tokens
+from spanwise.llm.topics import fit_topics, topic
 from spanwise.llm.topk_search import search
 from spanwise.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -55,19 +56,15 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def topic() -> Column:
-    """Documents name no topic; the first word of at least six letters, in one of eight classes, stands in for it."""
-    word = F.lower(F.regexp_extract("text", r"\p{L}{6,}", 0))
-    return F.when(word != "", F.pmod(F.xxhash64(word), F.lit(8)))
-
-
-def margins() -> dict[str, Column]:
-    return {"source": F.col("source"), "lang": F.col("lang"), "topic": topic()}
+def margins(docs: DataFrame) -> dict[str, Column]:
+    """Source, language and topic; topics are clusters of the words of a bounded sample of the documents."""
+    return {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(fit_topics(docs))}
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return sample_mix(docs, margins(), fit_mix(docs, margins())).select("doc_id", "source", "lang", "rate")
+    found = margins(docs)
+    return sample_mix(docs, found, fit_mix(docs, found)).select("doc_id", "source", "lang", "rate")
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,11 +174,11 @@ def test_stage_keeps_clashing_columns(spark):
 
 def test_bits_name_every_key(spark, monkeypatch):
     """With more keys than bits the table names nearly all rows, and the result is the same."""
-    from spanwise.llm import line_dedup
+    from spanwise.llm import common
 
     docs = table(spark, SF, "documents")
     wide = {r.doc_id: r.text for r in dedup_lines(docs).collect()}
-    monkeypatch.setattr(line_dedup, "BIT_WORDS", 1)
+    monkeypatch.setattr(common, "BIT_WORDS", 1)
     assert {r.doc_id: r.text for r in dedup_lines(docs).collect()} == wide
 
 

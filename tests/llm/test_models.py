@@ -8,10 +8,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 from odd_rows import SF, none, odd, shipped  # noqa: F401
 
-from spanwise.llm import quality, topk_search
+from spanwise.llm import language_id, neighbours, quality, topics, topk_search
 from spanwise.llm.common import fold_remainder, table
 from spanwise.llm.language_id import fit_languages, predict_language
 from spanwise.llm.mixing import fit_mix, rake, sample_mix
@@ -33,6 +34,83 @@ def test_language_on_held_out_rows(spark, odd, none):
     assert fit_languages(none) is None and predict_language(odd, None).filter("lang_pred <> 'und'").count() == 0
 
 
+LETTERS = regex.compile(r"[\p{L}\p{M}]*\p{L}[\p{L}\p{M}]*")
+
+
+def language_by_hand(training, text, share):
+    """Language and score straight from the definition, on words and n-grams as they are."""
+    def grams(word, n):
+        marked = word if n == 1 else f"^{word}$"
+        return [marked[i : i + n] for i in range(len(marked) - n + 1)]
+
+    counts = {}
+    for language, t in training:
+        for word in LETTERS.findall(t.lower()):
+            for kind in range(5):
+                counts.setdefault((language, kind), Counter()).update(grams(word, kind) if kind else [word])
+    languages = sorted({language for language, _ in counts})
+    totals = {k: sum(c.values()) for k, c in counts.items()}
+    kept = [{e for x in languages for e, n in counts[x, kind].items() if n >= share * totals[x, kind]} for kind in range(5)]
+
+    def score(language, word):
+        def value(kind, entry):
+            return math.log((counts[language, kind][entry] + 0.5) / totals[language, kind])
+
+        if word in kept[0]:
+            return value(0, word)
+        for n in (4, 3, 2, 1):
+            found = [value(n, g) for g in grams(word, n) if g in kept[n]]
+            if found:
+                return sum(found) / len(found) - 0.4 * (5 - n)
+        return 0.0
+
+    words = LETTERS.findall(text.lower())
+    if not words:
+        return "und", 0.0
+    sums = [sum(score(x, w) for w in words) for x in languages]
+    best = max(range(len(sums)), key=lambda i: sums[i])
+    return languages[best], 1 / sum(math.exp(max(s - sums[best], -700)) for s in sums)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.004])
+def test_language_scores_equal_the_definition(spark, share, monkeypatch):
+    monkeypatch.setattr(language_id, "PIECE", 60)  # texts are cut in pieces
+    docs = [(r.lang, r.text) for r in table(spark, SF, "documents").filter("lang IS NOT NULL AND length(text) < 900").limit(60).collect()]
+    docs += [("hi", "हिन्दी में लिखा हुआ पाठ है"), ("xx", "naïve Été straße ǅ ﬁ İstanbul don't x1y2")]
+    model = fit_languages(spark.createDataFrame(docs, "lang string, text string"), word_share=share, gram_share=share)
+    texts = [t for _, t in docs[:40]] + ["हिन्दी", "unknownword zzqj", "É", "a1b", "été हुआ, der und the", "́ a", "x" * 300, " "]
+    got = predict_language(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model)
+    for r in got.collect():
+        language, score = language_by_hand(docs, texts[r.doc_id], share)
+        assert (r.lang_pred, r.score) == (language, pytest.approx(score, rel=1e-9))
+
+
+def test_only_letters_make_a_language(spark):
+    model = fit_languages(spark.createDataFrame([("en", "some words here"), ("de", "einige Worte hier")], "lang string, text string"))
+    texts = ["½ ²", "Ⅷ", "12 ① ٣", "́ ̈", "_ -", None, "", "词"]
+    got = predict_language(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert {r.doc_id for r in got if r.lang_pred == "und" and r.score == 0.0} == set(range(7))
+
+
+def test_a_model_fits_its_bound(spark, monkeypatch):
+    docs = table(spark, SF, "documents")
+    whole = fit_languages(docs)
+    monkeypatch.setattr(language_id, "MODEL_ROWS", 3000)
+    monkeypatch.setattr(language_id, "HELD_COUNTS", 5000)  # counts are handed on in parts
+    small = fit_languages(docs)
+    rows = [sum(len(keys) for keys, _ in m.tables.values()) for m in (small, whole)]
+    assert rows[0] <= 3000 < rows[1]
+    same = predict_language(docs, small).withColumnRenamed("lang_pred", "x").join(predict_language(docs, whole), "doc_id")
+    assert same.filter("x = lang_pred").count() > 0.95 * docs.count()
+
+
+def test_texts_longer_than_a_slice_have_a_language(spark):
+    model = fit_languages(spark.createDataFrame([("en", "some words here"), ("de", "einige Worte hier")], "lang string, text string"))
+    docs = [(1, "some words here " * 150_000), (2, "wort" * 600_000), (3, "einige worte")]
+    got = predict_language(spark.createDataFrame(docs, "doc_id long, text string"), model)
+    assert [r.lang_pred for r in got.orderBy("doc_id").collect()] == ["en", "de", "de"]
+
+
 def kneser_ney_by_hand(texts):
     """Probability of an n-gram under the model of `texts`, straight from the definition."""
     order, pad = quality.ORDER, chr(2) * (quality.ORDER - 1)
@@ -85,6 +163,47 @@ def test_perplexity_by_hand(spark, shipped):
         assert math.isclose(total, 1, rel_tol=1e-9)
 
 
+def test_thresholds_are_quantiles_of_the_language(spark, shipped):
+    """A language's threshold is a quantile of its trusted documents that the model has not seen; others use that of all."""
+    state = random.Random(7)
+    rows = [(i, "".join(state.choices("abcde ", k=40)), "xx" if i % 2 else "yy") for i in range(120)]
+    rows += [(500, "abc de", None), (501, "abc de", "zz"), (502, None, "xx"), (503, "", "yy"), rows[4], rows[4]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = quality.classify_quality(docs, docs.filter("doc_id < 90").select("doc_id"), quantile=0.5).collect()
+    marks = [r for r in found if r.doc_id < 90 and zlib.crc32(str(r.doc_id).encode()) % quality.FOLDS == 0]
+
+    def middle(values):
+        return sorted(values)[math.ceil(len(values) * 0.5) - 1]
+
+    of_all = middle([r.perplexity for r in marks])
+    of = {x: middle([r.perplexity for r in marks if r.lang == x]) for x in ("xx", "yy")}
+    assert len(found) == len(rows) and all(r.threshold == of.get(r.lang, of_all) for r in found)
+    assert all(r.good == (r.perplexity is not None and r.perplexity <= r.threshold) for r in found)
+    assert len({r.perplexity for r in found if r.doc_id == 4}) == 1
+
+
+def test_quality_in_small_slices_shards_and_parts(spark, shipped, monkeypatch):
+    """Whatever the sizes of slices, shards and groups, and for a text longer than a part, the results are the same."""
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang").unionAll(
+        spark.createDataFrame([(9_000_001, "a long text, " * 200_000, "en")], "doc_id long, text string, lang string"))
+    ids = table(spark, SF, "labels").filter("quality = 1").select("doc_id")
+    whole = {r.doc_id: (r.perplexity, r.good) for r in quality.classify_quality(docs, ids).collect()}
+    for name, value in (("SLICE_BYTES", 50_000), ("LEAST_SLICE", 30_000), ("SHARD_ENTRIES", 3_000), ("SLICES_AT_A_TIME", 5), ("HELD_GRAMS", 2_000)):
+        monkeypatch.setattr(quality, name, value)
+    cut = {r.doc_id: (r.perplexity, r.good) for r in quality.classify_quality(docs.repartition(7), ids).collect()}
+    assert cut.keys() == whole.keys()
+    for i, (perplexity, good) in whole.items():
+        assert cut[i][1] == good and (perplexity is None or math.isclose(cut[i][0], perplexity, rel_tol=1e-9))
+
+
+def test_query_rows_of_one_id_are_one_query(spark):
+    docs = spark.createDataFrame([(1, "aa bb"), (2, "cc dd"), (3, "aa cc"), (4, "ee")], "doc_id long, text string")
+    asked = spark.createDataFrame([(100, "aa"), (100, "cc"), (100, "cc"), (200, "aa cc")], "doc_id long, text string")
+    got = search(docs, asked).collect()
+    of = [{(r.rank, r.doc_id, r.score) for r in got if r.query_id == q} for q in (100, 200)]
+    assert of[0] == of[1] and [d for _, d, _ in sorted(of[0])][0] == 3 and len(of[0]) == 3
+
+
 def all_segments(scores):
     """Maximal scoring segments by their definition: best run, then the same left and right of it."""
     if not scores:
@@ -150,6 +269,23 @@ def test_toxicity_counts_near_copies_once(spark):
     assert "vilest" in model.weights and not set(own) & set(model.weights)
 
 
+def test_topics_are_clusters_of_words(spark):
+    """Texts about the same things get the same topic, whatever their length; texts without words get none."""
+    subjects = ["sea ship sail harbour wave tide anchor", "bread oven flour yeast dough salt crust", "goal match team score league player pitch"]
+    state = random.Random(6)
+    docs = [(i, " ".join(state.choices(subjects[i % 3].split(), k=20 + 40 * (i % 4)))) for i in range(120)]
+    docs += [(200, None), (201, " 12 "), (202, " ".join(state.choices(subjects[0].split(), k=400_000)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    fitted = topics.fit_topics(df, topics=3)
+    got = {r.doc_id: r.t for r in df.select("doc_id", topics.topic(fitted).alias("t")).collect()}
+    of = [{got[i] for i in range(k, 120, 3)} for k in range(3)]
+    assert all(len(x) == 1 for x in of) and len(set.union(*of)) == 3
+    assert got[200] is None and got[201] is None and {got[202]} == of[0]
+    again = topics.fit_topics(df.repartition(5).unionAll(df), topics=3)
+    assert np.array_equal(again.centres, fitted.centres)
+    assert topics.fit_topics(df.limit(0)) is None and df.select(topics.topic(None).alias("t")).filter("t IS NOT NULL").isEmpty()
+
+
 def test_raking_meets_margins():
     state = np.random.default_rng(3)
     present = state.random(24)
@@ -231,6 +367,23 @@ def test_neighbours(spark):
     assert nearest_neighbours(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_every_query_gets_k_neighbours(spark, monkeypatch):
+    """Outliers in leaves of their own: visits go on until the leaves hold enough rows; extra columns are not read."""
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", 3)
+    monkeypatch.setattr(neighbours, "RECALL", 0.0)
+    state = np.random.default_rng(2)
+    vectors = np.concatenate([state.normal(size=(150, 4)), 1000 * state.normal(size=(50, 4))])
+    rows = [(i, v.tolist(), 1, "x", 0.5, 2) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows + rows[:5], "vec_id long, embedding array<double>, leaf int, ids string, gap double, n int")
+    got = nearest_neighbours(df, df.filter("vec_id % 10 = 0"), recall=0.0)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    assert {(r.query_id, r["count"]) for r in got.groupBy("query_id").count().collect()} == {(q, 10) for q in range(0, 200, 10)}
+    # Ties go to the smaller id, wherever the rows lie; a repeated row is one candidate.
+    tied = [(i, [float(i % 2), 1.0], 1, "x", 0.5, 2) for i in range(60)]
+    even = nearest_neighbours(spark.createDataFrame(tied + tied[:9], df.schema), spark.createDataFrame(tied[:1], df.schema))
+    assert [r.vec_id for r in even.orderBy("rank").collect()] == list(range(2, 22, 2))
+
+
 @pytest.mark.parametrize("segment", [topk_search.SEGMENT_BYTES, 4000])
 def test_search_equals_brute_force(spark, monkeypatch, segment, odd, none):
     monkeypatch.setattr(topk_search, "SEGMENT_BYTES", segment)

@@ -60,6 +60,55 @@ def test_passage_stays_once(spark, planted):
     assert all(r.text == texts[r.doc_id] for r in got if r.doc_id not in (10, 20, 30))
 
 
+EXTRA = {"rate": "double", "n_lines": "int", "n_dropped": "int", "kept": "string", "bits": "int", "topic": "string", "its_row": "long", "gone": "int"}
+
+
+@pytest.fixture(scope="module")
+def odd_folder(spark, tmp_path_factory):
+    """Nulls in every column, empty and repeated rows, ids that occur twice, a long text, extra columns with clashing names."""
+    state = random.Random(4)
+    words = ["".join(state.choices("abcdeghilmnorstu", k=5)) for _ in range(300)]
+    texts = [" ".join(state.choices(words, k=60)) for _ in range(30)]
+    rows = [(i, t, "en" if i % 2 else None, f"s{i % 3}" if i % 4 else None, len(t)) for i, t in enumerate(texts)]
+    rows += [(None, "a text without an id but with several words in it", None, None, None), (100, None, "de", "s0", None), (101, "", "de", "s0", 0),
+             (102, " \n\t", None, "s1", 3), rows[3], rows[3], (4, "another text of the same id with words of its own", "en", "s1", 49),
+             (103, "long " + " ".join(f"w{i % 977}" for i in range(150_000)), "en", "s2", 1)]
+    folder = str(tmp_path_factory.mktemp("odd"))
+    kinds = ", ".join(f"{c} {k}" for c, k in EXTRA.items())
+    own = (10.0, 77, 78, "mine", 5, "own", 6, 7)
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {kinds}"
+    spark.createDataFrame([(*r, *own) for r in rows], schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i < 5)) for i in range(25)] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder, own
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_stage_on_odd_rows(spark, odd_folder, name):
+    """Rows that stay keep the values of every column, and an empty table gives an empty one."""
+    folder, own = odd_folder
+    docs, stage = spark.read.parquet(f"{folder}/documents.parquet"), dict(corpus_pipeline.STAGES)[name]
+    given = {(r.doc_id, r.text): tuple(r) for r in docs.collect()}
+    got = stage(spark, docs, folder)
+    assert got.columns == docs.columns and got.dtypes == docs.dtypes
+    rows = got.collect()
+    assert rows and all(tuple(r)[5:] == own for r in rows)
+    if name != "line dedup":  # which changes texts and their lengths
+        assert all(tuple(r) == given[r.doc_id, r.text] for r in rows)
+    if name in ("toxicity", "line dedup", "near dedup"):
+        kept = {(r.doc_id, r.text) for r in rows}
+        assert {(100, None), (101, ""), (102, " \n\t"), (None, "a text without an id but with several words in it")} <= kept
+    empty = stage(spark, docs.limit(0), folder)
+    assert empty.columns == docs.columns and empty.isEmpty()
+
+
+def test_encoding_and_run_on_odd_rows(spark, odd_folder):
+    folder, _ = odd_folder
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)["encoding"]
+    assert stage(spark, docs, folder).count() == docs.count() and stage(spark, docs.limit(0), folder).isEmpty()
+    assert corpus_pipeline.run(spark, folder).filter("doc_id IN (5, 103)").count() >= 1
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and out.count() > 50
