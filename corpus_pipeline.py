@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanwise.functions.columns import named
 from spanwise.llm.byte_bpe import decode, encode
-from spanwise.llm.common import ship, store, table
+from spanwise.llm.common import fresh, ship, store, table
 from spanwise.llm.line_dedup import drop_repeated_lines
 from spanwise.llm.mixing import fit_mix, sample_mix
 from spanwise.llm.near_dedup import drop_near_duplicates
@@ -37,9 +38,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample in which sources, languages and topics are nearer to equal shares."""
-    mix = fit_mix(docs, margins(), temper=MIX_TEMPER)
-    return sample_mix(docs, margins(), mix, keep=MIX_KEEP).select(*docs.columns)
+    """A sample in which sources, languages and topics are nearer to equal shares; all columns keep their values."""
+    ship(spark)
+    found = margins(docs)
+    mix = fit_mix(docs, found, temper=MIX_TEMPER)
+    return sample_mix(docs, found, mix, keep=MIX_KEEP, rate_col=fresh(docs, "rate")).select(*[named(c) for c in docs.columns])
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
