@@ -6,7 +6,7 @@ from importlib import import_module
 
 from registry.build import ORACLES, QUERIES
 
-for _module in ("basics", "spells", "ledgers", "assembly", "measures", "tables"):
+for _module in ("basics", "spells", "ledgers", "assembly", "measures", "tables", "study"):
     import_module(f"registry.{_module}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -13,6 +13,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from registry.names import Names
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -156,6 +158,8 @@ INPUTS: dict[str, str] = {
                CASE WHEN id % 2 = 0 THEN 'D' ELSE 'M' END AS snz_deceased_date_source_code,
                parent1 AS snz_parent1_uid, parent2 AS snz_parent2_uid
         FROM [person]""",
+    "study_people": """
+        SELECT c_custkey AS snz_uid FROM {customer}""",
     "marriages": """
         SELECT partner1 AS partnr1_snz_uid, partner2 AS partnr2_snz_uid,
                CASE WHEN union_no % 47 = 0 THEN NULL ELSE since END AS dia_mar_marriage_date, dissolved AS dia_mar_disolv_order_date
@@ -362,9 +366,7 @@ def frame(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def _person_wide() -> str:
     """Wide person table with the columns the tidy step reads, some values missing, zero or out of range."""
-    from spanwise.plans.tidy import TidyNames
-
-    n = TidyNames()
+    n = Names()
     columns = {
         "snz_uid": "c_custkey",
         "label_summary_period": "'2018'",

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from registry.build import i8, query, r2
 from registry.inputs import frame
+from registry.names import Names
 from spanwise.functions import recode as V
 from spanwise.plans import reports as P
 from spanwise.plans import tabulate as G
-from spanwise.plans.tidy import TidyNames, tidy_wide_table
+from spanwise.plans.tidy import tidy_wide_table
 
 # ---- recodes ------------------------------------------------------------------------
 
@@ -131,7 +132,7 @@ _recode(
 
 # ---- the whole tidy step ------------------------------------------------------------
 
-_N = TidyNames()
+_N = Names()
 
 
 def _tidy_sql() -> tuple[str, list[str]]:

@@ -22,7 +22,7 @@ from spanwise.functions.dates import as_date, days_inclusive, literal_day
 from spanwise.operators.overlap import overlaps
 from spanwise.operators.reshape import pivot_long
 from spanwise.operators.skew import block_join
-from spanwise.sources.tables import append_table, never_missing, read_table, write_table
+from spanwise.sources.tables import append_table, create_table, never_missing, read_table, write_table
 
 
 @dataclass(frozen=True)
@@ -379,8 +379,10 @@ def run_assembly(
     if checks_only:
         return None
     long = never_missing(assemble(populations, measures, tables, spark, development), _REQUIRED)
-    if overwrite or not _exists(spark, output):
+    if overwrite:
         return write_table(long, output, overwrite)
+    if not _exists(spark, output):
+        return create_table(long, output)
     require_same_schema(read_table(spark, output), long, output)
     return append_table(long, output, RESULT_COLUMNS)
 

@@ -39,6 +39,11 @@ def write_table(df: DataFrame, name: str, overwrite: bool = False) -> DataFrame:
     return _write(df, name, "overwrite" if overwrite else "errorifexists")
 
 
+def create_table(df: DataFrame, name: str) -> DataFrame:
+    """Store under a name that holds no table yet; the empty folder that a failed write leaves is no obstacle."""
+    return _write(df, name, "append")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """New location under the folder the session names for shared intermediate data.
 
