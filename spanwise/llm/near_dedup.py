@@ -9,6 +9,7 @@ Copies are folded first: texts with equal sets are one class. Within a bucket no
 pairs are formed at first. Every class is compared with one representative of the
 bucket it shares most bands with; what is confirmed joins a component, and further
 rounds name other representatives for buckets that still hold several components.
+Every other round names those that meet most others, the originals of many copies.
 Once a round joins nothing more, classes of different components that share a bucket
 are compared: by size and by a short sketch of the whole signature within the join,
 so that a pair leaves it only if the signatures agree about as often as those of
@@ -242,10 +243,17 @@ def _open_buckets(buckets: DataFrame, known: DataFrame | None) -> DataFrame:
 def _star_pairs(buckets: DataFrame, round_: int, similarity: int) -> DataFrame:
     """Each class with the representative it shares most buckets with, if of another component and of fitting size.
 
-    Representatives are those with the smallest hash, which differs by round.
+    In every other round they are the classes that meet most others in all their buckets: the text that
+    many copies were made from is closer to each of them than they are to each other. In
+    the rounds between, and among equals, the smallest hash decides, which differs by round.
     """
     order = F.xxhash64(F.lit(round_), "node")
-    head = buckets.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "comp", "n")).alias("head"))
+    ranked = buckets.withColumn("reach", F.lit(0).cast("long"))
+    if round_ % 2 == 0:
+        size = buckets.groupBy("bucket").agg(F.count("*").alias("size"))
+        reach = buckets.join(size, "bucket").groupBy("node").agg(F.sum("size").alias("reach"))
+        ranked = buckets.join(reach, "node")
+    head = ranked.groupBy("bucket").agg(F.min(F.struct((-F.col("reach")).alias("r"), order.alias("o"), "node", "comp", "n")).alias("head"))
     met = buckets.join(head, "bucket").filter((F.col("comp") != F.col("head.comp")) & _fits("n", "head.n", similarity))
     met = met.groupBy("node", F.col("head.node").alias("other")).count()
     best = met.groupBy("node").agg(F.max(F.struct("count", "other")).alias("best"))

@@ -89,6 +89,25 @@ def test_one_bucket_of_many_groups_that_are_not_alike(spark, monkeypatch):
     assert meet > 20_000 and pairs.count() < 100
 
 
+def test_copies_of_one_original_are_joined_through_it(spark, monkeypatch):
+    """Copies that are alike to their original only: few pairs are left for the last round."""
+    state, base = random.Random(12), prose(3, 1, 240)[0].split()
+    docs = [(0, " ".join(base))]
+    for k in range(1, 121):
+        words = list(base)
+        for place in state.sample(range(0, 240, 6), 6):  # about 0.77 with the original, 0.6 with each other
+            words[place] = f"w{k}x{place}"
+        docs.append((k, " ".join(words)))
+    state.shuffle(docs)
+    seen = []
+    made = near_dedup._cross_pairs
+    monkeypatch.setattr(near_dedup, "_cross_pairs", lambda *a: seen.append(made(*a)) or seen[-1])
+    found = near_duplicates(spark.createDataFrame([(10 + i, t) for i, t in docs], "doc_id long, text string"))
+    expected = brute([(10 + i, t) for i, t in docs])
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == expected
+    assert {c for _, c in expected.values()} == {10} and seen[0].count() < 120
+
+
 def test_sketches_of_linked_sets_agree(spark):
     """Agreements grow with the similarity, and pairs at 0.75 pass."""
     state, sign = random.Random(3), near_dedup.signer()
