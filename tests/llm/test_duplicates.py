@@ -9,7 +9,7 @@ from odd_rows import SF, none, odd, shipped  # noqa: F401
 
 from spanwise.llm import near_dedup
 from spanwise.llm.common import table
-from spanwise.llm.line_dedup import dedup_lines, drop_repeated_lines
+from spanwise.llm.line_dedup import _templates, dedup_lines, drop_repeated_lines
 from spanwise.llm.near_dedup import components, drop_near_duplicates, near_duplicates
 from spanwise.llm.queries import ORACLES, QUERIES
 
@@ -174,6 +174,38 @@ def test_two_templates_of_one_leaf(spark):
     assert {i for i, n in got.items() if not n} == {0, 10}
 
 
+def test_many_templates_of_one_leaf(spark):
+    """A leaf has as many templates as its lines need, and each kind of line loses its repeats."""
+    names = ["heavy", "cold", "many", "loud", "rare"]
+    words = ["apple", "brick", "cloud", "drum", "eagle", "flute", "grape"]
+    docs = [(10 * k + i, f"the end of {word} {word} {word} {word} {name} {word}") for k, word in enumerate(words) for i, name in enumerate(names)]
+    got = {r.doc_id: r.n_dropped for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i for i, n in got.items() if not n} == {10 * k for k in range(len(words))}
+
+
+@pytest.mark.parametrize("size", [6, 10, 16, 31])
+def test_templates_equal_those_found_one_after_another(spark, size):
+    state = random.Random(size)
+    bases = [[state.choice("abcd") for _ in range(size)] for _ in range(8)]
+    lines = {}
+    for _ in range(200):
+        line = list(state.choice(bases))
+        for _ in range(state.randrange(size // 5 + 3)):
+            line[state.randrange(size)] = state.choice("abc")
+        lines["x", "y", "z", *line[3:]] = state.randrange(1, 4)
+    left, wanted = sorted(lines, key=lambda t: (-lines[t], t)), {}
+    while left:
+        agree = {t for t in left if sum(a != b for a, b in zip(t, left[0])) <= size // 5}
+        wanted.update(dict.fromkeys(agree, left[0]))
+        left = [t for t in left if t not in agree]
+    rows = spark.createDataFrame([(list(t), n) for t, n in lines.items()], "tokens array<string>, n long")
+    rows = rows.withColumn("line_key", F.xxhash64("tokens")).withColumn("leaf", F.lit(7).cast("long"))
+    found = rows.join(_templates(rows, 3, 0.2), "line_key", "left").select("tokens", F.coalesce("template", "line_key").alias("template"))
+    got = {tuple(r.tokens): r.template for r in found.collect()}
+    assert len(set(wanted.values())) > 4 and len(set(got.values())) == len(set(wanted.values()))
+    assert all(got[t] == got[model] for t, model in wanted.items())
+
+
 def test_short_lines_stay_by_tokens_and_characters(spark):
     """A paragraph without blanks is a line like any other."""
     passage = "国境の長いトンネルを抜けると雪国であった夜の底が白くなった"
