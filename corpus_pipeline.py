@@ -13,6 +13,7 @@ from spanwise.llm.line_dedup import drop_repeated_lines
 from spanwise.llm.mixing import fit_mix, sample_mix
 from spanwise.llm.near_dedup import drop_near_duplicates
 from spanwise.llm.queries import RANK_FILE, margins
+from spanwise.llm.topics import with_profiles
 from spanwise.llm.toxicity import drop_toxic, fit_toxicity
 
 #: Share of the token weight that the mix keeps, and how far it moves towards equal shares (0: equal, 1: as they are).
@@ -40,9 +41,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample in which sources, languages and topics are nearer to equal shares; all columns keep their values."""
     ship(spark)
-    found = margins(docs)
-    mix = fit_mix(docs, found, temper=MIX_TEMPER)
-    return sample_mix(docs, found, mix, keep=MIX_KEEP, rate_col=fresh(docs, "rate")).select(*[named(c) for c in docs.columns])
+    counts = fresh(docs, "profile")
+    profiled = with_profiles(docs, "text", counts)
+    found = margins(profiled, counts)
+    mix = fit_mix(profiled, found, temper=MIX_TEMPER)
+    return sample_mix(profiled, found, mix, keep=MIX_KEEP, rate_col=fresh(profiled, "rate")).select(*[named(c) for c in docs.columns])
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

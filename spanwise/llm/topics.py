@@ -1,8 +1,9 @@
 """Topics of documents, for operator 6: clusters of word profiles.
 
 A profile counts the hashed words of a whole text. Clusters are fitted by spherical
-k-means on a bounded sample of distinct texts; every document then gets the topic
-whose centre its profile is nearest to.
+k-means on all distinct texts: tasks sum the profiles next to each centre, and only the
+centres and these sums reach the driver. Every document then gets the topic whose centre
+its profile is nearest to.
 """
 
 from __future__ import annotations
@@ -11,19 +12,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.functions.columns import named
+from spanwise.llm.common import store
 from spanwise.llm.language_id import PIECE, pieces, words_of
 
-#: Distinct texts that topics are fitted on: those with the smallest hashes.
-SAMPLE_ROWS = 4_000
 #: Hashed words that a profile tells apart, and topics.
 BUCKETS = 1_024
 TOPICS = 12
 ROUNDS = 25
+#: Parts of one in which components of profiles are summed: whole numbers add up to the same in any order.
+PARTS_OF_ONE = 2**30
 
 
 @dataclass(frozen=True)
@@ -33,15 +35,18 @@ class Topics:
     worth: np.ndarray
     centres: np.ndarray
 
-    def of_texts(self, texts: list[str | None]) -> list[str | None]:
-        """Topic of each text; none for texts without words."""
-        text, bucket, n = counted(texts)
+    def of_profiles(self, rows: int, text: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> list[str | None]:
+        """Topic of each of `rows` texts, given as `counted` does; none for texts without words."""
         value = np.log1p(n) * self.worth[bucket]
-        scores = np.stack([np.bincount(text, value * centre[bucket], len(texts)) for centre in self.centres], 1)
-        some = np.bincount(text, minlength=len(texts)) > 0
+        scores = _scores(rows, text, bucket, value, self.centres)
+        some = np.bincount(text, minlength=rows) > 0
         return [f"topic {k}" if any_ else None for k, any_ in zip(scores.argmax(1).tolist(), some.tolist(), strict=True)]
 
 
+def _scores(rows: int, text: np.ndarray, bucket: np.ndarray, value: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.stack([np.bincount(text, value * centre[bucket], rows) for centre in centres], 1)
+
+
 def counted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, bucket, number of words) of all texts; a long text is read in pieces."""
     cells: list[np.ndarray] = []
@@ -73,56 +78,128 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-def cluster(profiles: np.ndarray, topics: int) -> Topics:
-    """Spherical k-means; the first centres are profiles far from each other."""
-    present = (profiles > 0).sum(0)
-    worth = np.log((len(profiles) + 1) / (present + 1))
-    x = _unit(np.log1p(profiles) * worth)
-    centres = x[:1]
-    while len(centres) < min(topics, len(x)):
-        centres = np.concatenate([centres, x[(x @ centres.T).max(1).argmin()][None]])
-    for _ in range(ROUNDS):
-        of = (x @ centres.T).argmax(1)
-        means = np.stack([x[of == k].sum(0) if (of == k).any() else centres[k] for k in range(len(centres))])
-        centres = _unit(means)
-    return Topics(worth, centres)
+def _cells(profiles: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, number of words) of profiles; null ones have none."""
+    sizes = profiles.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    cells = profiles.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(sizes)), sizes), cells % BUCKETS, cells // BUCKETS
 
 
-def fit_topics(docs: DataFrame, text_col: str = "text", topics: int = TOPICS, sample_rows: int = SAMPLE_ROWS) -> Topics | None:
-    """Topics of at most `sample_rows` distinct texts, the same ones whenever it is run. None without any words."""
-    text = named(text_col).cast("string")
-    hashed = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).filter("text IS NOT NULL")
-    last = hashed.select("h").distinct().orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
-    if last is None:
-        return None
+def profile(text_col: str = "text") -> Column:
+    """Profile of each text as a column: its buckets with the number of words in each, as one number a bucket."""
 
-    @F.pandas_udf("array<int>")
-    def profile(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<long>")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            of, bucket, n = counted(batch.tolist())
-            ends = np.searchsorted(of, np.arange(len(batch) + 1))
-            both = [np.concatenate([bucket[a:b], n[a:b]]).astype(np.int32) for a, b in zip(ends, ends[1:], strict=False)]
-            yield pd.Series(both, index=batch.index)
-
-    sample = hashed.filter(F.col("h") <= last).dropDuplicates(["h"]).select("h", profile("text").alias("p"))
-    found = sorted((r.h, r.p) for r in sample.collect() if r.p)  # at most sample_rows rows of twice BUCKETS numbers
-    if not found:
+            of, bucket, n = counted(batch.to_pylist())
+            ends = np.searchsorted(of, np.arange(len(batch) + 1)).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(n * BUCKETS + bucket))
+
+    return count(named(text_col).cast("string"))
+
+
+def with_profiles(docs: DataFrame, text_col: str, out_col: str) -> DataFrame:
+    """The documents with the profile of their text, stored: words are counted once for all that reads them."""
+    return store(docs.withColumn(out_col, profile(text_col)), "profiles")
+
+
+def fit_topics(docs: DataFrame, text_col: str = "text", topics: int = TOPICS, profile_col: str | None = None) -> Topics | None:
+    """Topics of all distinct texts, the same ones whenever it is run. None without any words.
+
+    `profile_col` names a column of `docs` with the texts' profiles, where there is one.
+    """
+    counts = named(profile_col) if profile_col else profile(text_col)
+    hashed = docs.select(F.xxhash64(named(text_col).cast("string")).alias("h"), counts.alias("p")).filter(F.size("p") > 0)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = store(hashed.groupBy("h").agg(F.first("p").alias("p")).repartition(parts, "h"), "distinct-profiles")
+
+    def sums(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, present = 0, np.zeros(BUCKETS, np.int64)
+        for batch in part:
+            texts += batch.num_rows
+            present += np.bincount(_cells(batch.column(0))[1], minlength=BUCKETS)
+        yield pa.RecordBatch.from_arrays([pa.array([*range(BUCKETS), -1]), pa.array([*present.tolist(), texts])], names=["bucket", "n"])
+
+    rows = distinct.select("p").mapInArrow(sums, "bucket long, n long").groupBy("bucket").sum("n").collect()  # BUCKETS rows and one
+    present = dict(map(tuple, rows))
+    texts = present.pop(-1, 0)
+    if not texts:
         return None
-    profiles = np.zeros((len(found), BUCKETS))
-    for row, (_, both) in zip(profiles, found, strict=True):
-        half = len(both) // 2
-        row[np.array(both[:half])] = both[half:]
-    return cluster(profiles, topics)
+    worth = np.log((texts + 1) / (np.array([present[k] for k in range(BUCKETS)]) + 1))
+
+    centres = np.empty((0, BUCKETS))
+    while len(centres) < min(topics, texts):
+        (_, _, cells), = _farthest(distinct, worth, centres)
+        far = np.zeros(BUCKETS)
+        far[np.array(cells) % BUCKETS] = np.log1p(np.array(cells) // BUCKETS)
+        centres = np.concatenate([centres, _unit(far * worth)[None]])
+    before = None
+    for _ in range(ROUNDS):
+        found = _sums(distinct, worth, centres)
+        if before is not None and np.array_equal(found, before):
+            break
+        before = found
+        means = _unit(found[:, :BUCKETS].astype(float))
+        centres = np.where(found[:, BUCKETS:] > 0, means, centres)
+    return Topics(worth, centres)
+
+
+def _units(batch: pa.Array, worth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, component) of profiles brought to length 1."""
+    text, bucket, n = _cells(batch)
+    value = np.log1p(n) * worth[bucket]
+    length = np.sqrt(np.bincount(text, value * value, len(batch)))
+    return text, bucket, value / np.maximum(length, 1e-12)[text]
+
+
+def _farthest(distinct: DataFrame, worth: np.ndarray, centres: np.ndarray) -> list:
+    """The profile whose nearest centre is farthest, the one with the smallest hash among several."""
+
+    def far(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in part:
+            h = batch.column(0).to_numpy()
+            near = np.zeros(len(h))
+            if len(centres):
+                near = _scores(len(h), *_units(batch.column(1), worth), centres).max(1)
+            if len(h):
+                k = np.lexsort([h, near])[:1]
+                yield pa.RecordBatch.from_arrays([pa.array(near[k]), pa.array(h[k]), batch.column(1).take(pa.array(k))], names=["near", "h", "p"])
+
+    return distinct.select("h", "p").mapInArrow(far, "near double, h long, p array<long>").orderBy("near", "h").limit(1).collect()
+
+
+def _sums(distinct: DataFrame, worth: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """For each centre the sum of the profiles next to it, in parts of one, and their number."""
+    width = BUCKETS + 1
+
+    def add(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(centres) * width, np.int64)
+        for batch in part:
+            text, bucket, value = _units(batch.column(0), worth)
+            of = _scores(batch.num_rows, text, bucket, value, centres).argmax(1)
+            # Sums of whole numbers below 2**53 are exact.
+            total += np.bincount(of[text] * width + bucket, np.rint(value * PARTS_OF_ONE), len(total)).astype(np.int64)
+            total += np.bincount(of * width + BUCKETS, minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
+
+    found = np.zeros(len(centres) * width, np.int64)
+    for cell, n in distinct.select("p").mapInArrow(add, "cell long, n long").groupBy("cell").sum("n").collect():  # topics times buckets
+        found[cell] = n
+    return found.reshape(len(centres), width)
+
 
+def topic(fitted: Topics | None, text_col: str = "text", profile_col: str | None = None) -> Column:
+    """The topic of each text as a column; null for texts without words, and for all without fitted topics.
 
-def topic(fitted: Topics | None, text_col: str = "text") -> Column:
-    """The topic of each text as a column; null for texts without words, and for all without fitted topics."""
+    `profile_col` names a column with the texts' profiles, where there is one.
+    """
     if fitted is None:
         return F.lit(None).cast("string")
 
-    @F.pandas_udf("string")
-    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def nearest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series(fitted.of_texts(batch.tolist()), index=batch.index, dtype=object)
+            yield pa.array(fitted.of_profiles(len(batch), *_cells(batch)), pa.string())
 
-    return nearest(named(text_col).cast("string"))
+    return nearest(named(profile_col) if profile_col else profile(text_col))

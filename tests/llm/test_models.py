@@ -286,6 +286,25 @@ def test_topics_are_clusters_of_words(spark):
     assert topics.fit_topics(df.limit(0)) is None and df.select(topics.topic(None).alias("t")).filter("t IS NOT NULL").isEmpty()
 
 
+def test_topics_are_fitted_on_all_texts(spark):
+    """Every distinct text counts once, and the centres are where no text would change them."""
+    subjects = ["sea ship sail harbour wave tide anchor", "bread oven flour yeast dough salt crust"]
+    texts = [" ".join(random.Random(i).choices(subjects[i % 2].split(), k=4)) + " " + "abcdefghij"[i % 10] * (1 + i // 10) for i in range(4300)]
+    df = spark.createDataFrame([(t,) for t in texts + texts[:500]], "text string")
+    fitted = topics.fit_topics(df, topics=2)
+    text, bucket, n = topics.counted(texts)
+    assert np.allclose(fitted.worth, np.log((len(texts) + 1) / (np.bincount(bucket, minlength=topics.BUCKETS) + 1)))
+    profiles = np.zeros((len(texts), topics.BUCKETS))
+    profiles[text, bucket] = np.log1p(n) * fitted.worth[bucket]
+    profiles /= np.linalg.norm(profiles, axis=1, keepdims=True)
+    nearest = (profiles @ fitted.centres.T).argmax(1)
+    means = np.stack([profiles[nearest == k].sum(0) for k in range(2)])
+    assert np.allclose(means / np.linalg.norm(means, axis=1, keepdims=True), fitted.centres, atol=1e-6)
+    profiled = topics.with_profiles(df, "text", "p")
+    assert np.array_equal(topics.fit_topics(profiled, topics=2, profile_col="p").centres, fitted.centres)
+    assert profiled.select(topics.topic(fitted).alias("a"), topics.topic(fitted, profile_col="p").alias("b")).filter("a <> b OR a IS NULL").isEmpty()
+
+
 def test_raking_meets_margins():
     state = np.random.default_rng(3)
     present = state.random(24)
