@@ -24,6 +24,12 @@ from spanwise.llm.language_id import PIECE, pieces, words_of
 BUCKETS = 1_024
 TOPICS = 12
 ROUNDS = 25
+#: A bucket and its number of words in a stored profile.
+_CELL = np.dtype([("bucket", "<u2"), ("n", "<u4")])
+#: Texts whose words a task counts together.
+COUNTED_TEXTS = 500
+#: Texts compared with all centres together.
+SCORED_TEXTS = 200
 #: Parts of one in which components of profiles are summed: whole numbers add up to the same in any order.
 PARTS_OF_ONE = 2**30
 
@@ -37,14 +43,28 @@ class Topics:
 
     def of_profiles(self, rows: int, text: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> list[str | None]:
         """Topic of each of `rows` texts, given as `counted` does; none for texts without words."""
-        value = np.log1p(n) * self.worth[bucket]
+        value = _damped(n) * self.worth[bucket]
         scores = _scores(rows, text, bucket, value, self.centres)
         some = np.bincount(text, minlength=rows) > 0
         return [f"topic {k}" if any_ else None for k, any_ in zip(scores.argmax(1).tolist(), some.tolist(), strict=True)]
 
 
 def _scores(rows: int, text: np.ndarray, bucket: np.ndarray, value: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.stack([np.bincount(text, value * centre[bucket], rows) for centre in centres], 1)
+    """Products of texts and centres. Those of a text are summed in the order of its buckets, whatever texts it is read with."""
+    scores = np.zeros((rows, len(centres)))
+    first = np.flatnonzero(np.diff(text, prepend=-1))
+    worth = np.ascontiguousarray(centres.T)
+    for k in range(0, len(first), SCORED_TEXTS):
+        begin, end = first[k], first[k + SCORED_TEXTS] if k + SCORED_TEXTS < len(first) else len(text)
+        at = first[k : k + SCORED_TEXTS]
+        scores[text[at]] = np.add.reduceat(worth[bucket[begin:end]] * value[begin:end, None], at - begin, axis=0)
+    return scores
+
+
+def _damped(n: np.ndarray) -> np.ndarray:
+    """Logarithm of 1 and a number of words; those of small numbers are computed once."""
+    most = int(n.max(initial=0))
+    return np.log1p(np.arange(most + 1))[n] if most < len(n) else np.log1p(n)
 
 
 def counted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,20 +100,29 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _cells(profiles: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, bucket, number of words) of profiles; null ones have none."""
-    sizes = profiles.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    cells = profiles.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.repeat(np.arange(len(sizes)), sizes), cells % BUCKETS, cells // BUCKETS
+    profiles = profiles.cast(pa.large_binary())
+    _, ends, data = profiles.buffers()
+    ends = np.frombuffer(ends, np.int64)[profiles.offset : profiles.offset + len(profiles) + 1] if len(profiles) else np.zeros(1, np.int64)
+    cells = np.frombuffer(data or b"", _CELL, (ends[-1] - ends[0]) // _CELL.itemsize, ends[0]) if ends[-1] > ends[0] else np.empty(0, _CELL)
+    return np.repeat(np.arange(len(profiles)), np.diff(ends) // _CELL.itemsize), cells["bucket"].astype(np.int64), cells["n"].astype(np.int64)
+
+
+def _packed(texts: list[str | None]) -> pa.Array:
+    of, bucket, n = counted(texts)
+    cells = np.empty(len(of), _CELL)
+    cells["bucket"], cells["n"] = bucket, n
+    ends = np.searchsorted(of, np.arange(len(texts) + 1)) * _CELL.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(cells)]).cast(pa.binary())
 
 
 def profile(text_col: str = "text") -> Column:
-    """Profile of each text as a column: its buckets with the number of words in each, as one number a bucket."""
+    """Profile of each text as a column: its buckets with the number of words in each, packed."""
 
-    @F.arrow_udf("array<long>")
+    @F.arrow_udf("binary")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            of, bucket, n = counted(batch.to_pylist())
-            ends = np.searchsorted(of, np.arange(len(batch) + 1)).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(n * BUCKETS + bucket))
+            blobs = [_packed(batch.slice(k, COUNTED_TEXTS).to_pylist()) for k in range(0, len(batch), COUNTED_TEXTS)]
+            yield pa.concat_arrays(blobs) if blobs else pa.array([], pa.binary())
 
     return count(named(text_col).cast("string"))
 
@@ -109,7 +138,7 @@ def fit_topics(docs: DataFrame, text_col: str = "text", topics: int = TOPICS, pr
     `profile_col` names a column of `docs` with the texts' profiles, where there is one.
     """
     counts = named(profile_col) if profile_col else profile(text_col)
-    hashed = docs.select(F.xxhash64(named(text_col).cast("string")).alias("h"), counts.alias("p")).filter(F.size("p") > 0)
+    hashed = docs.select(F.xxhash64(named(text_col).cast("string")).alias("h"), counts.alias("p")).filter(F.length("p") > 0)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = store(hashed.groupBy("h").agg(F.first("p").alias("p")).repartition(parts, "h"), "distinct-profiles")
 
@@ -129,9 +158,10 @@ def fit_topics(docs: DataFrame, text_col: str = "text", topics: int = TOPICS, pr
 
     centres = np.empty((0, BUCKETS))
     while len(centres) < min(topics, texts):
-        (_, _, cells), = _farthest(distinct, worth, centres)
+        found = _farthest(distinct, worth, centres)[0]
+        _, bucket, n = _cells(pa.array([bytes(found.p)], pa.binary()))
         far = np.zeros(BUCKETS)
-        far[np.array(cells) % BUCKETS] = np.log1p(np.array(cells) // BUCKETS)
+        far[bucket] = np.log1p(n)
         centres = np.concatenate([centres, _unit(far * worth)[None]])
     before = None
     for _ in range(ROUNDS):
@@ -147,7 +177,7 @@ def fit_topics(docs: DataFrame, text_col: str = "text", topics: int = TOPICS, pr
 def _units(batch: pa.Array, worth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, bucket, component) of profiles brought to length 1."""
     text, bucket, n = _cells(batch)
-    value = np.log1p(n) * worth[bucket]
+    value = _damped(n) * worth[bucket]
     length = np.sqrt(np.bincount(text, value * value, len(batch)))
     return text, bucket, value / np.maximum(length, 1e-12)[text]
 
@@ -165,7 +195,7 @@ def _farthest(distinct: DataFrame, worth: np.ndarray, centres: np.ndarray) -> li
                 k = np.lexsort([h, near])[:1]
                 yield pa.RecordBatch.from_arrays([pa.array(near[k]), pa.array(h[k]), batch.column(1).take(pa.array(k))], names=["near", "h", "p"])
 
-    return distinct.select("h", "p").mapInArrow(far, "near double, h long, p array<long>").orderBy("near", "h").limit(1).collect()
+    return distinct.select("h", "p").mapInArrow(far, "near double, h long, p binary").orderBy("near", "h").limit(1).collect()
 
 
 def _sums(distinct: DataFrame, worth: np.ndarray, centres: np.ndarray) -> np.ndarray:
