@@ -20,6 +20,16 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(autouse=True)
+def no_views_left(request):
+    """Views made by one test are not there for the next one, which shares its session."""
+    yield
+    if "spark" in request.fixturenames:
+        session = request.getfixturevalue("spark")
+        for view in session.sql("SHOW VIEWS").filter("isTemporary").collect():
+            session.catalog.dropTempView(view.viewName)
+
+
 @pytest.fixture(scope="session")
 def sf():
     return SF
