@@ -3,6 +3,7 @@
 import datetime as dt
 import glob
 import os
+import threading
 
 import pytest
 from conftest import rows
@@ -90,6 +91,36 @@ def test_only_shared_steps_are_stored(spark):
             T.tables_of(["other"], {"raw": raw}, plan, steps)
 
 
+def test_steps_are_stored_side_by_side(spark):
+    """Two steps that each wait for the other one to begin end all the same; one that reads both follows them."""
+    met = threading.Barrier(2, timeout=60)
+
+    def wait(df):
+        met.wait()
+        return df
+
+    plan = {"a": T.Step(wait, ("raw",)), "b": T.Step(wait, ("raw",)), "both": T.Step(lambda a, b: a.unionByName(b), ("a", "b"))}
+    raw = spark.range(9).withColumnRenamed("id", T.ID)
+    with IO.Steps(spark, 2) as steps:
+        found = T.tables_of(["a", "b", "both", "both"], {"raw": raw}, plan, steps)
+        assert found["both"].count() == 18
+        plan["a"] = T.Step(lambda df: 1 / 0, ("raw",))
+        with pytest.raises(ZeroDivisionError):
+            T.tables_of(["a", "a", "both", "both"], {"raw": raw}, {**plan, "b": T.Step(lambda df: df, ("raw",))}, steps)
+
+
+def test_only_common_persons_are_counted(spark, monkeypatch):
+    """Rows of persons are counted for tables that are large enough for a common one, with the same result."""
+    spec = A.Population("people", A.Col("id"), A.Lit("all"), A.Lit("2002-01-01"), A.Lit("2004-12-31"), A.Lit("p"))
+    days = [A.Measure(t, A.Col("id"), A.Col("start_date"), A.Col("end_date"), A.Lit(t), A.Lit(1), "DURATION", True) for t in ("few", "many")]
+    tables = {"people": spark.range(40), "few": spells_of(spark, 59, 9), "many": spells_of(spark, 60, 20)}
+    monkeypatch.setattr(T, "HOT_ROWS", 100)
+    assert T.common_in(tables, [spec]) == {"many"}
+    part, whole, none = (A.assemble([spec], days, tables, min_rows=2, spread=s) for s in ({"many"}, True, False))
+    assert exchanges(none) < exchanges(part) < exchanges(whole)
+    assert rows(part) == rows(whole) == rows(none)
+
+
 def test_every_column_of_the_tidy_step_is_named():
     """The wide table has what the tidy step reads, and each measure of the study has a column or a step to come from."""
     names, study = TidyNames(), T.Study()
