@@ -26,10 +26,12 @@ TOPICS = 12
 ROUNDS = 25
 #: A bucket and its number of words in a stored profile.
 _CELL = np.dtype([("bucket", "<u2"), ("n", "<u4")])
-#: Texts whose words a task counts together.
+#: Texts whose words a task counts together, or whose profiles it unpacks together.
 COUNTED_TEXTS = 500
 #: Texts compared with all centres together.
 SCORED_TEXTS = 200
+#: Texts farthest from the centres that the driver holds at once, to choose the next centres from.
+FAR_TEXTS = 200
 #: Parts of one in which components of profiles are summed: whole numbers add up to the same in any order.
 PARTS_OF_ONE = 2**30
 
@@ -144,7 +146,7 @@ def fit_topics(docs: DataFrame, text_col: str = "text", topics: int = TOPICS, pr
 
     def sums(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, present = 0, np.zeros(BUCKETS, np.int64)
-        for batch in part:
+        for batch in _few(part):
             texts += batch.num_rows
             present += np.bincount(_cells(batch.column(0))[1], minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array([*range(BUCKETS), -1]), pa.array([*present.tolist(), texts])], names=["bucket", "n"])
@@ -156,13 +158,7 @@ def fit_topics(docs: DataFrame, text_col: str = "text", topics: int = TOPICS, pr
         return None
     worth = np.log((texts + 1) / (np.array([present[k] for k in range(BUCKETS)]) + 1))
 
-    centres = np.empty((0, BUCKETS))
-    while len(centres) < min(topics, texts):
-        found = _farthest(distinct, worth, centres)[0]
-        _, bucket, n = _cells(pa.array([bytes(found.p)], pa.binary()))
-        far = np.zeros(BUCKETS)
-        far[bucket] = np.log1p(n)
-        centres = np.concatenate([centres, _unit(far * worth)[None]])
+    centres = _far_apart(distinct, worth, min(topics, texts))
     before = None
     for _ in range(ROUNDS):
         found = _sums(distinct, worth, centres)
@@ -182,20 +178,52 @@ def _units(batch: pa.Array, worth: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return text, bucket, value / np.maximum(length, 1e-12)[text]
 
 
+def _few(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, so few at once that what is unpacked of them stays small."""
+    for batch in part:
+        yield from (batch.slice(k, COUNTED_TEXTS) for k in range(0, batch.num_rows, COUNTED_TEXTS))
+
+
+def _nearness(profiles: pa.Array, worth: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Product of each profile with its nearest centre."""
+    if not len(centres):
+        return np.zeros(len(profiles))
+    return _scores(len(profiles), *_units(profiles, worth), centres).max(1)
+
+
+def _far_apart(distinct: DataFrame, worth: np.ndarray, topics: int) -> np.ndarray:
+    """As many centres as there are topics, each the text whose nearest centre so far is farthest.
+
+    A further centre can only bring texts nearer. So one of the texts that were farthest is still the
+    farthest one, as long as it is not nearer than the last of them was; else all texts are gone through again.
+    """
+    centres = np.empty((0, BUCKETS))
+    held: list = []
+    while len(centres) < topics:
+        near = _nearness(pa.array([bytes(row.p) for row in held], pa.binary()), worth, centres)
+        first = min(zip(near.tolist(), [row.h for row in held], range(len(held)), strict=True), default=None)
+        if first is None or len(held) == FAR_TEXTS and first[:2] > (held[-1].near, held[-1].h):
+            held = _farthest(distinct, worth, centres)
+            first = (held[0].near, held[0].h, 0)
+        _, bucket, n = _cells(pa.array([bytes(held[first[2]].p)], pa.binary()))
+        far = np.zeros(BUCKETS)
+        far[bucket] = np.log1p(n)
+        centres = np.concatenate([centres, _unit(far * worth)[None]])
+    return centres
+
+
 def _farthest(distinct: DataFrame, worth: np.ndarray, centres: np.ndarray) -> list:
-    """The profile whose nearest centre is farthest, the one with the smallest hash among several."""
+    """The `FAR_TEXTS` profiles whose nearest centre is farthest, farthest first and those with smaller hashes among equals."""
 
     def far(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in part:
             h = batch.column(0).to_numpy()
-            near = np.zeros(len(h))
-            if len(centres):
-                near = _scores(len(h), *_units(batch.column(1), worth), centres).max(1)
+            near = np.concatenate([np.empty(0), *[_nearness(few.column(1), worth, centres) for few in _few(iter([batch]))]])
             if len(h):
-                k = np.lexsort([h, near])[:1]
+                k = np.lexsort([h, near])[:FAR_TEXTS]
                 yield pa.RecordBatch.from_arrays([pa.array(near[k]), pa.array(h[k]), batch.column(1).take(pa.array(k))], names=["near", "h", "p"])
 
-    return distinct.select("h", "p").mapInArrow(far, "near double, h long, p binary").orderBy("near", "h").limit(1).collect()
+    return distinct.select("h", "p").mapInArrow(far, "near double, h long, p binary").orderBy("near", "h").limit(FAR_TEXTS).collect()
 
 
 def _sums(distinct: DataFrame, worth: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -204,7 +232,7 @@ def _sums(distinct: DataFrame, worth: np.ndarray, centres: np.ndarray) -> np.nda
 
     def add(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(centres) * width, np.int64)
-        for batch in part:
+        for batch in _few(part):
             text, bucket, value = _units(batch.column(0), worth)
             of = _scores(batch.num_rows, text, bucket, value, centres).argmax(1)
             # Sums of whole numbers below 2**53 are exact.
@@ -230,6 +258,7 @@ def topic(fitted: Topics | None, text_col: str = "text", profile_col: str | None
     @F.arrow_udf("string")
     def nearest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(fitted.of_profiles(len(batch), *_cells(batch)), pa.string())
+            few = [batch.slice(k, COUNTED_TEXTS) for k in range(0, len(batch), COUNTED_TEXTS)]
+            yield pa.array([name for some in few for name in fitted.of_profiles(len(some), *_cells(some))], pa.string())
 
     return nearest(named(profile_col) if profile_col else profile(text_col))

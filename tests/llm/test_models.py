@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -305,6 +306,38 @@ def test_topics_are_fitted_on_all_texts(spark):
     assert profiled.select(topics.topic(fitted).alias("a"), topics.topic(fitted, profile_col="p").alias("b")).filter("a <> b OR a IS NULL").isEmpty()
 
 
+def test_centres_are_far_apart(spark, monkeypatch):
+    """Each centre is the text farthest from those before it, found in fewer passes than there are centres."""
+    state = random.Random(3)
+    words = [f"{a}{b}" for a in "bcdfghjklm" for b in "aeiou"]
+    texts = sorted({" ".join(state.choices(words[i % 7 * 7 :][:9], k=3 + i % 20)) for i in range(900)})
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(F.xxhash64("text").alias("h"), topics.profile().alias("p"))
+    df = df.repartition(3).localCheckpoint()
+    all_of = df.orderBy("h").collect()
+    worth = np.linspace(0.5, 2, topics.BUCKETS)
+    blobs = pa.array([bytes(r.p) for r in all_of], pa.binary())
+    wanted = np.empty((0, topics.BUCKETS))
+    for _ in range(9):
+        k = int(topics._nearness(blobs, worth, wanted).argmin())
+        _, bucket, n = topics._cells(blobs.slice(k, 1))
+        one = np.zeros(topics.BUCKETS)
+        one[bucket] = np.log1p(n) * worth[bucket]
+        wanted = np.concatenate([wanted, (one / np.linalg.norm(one))[None]])
+    passes, whole = [], topics._farthest
+    monkeypatch.setattr(topics, "_farthest", lambda *given: passes.append(1) or whole(*given))
+    for held in (1, 40, 2_000):
+        monkeypatch.setattr(topics, "FAR_TEXTS", held)
+        passes.clear()
+        assert np.array_equal(topics._far_apart(df, worth, 9), wanted)
+        assert len(passes) == 9 if held == 1 else len(passes) < 9
+
+
+def test_few_profiles_are_unpacked_at_once():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1_234))], names=["n"])
+    few = list(topics._few(iter([batch, batch.slice(0, 0)])))
+    assert max(b.num_rows for b in few) <= topics.COUNTED_TEXTS and [n for b in few for n in b.column(0).to_pylist()] == list(range(1_234))
+
+
 def test_raking_meets_margins():
     state = np.random.default_rng(3)
     present = state.random(24)
