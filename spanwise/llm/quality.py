@@ -87,6 +87,53 @@ def keys(points: np.ndarray, ends: np.ndarray, size: int = ORDER) -> np.ndarray:
     return key
 
 
+class _Numbered:
+    """Code points with the distinct ones numbered, so that short n-grams are numbers too."""
+
+    def __init__(self, points: np.ndarray) -> None:
+        held = np.zeros(_POINTS, bool)
+        held[points] = True
+        number = np.cumsum(held)
+        self.points, self.kinds, self.number = points, int(number[-1]), (number[points] - 1).astype(np.uint64)
+
+    def grouped(self, ends: np.ndarray, size: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+        """An order of `ends` in which those of equal n-grams of a size are neighbours, and where in it each n-gram begins.
+
+        Where both fit into 64 bits, an n-gram's number and its place are sorted as one: that is faster than to sort places by hashes.
+        """
+        bits = len(ends).bit_length()
+        if self.kinds**size << bits < 2**64:
+            gram = np.zeros(len(ends), np.uint64)
+            for k in range(size - 1, -1, -1):
+                gram = gram * np.uint64(self.kinds) + self.number[ends - k]
+            both = np.sort(gram << np.uint64(bits) | np.arange(len(ends), dtype=np.uint64))
+            gram, order = both >> np.uint64(bits), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+        else:
+            gram = keys(self.points, ends, size)
+            order = np.argsort(gram)
+            gram = gram[order]
+        return order, np.flatnonzero(_new(gram))
+
+    def looked_up(self, ends: np.ndarray, size: int, known: np.ndarray, values: np.ndarray, other: float) -> np.ndarray:
+        """Value of the n-gram of a size that ends at each of `ends`; each n-gram is looked up once."""
+        order, first = self.grouped(ends, size)
+        value, _ = _looked_up(keys(self.points, ends[order[first]], size), known, values, other)
+        out = np.empty(len(ends))
+        out[order] = np.repeat(value, np.diff(first, append=len(ends)))
+        return out
+
+
+def _new(x: np.ndarray) -> np.ndarray:
+    """Which of sorted numbers differ from the one before."""
+    return np.concatenate([np.ones(min(len(x), 1), bool), x[1:] != x[:-1]])
+
+
+def _once(x: np.ndarray) -> np.ndarray:
+    """Distinct numbers, in order."""
+    x = np.sort(x)
+    return x[_new(x)]
+
+
 def grams(points: np.ndarray, ends: np.ndarray) -> list[str]:
     """The n-grams that end at `ends`, as text."""
     rows = np.stack([points[ends - k] for k in range(ORDER - 1, -1, -1)], 1)
@@ -130,11 +177,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield full()
 
 
-def _distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Hashes, in order, counts and texts of the n-grams."""
+def _distinct(texts: list[str]) -> tuple[np.ndarray, list[str]]:
+    """Counts and texts of the n-grams."""
     points, ends, _ = symbols(texts)
-    known, first, n = np.unique(keys(points, ends), return_index=True, return_counts=True)
-    return known, n, grams(points, ends[first])
+    order, first = _Numbered(points).grouped(ends)
+    return np.diff(first, append=len(order)), grams(points, ends[order[first]])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +192,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["gram", "n"])
 
     for part in text_slices(batches, 0):
-        _, n, found = _distinct(_texts(part))
+        n, found = _distinct(_texts(part))
         for gram, times in zip(found, n.tolist(), strict=True):
             held[gram] += times
         if len(held) > HELD_GRAMS:
@@ -156,13 +203,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _all_keys(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Keys of the n-grams that end at `ends`, of all shorter ones that end them, and of the contexts of all of these."""
-    found = []
+    found, numbered = [], _Numbered(points)
     for size in range(ORDER, 0, -1):
-        own, first = np.unique(keys(points, ends, size), return_index=True)
-        found.append(own)
-        ends = ends[first]
+        order, first = numbered.grouped(ends, size)
+        ends = ends[order[first]]
+        found.append(keys(points, ends, size))
         ends = np.concatenate([ends, ends - 1])
-    return np.unique(np.concatenate(found))
+    return _once(np.concatenate(found))
 
 
 def _asker(shards: int, groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -174,7 +221,7 @@ def _asker(shards: int, groups: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 seen = np.zeros(0, np.uint64)
                 for part in _parts(data):
                     points, ends, _ = symbols(_texts(part))
-                    seen = np.union1d(seen, _all_keys(points, ends))
+                    seen = _once(np.concatenate([seen, _all_keys(points, ends)]))
                 shard = seen.view(np.int64) % shards
                 order = np.argsort(shard, kind="stable")  # keys stay in order within a shard
                 cuts = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -294,14 +341,16 @@ def _scorer(floor: float, empty: float) -> Callable[[pa.Table, pa.Table], pa.Tab
         for data in slices.column("data"):
             for part in _parts(data):
                 points, ends, lengths = symbols(_texts(part))
-                _, first, which = np.unique(keys(points, ends), return_index=True, return_inverse=True)
-                at = ends[first]
+                numbered = _Numbered(points)
+                order, first = numbered.grouped(ends)
+                at = ends[order[first]]
                 p = np.full(len(at), floor)
                 for size in range(1, ORDER + 1):
-                    own, _ = _looked_up(keys(points, at, size), known, share, 0.0)
-                    spare = empty if size == 1 else _looked_up(keys(points, at - 1, size - 1), known, left, 1.0)[0]
+                    own = numbered.looked_up(at, size, known, share, 0.0)
+                    spare = empty if size == 1 else numbered.looked_up(at - 1, size - 1, known, left, 1.0)
                     p = own + spare * p
-                logs, after = np.log(p)[which], np.cumsum(lengths)
+                logs, after = np.empty(len(ends)), np.cumsum(lengths)
+                logs[order] = np.repeat(np.log(p), np.diff(first, append=len(ends)))
                 total = np.array([logs[a:b].sum() for a, b in zip(after - lengths, after, strict=True)])
                 value = np.exp(-total / np.maximum(lengths, 1))
                 done.append(pa.table({

@@ -473,3 +473,29 @@ def test_search_with_repeated_own_rows(spark):
         if i != 500:
             scores.append((-round(s, 9), i))
     assert [(-round(r.score, 9), r.doc_id) for r in sorted(got.collect(), key=lambda r: r.rank)] == sorted(scores)[:10]
+
+
+def test_ngrams_are_looked_up_once(monkeypatch):
+    """Each n-gram of a part is asked for once whatever its size; keys are those of the definition for few and for many symbols."""
+    state = random.Random(8)
+    few = ["".join(state.choices("ab c", k=300)) for _ in range(20)] + [""]
+    many = ["".join(map(chr, state.choices(range(0x4E00, 0x9F00), k=3_000))) for _ in range(3)] + few
+    looked, whole = [], quality._looked_up
+    monkeypatch.setattr(quality, "_looked_up", lambda asked, *given: looked.append(asked) or whole(asked, *given))
+    for texts in (few, many, ["", ""], []):
+        points, ends, _ = quality.symbols(texts)
+        own = {quality.ORDER: ends}
+        for size in range(quality.ORDER - 1, 0, -1):
+            own[size] = np.concatenate([own[size + 1], own[size + 1] - 1])
+        wanted = np.unique(np.concatenate([quality.keys(points, e, size) for size, e in own.items()]))
+        assert np.array_equal(quality._all_keys(points, ends), wanted)
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *[pa.array(range(len(texts)), pa.int64())] * 2], names=["text", "id", "lang"])
+        found = wanted.tobytes() + np.full(len(wanted), 0.1).tobytes() + np.full(len(wanted), 0.5).tobytes()
+        looked.clear()
+        got = quality._scorer(0.01, 0.5)(pa.table({"data": pa.array([quality._pack([batch])])}), pa.table({"found": pa.array([found], pa.binary())}))
+        assert all(len(np.unique(x)) == len(x) for x in looked)
+        p = 0.01
+        for _ in range(quality.ORDER):
+            p = 0.1 + 0.5 * p
+        assert np.allclose([x for x in got.column("perplexity").to_pylist() if x is not None], 1 / p)
+        assert got.column("perplexity").null_count == sum(not t for t in texts)
