@@ -26,10 +26,10 @@ TOPICS = 12
 ROUNDS = 25
 #: A bucket and its number of words in a stored profile.
 _CELL = np.dtype([("bucket", "<u2"), ("n", "<u4")])
-#: Texts whose words a task counts together, or whose profiles it unpacks together.
-COUNTED_TEXTS = 500
+#: Texts whose words a task counts together, or whose profiles are stored in one row and unpacked together.
+COUNTED_TEXTS = 200
 #: Texts compared with all centres together.
-SCORED_TEXTS = 200
+SCORED_TEXTS = 50
 #: Texts farthest from the centres that the driver holds at once, to choose the next centres from.
 FAR_TEXTS = 200
 #: Parts of one in which components of profiles are summed: whole numbers add up to the same in any order.
@@ -59,7 +59,9 @@ def _scores(rows: int, text: np.ndarray, bucket: np.ndarray, value: np.ndarray,
     for k in range(0, len(first), SCORED_TEXTS):
         begin, end = first[k], first[k + SCORED_TEXTS] if k + SCORED_TEXTS < len(first) else len(text)
         at = first[k : k + SCORED_TEXTS]
-        scores[text[at]] = np.add.reduceat(worth[bucket[begin:end]] * value[begin:end, None], at - begin, axis=0)
+        each = worth.take(bucket[begin:end], axis=0)
+        each *= value[begin:end, None]
+        scores[text[at]] = np.add.reduceat(each, at - begin, axis=0)
     return scores
 
 
@@ -142,26 +144,27 @@ def fit_topics(docs: DataFrame, text_col: str = "text", topics: int = TOPICS, pr
     counts = named(profile_col) if profile_col else profile(text_col)
     hashed = docs.select(F.xxhash64(named(text_col).cast("string")).alias("h"), counts.alias("p")).filter(F.length("p") > 0)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = store(hashed.groupBy("h").agg(F.first("p").alias("p")).repartition(parts, "h"), "distinct-profiles")
+    distinct = hashed.groupBy("h").agg(F.first("p").alias("p")).repartition(parts, "h")
+    gathered = store(distinct.mapInArrow(_gather, "h binary, ends binary, cells binary"), "distinct-profiles")
 
     def sums(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, present = 0, np.zeros(BUCKETS, np.int64)
-        for batch in _few(part):
-            texts += batch.num_rows
-            present += np.bincount(_cells(batch.column(0))[1], minlength=BUCKETS)
+        for _, profiles in _gathered(part):
+            texts += len(profiles)
+            present += np.bincount(_cells(profiles)[1], minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array([*range(BUCKETS), -1]), pa.array([*present.tolist(), texts])], names=["bucket", "n"])
 
-    rows = distinct.select("p").mapInArrow(sums, "bucket long, n long").groupBy("bucket").sum("n").collect()  # BUCKETS rows and one
+    rows = gathered.mapInArrow(sums, "bucket long, n long").groupBy("bucket").sum("n").collect()  # BUCKETS rows and one
     present = dict(map(tuple, rows))
     texts = present.pop(-1, 0)
     if not texts:
         return None
     worth = np.log((texts + 1) / (np.array([present[k] for k in range(BUCKETS)]) + 1))
 
-    centres = _far_apart(distinct, worth, min(topics, texts))
+    centres = _far_apart(gathered, worth, min(topics, texts))
     before = None
     for _ in range(ROUNDS):
-        found = _sums(distinct, worth, centres)
+        found = _sums(gathered, worth, centres)
         if before is not None and np.array_equal(found, before):
             break
         before = found
@@ -184,6 +187,27 @@ def _few(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from (batch.slice(k, COUNTED_TEXTS) for k in range(0, batch.num_rows, COUNTED_TEXTS))
 
 
+def _gather(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of hash and profile to rows of some of them one after the other: Spark then hands on few rows, in each of many passes."""
+    for batch in _few(part):
+        profiles = batch.column(1).cast(pa.large_binary())
+        _, ends, data = profiles.buffers()
+        ends = np.frombuffer(ends, np.int64)[profiles.offset : profiles.offset + len(profiles) + 1]
+        packed = batch.column(0).to_numpy().tobytes(), (ends - ends[0]).tobytes(), data.slice(ends[0], ends[-1] - ends[0]).to_pybytes()
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], names=["h", "ends", "cells"])
+
+
+def _gathered(part: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Hashes and profiles, few at once, of rows that `_gather` made or of those it was given."""
+    for batch in part:
+        if "cells" not in batch.schema.names:
+            yield from ((few.column("h").to_numpy(), few.column("p")) for few in _few(iter([batch])))
+            continue
+        for h, ends, cells in zip(*[batch.column(name) for name in ("h", "ends", "cells")], strict=True):
+            hashes = np.frombuffer(h.as_buffer(), np.int64)
+            yield hashes, pa.Array.from_buffers(pa.large_binary(), len(hashes), [None, ends.as_buffer(), cells.as_buffer()])
+
+
 def _nearness(profiles: pa.Array, worth: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Product of each profile with its nearest centre."""
     if not len(centres):
@@ -208,7 +232,8 @@ def _far_apart(distinct: DataFrame, worth: np.ndarray, topics: int) -> np.ndarra
         _, bucket, n = _cells(pa.array([bytes(held[first[2]].p)], pa.binary()))
         far = np.zeros(BUCKETS)
         far[bucket] = np.log1p(n)
-        centres = np.concatenate([centres, _unit(far * worth)[None]])
+        far *= worth
+        centres = np.concatenate([centres, far[None] / max(np.linalg.norm(far), 1e-12)])
     return centres
 
 
@@ -216,25 +241,26 @@ def _farthest(distinct: DataFrame, worth: np.ndarray, centres: np.ndarray) -> li
     """The `FAR_TEXTS` profiles whose nearest centre is farthest, farthest first and those with smaller hashes among equals."""
 
     def far(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in part:
-            h = batch.column(0).to_numpy()
-            near = np.concatenate([np.empty(0), *[_nearness(few.column(1), worth, centres) for few in _few(iter([batch]))]])
-            if len(h):
-                k = np.lexsort([h, near])[:FAR_TEXTS]
-                yield pa.RecordBatch.from_arrays([pa.array(near[k]), pa.array(h[k]), batch.column(1).take(pa.array(k))], names=["near", "h", "p"])
+        h, near, p = np.empty(0, np.int64), np.empty(0), pa.array([], pa.large_binary())
+        for hashes, profiles in _gathered(part):
+            h, near = np.concatenate([h, hashes]), np.concatenate([near, _nearness(profiles, worth, centres)])
+            k = np.lexsort([h, near])[:FAR_TEXTS]
+            p = pa.concat_arrays([p, profiles.cast(pa.large_binary())]).take(pa.array(k))
+            h, near = h[k], near[k]
+        yield pa.RecordBatch.from_arrays([pa.array(near), pa.array(h), p.cast(pa.binary())], names=["near", "h", "p"])
 
-    return distinct.select("h", "p").mapInArrow(far, "near double, h long, p binary").orderBy("near", "h").limit(FAR_TEXTS).collect()
+    return distinct.mapInArrow(far, "near double, h long, p binary").orderBy("near", "h").limit(FAR_TEXTS).collect()
 
 
-def _sums(distinct: DataFrame, worth: np.ndarray, centres: np.ndarray) -> np.ndarray:
+def _sums(gathered: DataFrame, worth: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """For each centre the sum of the profiles next to it, in parts of one, and their number."""
     width = BUCKETS + 1
 
     def add(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(centres) * width, np.int64)
-        for batch in _few(part):
-            text, bucket, value = _units(batch.column(0), worth)
-            of = _scores(batch.num_rows, text, bucket, value, centres).argmax(1)
+        for _, profiles in _gathered(part):
+            text, bucket, value = _units(profiles, worth)
+            of = _scores(len(profiles), text, bucket, value, centres).argmax(1)
             # Sums of whole numbers below 2**53 are exact.
             total += np.bincount(of[text] * width + bucket, np.rint(value * PARTS_OF_ONE), len(total)).astype(np.int64)
             total += np.bincount(of * width + BUCKETS, minlength=len(total))
@@ -242,7 +268,7 @@ def _sums(distinct: DataFrame, worth: np.ndarray, centres: np.ndarray) -> np.nda
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
 
     found = np.zeros(len(centres) * width, np.int64)
-    for cell, n in distinct.select("p").mapInArrow(add, "cell long, n long").groupBy("cell").sum("n").collect():  # topics times buckets
+    for cell, n in gathered.mapInArrow(add, "cell long, n long").groupBy("cell").sum("n").collect():  # topics times buckets
         found[cell] = n
     return found.reshape(len(centres), width)
 

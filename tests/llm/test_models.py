@@ -475,6 +475,24 @@ def test_search_with_repeated_own_rows(spark):
     assert [(-round(r.score, 9), r.doc_id) for r in sorted(got.collect(), key=lambda r: r.rank)] == sorted(scores)[:10]
 
 
+def test_profiles_are_handed_on_in_few_rows(spark, monkeypatch):
+    """Passes over the profiles read one row for many texts, with the same hashes and profiles; the centres do not depend on it."""
+    texts = ["", *[f"{'ship sail' if i % 2 else 'oven flour'} {'abcdefghij'[i % 10] * (1 + i // 10)}" for i in range(450)]]
+    blobs = topics._packed(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), blobs], names=["h", "p"])
+    rows = list(topics._gather(iter([batch.slice(0, 0), batch])))
+    assert sum(r.num_rows for r in rows) == -(-len(texts) // topics.COUNTED_TEXTS)
+    for given in (rows, [batch]):
+        got = [(h, p) for hashes, profiles in topics._gathered(iter(given)) for h, p in zip(hashes.tolist(), profiles.to_pylist())]
+        assert got == list(enumerate(blobs.to_pylist()))
+    stored, whole = [], topics.store
+    monkeypatch.setattr(topics, "store", lambda df, label: stored.append(whole(df, label)) or stored[-1])
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(1)
+    monkeypatch.setattr(topics, "ROUNDS", 2)
+    topics.fit_topics(df, topics=2)
+    assert stored[-1].count() <= 4 + len(texts) // topics.COUNTED_TEXTS  # as many as tasks and full rows at most
+
+
 def test_ngrams_are_looked_up_once(monkeypatch):
     """Each n-gram of a part is asked for once whatever its size; keys are those of the definition for few and for many symbols."""
     state = random.Random(8)
