@@ -18,7 +18,6 @@ from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +28,10 @@ from spanwise.llm.common import map_texts
 
 #: Entries of the cache of merged pieces in a task; a full cache starts anew.
 CACHE_ENTRIES = 400_000
+#: Bytes of text whose boundaries are found together; arrays over its characters take some fifty times as much.
+ENCODED_BYTES = 500_000
+#: Texts whose ids are unpacked together.
+DECODED_TEXTS = 100
 #: Pieces beyond this many bytes are merged with a heap and not cached.
 LONG_PIECE = 64
 
@@ -263,17 +266,18 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
         return work
 
-    return map_texts(docs, id_col, text_col, start, "n_tokens bigint, ids array<int>, offsets array<int>")
+    return map_texts(docs, id_col, text_col, start, "n_tokens bigint, ids array<int>, offsets array<int>", ENCODED_BYTES)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Add `out_col` (binary): the bytes of the ids, those without an entry refused. Null ids give null."""
     shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(path))
 
-    @F.pandas_udf("binary")
-    def text_bytes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def text_bytes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         part = {rank: piece for piece, rank in shared.value.items()}
-        for ids in batches:
-            yield ids.map(lambda x: None if x is None else b"".join(map(part.__getitem__, x.tolist())))
+        for batch in batches:
+            few = (batch.slice(k, DECODED_TEXTS).to_pylist() for k in range(0, len(batch), DECODED_TEXTS))
+            yield pa.array([None if x is None else b"".join(map(part.__getitem__, x)) for some in few for x in some], pa.binary())
 
     return encoded.withColumn(out_col, text_bytes(named(ids_col)))

@@ -86,3 +86,14 @@ def test_odd_rows(spark, odd, none, library):
         assert [text[a:b] for a, b in zip(r.offsets, [*r.offsets[1:], len(text)])] == [library.decode_single_token_bytes(i) for i in r.ids]
     assert count_tokens(none, JSON, public_tokenizers.PATTERN).count() == 0
     assert byte_bpe.decode(byte_bpe.encode(none, RANKS), RANKS).count() == 0
+
+
+def test_boundaries_of_few_texts_are_found_together(spark, shipped, library, monkeypatch):
+    """Slices of the encoder hold half a megabyte of text, and the tokens do not depend on where they end."""
+    bounds, whole = [], byte_bpe.map_texts
+    monkeypatch.setattr(byte_bpe, "map_texts", lambda docs, i, t, start, fields, most: bounds.append(most) or whole(docs, i, t, start, fields, 100))
+    rows = [(i, ("it's a text, " + PIECES[i % len(PIECES)]) * (i % 9)) for i in range(120)] + [(120, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.ids, bytes(r.decoded).decode()) for r in byte_bpe.decode(byte_bpe.encode(docs, RANKS), RANKS).collect()}
+    assert bounds == [byte_bpe.ENCODED_BYTES] and bounds[0] <= 500_000
+    assert got == {i: (library.encode_ordinary(t or ""), t or "") for i, t in rows}
