@@ -475,6 +475,60 @@ def test_search_with_repeated_own_rows(spark):
     assert [(-round(r.score, 9), r.doc_id) for r in sorted(got.collect(), key=lambda r: r.rank)] == sorted(scores)[:10]
 
 
+@pytest.mark.parametrize("share", [0, 0.05, 2])
+def test_search_in_parts_of_documents_that_are_alike(spark, monkeypatch, share):
+    """Frequent terms in matrices or not, small blocks and pieces, some segments first: the rows are those of the definition."""
+    small = {"SEGMENT_BYTES": 1500, "BLOCK_DOCS": 7, "MATRIX_QUERIES": 6, "MATRIX_SHARE": share, "MATRIX_TERMS": 5, "PIECE": 40,
+             "PARTS": 4, "MARKS": 12, "SPLIT_ROWS": 9, "FIRST_OF": 2, "TOGETHER_BYTES": 4000, "QUERY_TERMS": 400}
+    for name, value in small.items():
+        monkeypatch.setattr(topk_search, name, value)
+    state = random.Random(4)
+    words = [[f"{kind}{i}" for i in range(40)] for kind in "xyz"]
+    texts = [" ".join(state.choices(words[i % 3], [1 / (1 + j) for j in range(40)], k=state.randrange(60)) + ["all"] * (i % 4 > 0)) for i in range(300)]
+    rows = [(i // 2 if i < 8 else i, t) for i, t in enumerate(texts)]  # some ids come twice
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = [(i, t) for i, t in rows if i > 8 and i % 5 == 0] + [(900, "all x0"), (901, "x1 y1 z1 nowhere"), (902, "")]
+    got = search(docs, spark.createDataFrame(asked, "doc_id long, text string"), k=6).collect()
+    held = [(i, Counter(t.split()), len(t.split())) for i, t in rows]
+    average, df = sum(n for *_, n in held) / len(held), Counter(w for _, c, _ in held for w in c)
+    idf = {w: math.log(1 + (len(held) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    for q, text in asked:
+        scores = []
+        for i, c, n in held:
+            s = sum(k * idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * n / average)) for w, k in Counter(text.split()).items() if w in c)
+            if s and i != q:
+                scores.append((-round(s, 9), i))
+        mine = [(-r.score, r.doc_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)]
+        assert [i for _, i in mine] == [i for _, i in sorted(scores)[:6]]
+        assert np.allclose([s for s, _ in mine], [s for s, _ in sorted(scores)[:6]], rtol=0, atol=2e-9)
+
+
+def test_search_adds_few_postings_one_by_one(monkeypatch):
+    """Terms that most documents and queries have are not followed posting by posting; blocks below a known score are left out."""
+    state, added = random.Random(5), []
+    whole = topk_search._pieces
+    monkeypatch.setattr(topk_search, "_pieces", lambda sizes: added.append(int(sizes.sum())) or whole(sizes))
+    words = [f"{kind}{i}" for kind in "xy" for i in range(30)]
+    texts = [" ".join(state.choices(words[30 * (i % 2) : 30 * (i % 2) + 30], k=40)) for i in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600), pa.int64()), pa.array(texts)], names=["id", "text"])
+    rows = [r for made in topk_search._segments(iter([batch])) for r in made.to_pylist()]
+    terms = topk_search._hashed_terms()
+    queries = topk_search.Queries([(i, np.unique(terms(texts[i])), np.ones(len(set(texts[i].split())))) for i in range(300)])
+    every = sum(len(set(texts[q].split()) & set(t.split())) for q in range(300) for t in texts)
+    blocks = list(topk_search._blocks(rows, 40.0, queries))
+    assert len(blocks) > 1 and all(len({i % 2 for i in b.docs.tolist()}) == 1 for b in blocks)
+    found = topk_search.Best(queries, 10, {})
+    found.search(blocks)
+    assert sum(added) < every / 10
+    # With the scores known, no block of the other words is searched.
+    searched, scores = [], topk_search.Block.scores
+    monkeypatch.setattr(topk_search.Block, "scores", lambda self, q, mine: searched.append((self, mine)) or scores(self, q, mine))
+    again = topk_search.Best(queries, 10, {q: best[-1][0] for q, best in zip(queries.ids.tolist(), found.found)})
+    again.search(blocks)
+    assert again.found == found.found
+    assert all(q % 2 == b.docs[0] % 2 for b, mine in searched for q in queries.ids[mine].tolist())
+
+
 def test_profiles_are_handed_on_in_few_rows(spark, monkeypatch):
     """Passes over the profiles read one row for many texts, with the same hashes and profiles; the centres do not depend on it."""
     texts = ["", *[f"{'ship sail' if i % 2 else 'oven flour'} {'abcdefghij'[i % 10] * (1 + i // 10)}" for i in range(450)]]
