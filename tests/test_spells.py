@@ -170,6 +170,27 @@ def test_gaps_against_days(spark):
     assert rows(found, *OUT) == sorted(expected, key=repr)
 
 
+def test_windows_made_from_the_key_are_not_worked_out_for_busy_spells(spark, table):
+    """What tells which windows have days stays with the windows; a key may have several, reversed ones and none."""
+    born = F.make_date(F.lit(1990) + F.col("id").cast("int") % 7, F.lit(1), F.lit(1))
+    bounds = spark.range(30).select("id", born.alias("earliest_date"), F.add_months(born, F.col("id").cast("int") % 5 - 1).alias("latest_date"))
+    busy = spark.range(200).select((F.col("id") % 40).alias("id"), F.date_add(F.lit(day(-4000)), F.col("id").cast("int") * 9).alias("start_date"))
+    found = S.gaps_within_bounds(busy.withColumn("end_date", F.date_add("start_date", 3)), bounds, "id")
+    filters = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert filters and not any("make_date" in line for line in filters)
+    twice = table(
+        "id int, earliest_date date, latest_date date",
+        (1, "2001-01-01", "2001-01-31"), (1, "2001-01-20", "2001-01-05"), (1, None, "2001-01-05"), (2, "2001-01-02", "2001-01-01"),
+        (None, "2001-01-01", "2001-01-02"), (3, "2001-01-01", None),
+    )
+    spells = table(SPELL, (1, "2001-01-04", "2001-01-25"), (2, "2001-01-01", "2001-01-02"), (3, "2001-01-01", "2001-01-02"))
+    assert rows(S.gaps_within_bounds(spells, twice, "id"), *OUT) == [
+        (1, "2001-01-01", "2001-01-03"),
+        (1, "2001-01-26", "2001-01-31"),
+        (None, "2001-01-01", "2001-01-02"),
+    ]
+
+
 @pytest.mark.parametrize("hot_rows", [None, 1, 6])
 def test_overlap_join_against_pairs(spark, hot_rows):
     """The same pairs, once each, whether keys are treated as common or not."""

@@ -121,6 +121,27 @@ def test_only_common_persons_are_counted(spark, monkeypatch):
     assert rows(part) == rows(whole) == rows(none)
 
 
+def test_large_tables_without_a_common_person_are_not_spread(spark, monkeypatch):
+    """A table may have many rows and no person with many; only one that has is spread. Rows without a person are none's."""
+    spec = A.Population("people", A.Col(T.ID), A.Lit("all"), A.Lit("2002-01-01"), A.Lit("2004-12-31"), A.Lit("p"))
+    one = F.when(F.col("id") < 98, F.lit(1)).otherwise(F.col("id"))
+    none = F.when(F.col("id") % 2 == 0, F.col("id"))
+    numbers = spark.range(400)
+    tables = {"people": spark.range(120).union(spark.range(3)).toDF(T.ID), "flat": numbers.toDF(T.ID),
+              "steep": numbers.select(one.alias(T.ID)), "gaps": numbers.select(none.alias(T.ID)), "empty": numbers.limit(0).toDF(T.ID)}
+    monkeypatch.setattr(T, "HOT_ROWS", 100)
+    large = T.common_in(tables, [spec])
+    assert large == set(tables)
+    assert T.with_common_person(tables, sorted(large - {"people"}), [spec]) == {"steep"}
+    assert T.with_common_person(tables, [], [spec]) == set()
+    asked, known = [], A.assemble
+    monkeypatch.setattr(T, "assemble", lambda *args, spread, **kw: asked.append(spread) or known(*args, spread=spread, **kw))
+    monkeypatch.setattr(T, "measures_of", lambda *_: [A.Measure(t, A.Col(T.ID), A.Lit("2002-01-01"), A.Lit("2002-02-01"), A.Lit(t), A.Lit(1), "COUNT") for t in ("flat", "steep")])
+    with IO.Steps(spark, 2) as steps:
+        T.wide_table(spark, tables, [spec], T.Study(), steps)
+    assert asked == [{"steep"}]
+
+
 def test_every_column_of_the_tidy_step_is_named():
     """The wide table has what the tidy step reads, and each measure of the study has a column or a step to come from."""
     names, study = TidyNames(), T.Study()
